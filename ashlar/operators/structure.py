@@ -103,8 +103,9 @@ def merge_rows(cells: DataFrame) -> DataFrame:
     has_key = F.max(F.when((F.col("col") == F.col("key_col")) & (F.col("value") != ""), 1).otherwise(0)).over(W.partitionBy("table_id", "row"))
     rows = marked.withColumn("_k", has_key).withColumn("_g", F.max(F.when(F.col("_k") == 1, F.col("row"))).over(W.partitionBy("table_id").orderBy("row")))
     group = F.when(F.col("key_col").isNull() | F.col("_g").isNull(), F.col("row")).otherwise(F.col("_g"))
-    grouped = rows.withColumn("row", group).where("value <> ''").withColumn("_pos", F.monotonically_increasing_id())
-    return grouped
+    kept = rows.where("value <> ''").select("table_id", group.alias("_to"), "col", "row", "value")
+    joined = kept.groupBy("table_id", "_to", "col").agg(F.array_sort(F.collect_list(F.struct("row", "value"))).alias("v"))
+    return joined.select("table_id", F.col("_to").alias("row"), "col", F.array_join(F.transform("v", lambda x: x.value), "\n").alias("value"))
 
 
 def table_prose(intro: Column, rows: Column) -> Column:
