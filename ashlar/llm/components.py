@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung on the smallest node of its neighbourhood."""
     both = _both(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,9 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    bad = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or (hangs > 0 and holds > 0)")
+    return bad.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -40,12 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     equality joins that adaptive execution splits where a hub is hot. Each round
     ends in a written table, so a lost executor never replays earlier rounds.
     """
-    edges = keep(edges.where("u <> v").distinct())
-    state = _state(edges)
-    while state[0]:
+    edges = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _is_forest_of_stars(edges):
         edges = keep(_small_star(keep(_large_star(edges))))
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

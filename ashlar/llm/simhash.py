@@ -30,7 +30,7 @@ RUN_ROWS = 2048
 #: Runs up to this size are compared at all offsets at once.
 SHORT_RUN = 8
 #: Shingles of one numpy pass.
-PASS_SHINGLES = 1 << 18
+PASS_SHINGLES = 1 << 16
 SEED = 42
 
 
