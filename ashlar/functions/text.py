@@ -269,7 +269,7 @@ def part_number_fix(c: Column) -> Column:
     Every candidate is found with its text, squeezed, judged, and replaced in the
     whole text, in one fold over the candidates.
     """
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\b[A-Z]{1,3}[0-9][0-9A-Z\s]{6,20})"), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\b[A-Z]{1,3}[0-9][0-9A-Z\s]{5,19}[0-9A-Z])"), F.lit(1)))
 
     def put(text: Column, raw: Column) -> Column:
         bare = F.regexp_replace(raw, r"\s+", "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "routing", "conversation", "retrieval", "structure")
+MODULES = ("text", "routing", "conversation", "retrieval", "structure", "ingest")
 
 
 def load() -> None:
