@@ -154,8 +154,9 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -
     sample = sampled(usable, "doc_id", rows, docs.count())
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    ranked = counts.selectExpr("*", "row_number() over (partition by lang order by n desc, word) as place", "sum(n) over (partition by lang) as total").where(F.col("place") <= vocabulary)
-    chosen = ranked.selectExpr("*", "dense_rank() over (order by total desc, lang) as lang_place").where(F.col("lang_place") <= LANGUAGES)
+    largest = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).select("lang")
+    ranked = counts.selectExpr("*", "row_number() over (partition by lang order by n desc, word) as place").where(F.col("place") <= vocabulary)
+    chosen = ranked.join(F.broadcast(largest), "lang")
     return Model((r.lang, r.word, r.n) for r in chosen.select("lang", "word", "n").orderBy("lang", "word").collect())
 
 

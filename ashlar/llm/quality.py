@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     tune(docs.sparkSession)
     sample = labelled(docs, labels, label, rows)
     held = sample.repartition(1).mapInArrow(_train_batches, "model binary").first()
-    return np.frombuffer(held[0], np.float32)
+    return np.frombuffer(held[0], np.float32) if held else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
