@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,27 +145,25 @@ def has_word_splits(rows: Column) -> Column:
     return (F.size(rows) >= 3) & (F.size(F.filter(rows, cut)) >= 2)
 
 
-MERGED = "doc_id long, page long, section string, chunk_id string, text string, chars long"
-
-
 def merge_tiny(chunks: DataFrame, tiny: int = 200, stub: int = 100) -> DataFrame:
     """Small neighbouring chunks of one page and section joined, in document order.
 
     A fold over each run of (doc_id, page, section): a chunk under ``tiny``
     characters joins the one before; a stub before a full chunk joins it too.
-    Runs are bounded by a page, so each group of ``applyInPandas`` is small.
+    A run is bounded by its page, so the folded array is small.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for row in group.sort_values("pos").itertuples():
-            if out and (len(row.text) < tiny or len(out[-1][4]) < stub):
-                out[-1][4] += "\n" + row.text
-            else:
-                out.append([row.doc_id, row.page, row.section, row.chunk_id, row.text])
-        return pd.DataFrame([[*x, len(x[4])] for x in out], columns=["doc_id", "page", "section", "chunk_id", "text", "chars"])
-
-    return chunks.groupBy("doc_id", "page", "section").applyInPandas(fold, MERGED)
+    runs = chunks.groupBy("doc_id", "page", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "text"))).alias("run"))
+    empty = F.array().cast("array<struct<chunk_id:string,text:string>>")
+
+    def step(out: Column, chunk: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        joins = (F.size(out) > 0) & ((F.length(chunk.text) < tiny) | (F.length(last.text) < stub))
+        joined = F.struct(last.chunk_id.alias("chunk_id"), F.concat(last.text, F.lit("\n"), chunk.text).alias("text"))
+        own = F.struct(chunk.chunk_id.alias("chunk_id"), chunk.text.alias("text"))
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(out, F.array(own)))
+
+    folded = runs.select("doc_id", "page", "section", F.explode(F.aggregate("run", empty, step)).alias("c"))
+    return folded.select("doc_id", "page", "section", "c.chunk_id", "c.text", F.length("c.text").cast("long").alias("chars"))
 
 
 def table_duplicates(tables: DataFrame, ratio: float = 0.8) -> DataFrame:

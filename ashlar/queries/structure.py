@@ -252,7 +252,9 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("chunk_id", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_s1_c"), F.col("pos").cast("string")))
 
 
-@query("merge_tiny")
+@query("merge_tiny", """WITH c AS (SELECT doc_id, pos // 5 AS page, 'S' || pos // 10 AS section, pos, {'chunk_id': 'p' || pos // 5 || '_s1_c' || pos, 'text': line} AS c FROM split_lines),
+    r AS (SELECT doc_id, page, section, list_reduce(list([c] ORDER BY pos), lambda a, x: CASE WHEN length(x[1].text) < 200 OR length(a[-1].text) < 100 THEN a[:-2] || [{'chunk_id': a[-1].chunk_id, 'text': a[-1].text || chr(10) || x[1].text}] ELSE a || x END) AS l FROM c GROUP BY doc_id, page, section)
+    SELECT doc_id, page, section, x.chunk_id AS chunk_id, x.text AS text, length(x.text) AS chars FROM (SELECT doc_id, page, section, unnest(l) AS x FROM r)""")
 def merge_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_tiny(page_chunks(spark, sf_dir).select("doc_id", "page", "section", "chunk_id", "text", "pos"))
 
