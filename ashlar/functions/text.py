@@ -291,3 +291,17 @@ def phrase_fix(c: Column, table: dict[str, str]) -> Column:
 
 #: Compounds that lose their fi or fl ligature in recognition.
 LIGATURE_DROPS = {"speci cation": "specification", "speci cations": "specifications", "speci ed": "specified", "con gure": "configure", "con rm": "confirm", "re ll": "refill", "re lling": "refilling", "over ow": "overflow", "air lter": "air filter", "oil lter": "oil filter", "re ector": "reflector"}
+
+IMPERATIVES = tuple(
+    "start stop connect disconnect check refer replace remove install adjust inspect read repeat press tighten loosen apply use note ensure set open close release verify "
+    "measure wait switch turn do if when then before after".split()
+)
+
+
+def is_subtopic_body(body: Column) -> Column:
+    """A sub-topic's title: two words or more, capital start, no instruction, no inner period but in initials."""
+    w = words(body)
+    first = F.regexp_replace(F.lower(F.try_element_at(w, F.lit(1))), "^[.,:;]+|[.,:;]+$", "")
+    inner = F.contains(F.substr(body, F.lit(1), F.greatest(F.length(body) - 1, F.lit(0))), F.lit("."))
+    good = F.length(body).between(5, 120) & (F.size(w) >= 2) & body.rlike("^[A-Z]") & ~F.coalesce(first.isin(*IMPERATIVES), F.lit(False))
+    return good & (~inner | body.rlike(r"[A-Z]\.[A-Z]"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "routing", "conversation", "retrieval", "structure", "ingest")
+MODULES = ("text", "routing", "conversation", "retrieval", "structure", "tables", "ingest")
 
 
 def load() -> None:
