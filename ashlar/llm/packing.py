@@ -83,7 +83,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             ids = [np.append(model.ids(text or ""), end).astype(model.width) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([len(x.tobytes()) // max(1, len(x)) for x in ids], pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.dtype(model.width).itemsize] * len(ids), pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 ["doc_id", "row", "n", "width", "ids"],
             )
 
