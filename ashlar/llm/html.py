@@ -34,7 +34,7 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 DROPPED_NAMES = frozenset(
     "ad ads adv adbox advert adverts advertisement advertising adsense adslot sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup login sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist respond "
-    "disqus replies share sharing social related recommended recommendations widget widgets pagination pager search skip".split()
+    "disqus replies share sharing social related recommended recommendations pagination pager search skip".split()
 )
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ()}
@@ -43,6 +43,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+_STATE = re.compile(r"(?i)\b(?:has|with|without|no|is|show|hide|layout)[-_][\w-]+")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HOST = re.compile(r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -81,9 +82,14 @@ def _unwanted(tag: str, held: dict[str, str]) -> bool:
     if held.get("role", "").lower() in DROPPED_ROLES or "hidden" in held or held.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", held.get("style", "")):
         return True
     if tag in ("body", "html", "article", "main"):
-        names = held.get("class", "").split()
-        return any(n.lower() in DROPPED_NAMES for n in names)
-    return any(w.lower() in DROPPED_NAMES for w in _WORDS.findall(f"{held.get('class', '')} {held.get('id', '')}"))
+        return any(n.lower() in DROPPED_NAMES for n in held.get("class", "").split())
+    return not DROPPED_NAMES.isdisjoint(_names(held))
+
+
+def _names(held: dict[str, str]) -> set[str]:
+    """Words of an element's class and id; names of states (``has-sidebar``) say nothing about the element."""
+    text = f"{held.get('class', '')} {held.get('id', '')}"
+    return {w.lower() for w in _WORDS.findall(_STATE.sub(" ", text))}
 
 
 def _step(tag: str, held: dict[str, str]) -> str:
@@ -171,9 +177,9 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[str, ...]]], dict[str, tupl
             continue
         held = _attributes(found[3]) if found[3] and not found[3].isspace() else _NO_ATTRIBUTES
         above = stack[-1] if stack else None
-        own_header = tag == "header"
+        own_header = tag == "header" or bool(above and above.article and held and DROPPED_NAMES.intersection(_names(held)) == {"header"})
         inside = own_header and bool(above and above.article)
-        dropped = bool(above and above.dropped) or _unwanted(tag, held) or (own_header and not inside)
+        dropped = bool(above and above.dropped) or (not (own_header and inside) and _unwanted(tag, held)) or (own_header and not inside)
         if found[3].endswith("/") and tag in ("svg", "path"):
             continue
         stack.append(Element(tag, _step(tag, held) if held else tag, above, dropped, inside or bool(above and above.header)))

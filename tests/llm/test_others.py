@@ -97,6 +97,11 @@ def test_extraction_of_a_page():
     assert html.extract("<article><p>a<br>b<!-- <p>no</p> --></article><footer>f", None) == "a b"
 
 
+def test_names_of_states_and_of_article_headers():
+    page = '<body><div class="wrap has-sidebar"><div class="entry"><div class="entry-header"><h1>Head</h1><i>by me</i></div><p>Body text of it.</p></div><div class="sidebar">no</div></div>'
+    assert html.extract(page, None) == "Head\nBody text of it."
+
+
 def test_consensus_beats_a_misleading_page(spark):
     odd = PAGE.format(n=9).replace("<aside>Side</aside>", "<div class='box'><p>" + "A strange but very long box of words. " * 30 + "</p></div>")
     rows = [(i, f"http://U@Host.example:80/{i}", PAGE.format(n=i), 1) for i in range(12)] + [(50, "http://host.example/odd", odd, 1), (51, None, PAGE.format(n=51), 2), (52, "http://host.example/", None, 3), (3, "http://host.example/3", PAGE.format(n=3), 1)]
