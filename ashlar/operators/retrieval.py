@@ -122,8 +122,11 @@ def majority(matches: DataFrame, top: int = 3, share: float = 0.5) -> DataFrame:
 
 
 def neighbours(matches: DataFrame, chunks: DataFrame, pages: int = 2) -> DataFrame:
-    """Chunks of the same source within some pages of a match, itself excluded, foreign vehicles left out."""
-    m = matches.select("query_id", F.col("doc_id").alias("seed_id"), F.col("source").alias("seed_source"), F.col("page").alias("seed_page"), F.col("vehicle").alias("seed_vehicle"))
-    near = (F.col("source") == F.col("seed_source")) & F.col("page").between(F.col("seed_page") - pages, F.col("seed_page") + pages) & (F.col("doc_id") != F.col("seed_id"))
-    found = m.join(chunks.select("doc_id", "source", "page", "vehicle"), near)
+    """Chunks of the same source within some pages of a match, itself excluded, foreign vehicles left out.
+
+    The range becomes an equality join on (source, page) by listing each seed's
+    few pages, so that a source with many rows is spread over its pages.
+    """
+    seeds = matches.select("query_id", F.col("doc_id").alias("seed_id"), "source", F.col("vehicle").alias("seed_vehicle"), F.explode(F.sequence(F.col("page") - pages, F.col("page") + pages)).alias("page"))
+    found = seeds.join(chunks.select("doc_id", "source", "page", "vehicle"), ["source", "page"]).where("doc_id <> seed_id")
     return found.where("vehicle is null or seed_vehicle is null or vehicle = seed_vehicle").select("query_id", "seed_id", "doc_id", F.lit(0.0).alias("score"))

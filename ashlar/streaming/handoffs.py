@@ -42,3 +42,38 @@ def latest(changes: DataFrame) -> DataFrame:
 
     last = F.max_by(F.struct("session_id", "reason", "status", "created_at", "resolved_at"), F.struct((F.col("status") == "resolved").cast("int").alias("s"), "created_at"))
     return changes.groupBy("id").agg(last.alias("x")).select("id", "x.*")
+
+
+def session_changes(messages: DataFrame) -> DataFrame:
+    """Sessions touched by a stream of (session_id, created_at): creation stays, the update time moves on."""
+    from pyspark.sql import functions as F
+
+    return messages.groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.count("*").alias("messages"))
+
+
+def upsert_into(path: str, key: str, order: str):
+    """A ``foreachBatch`` sink that keeps the newest row of every key in a Parquet table, one folder a batch version."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        from pyspark.sql import functions as F
+
+        rows = batch
+        if batch_id:
+            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(batch)
+        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+        last.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+
+    return write
+
+
+TERMINAL = ("done", "error", "cancelled")
+
+
+def job_stream(events: DataFrame, cursor: int = -1) -> DataFrame:
+    """Events behind a cursor up to and with the job's first terminal one, from (job_id, seq, status) rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ended = F.min(F.when(F.col("status").isin(*TERMINAL), F.col("seq"))).over(Window.partitionBy("job_id"))
+    return events.withColumn("_end", ended).where((F.col("seq") > cursor) & (F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))).drop("_end")

@@ -200,3 +200,22 @@ def test_sources(spark, tmp_path):
 def test_scorers(spark):
     row = spark.createDataFrame([("oil filter", "the oil filter here")], "q string, t string").select(scorers.lexical_rerank(F.col("q"), F.col("t")).alias("s"), scorers.hashed_embedding(F.col("t")).alias("e"), scorers.fail_open(F.lit(None).cast("double")).alias("f")).first()
     assert row.s == 1.0 and row.f == 1.0 and abs(sum(x * x for x in row.e) - 1) < 1e-5
+
+
+def test_session_and_job_streams(spark, tmp_path):
+    m = spark.createDataFrame([(1, 10), (1, 30), (2, 20)], "session_id long, created_at long")
+    m.coalesce(1).write.parquet(str(tmp_path / "in"))
+    changes = handoffs.session_changes(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")))
+    sink = handoffs.upsert_into(str(tmp_path / "table"), "session_id", "updated_at")
+    run = changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "table" / "v0")).collect())
+    assert got == [(1, 10, 30, 2), (2, 20, 20, 1)]
+    e = spark.createDataFrame([(1, 0, "queued"), (1, 1, "running"), (1, 2, "done"), (1, 3, "late"), (2, 0, "queued")], "job_id long, seq long, status string")
+    assert sorted((r.job_id, r.seq) for r in handoffs.job_stream(e, 0).collect()) == [(1, 1), (1, 2)]
+
+
+def test_intents_have_directives_or_none(spark):
+    from ashlar.functions import prompt
+
+    assert one(spark, "procedure", prompt.directive).startswith("Answer") and one(spark, "general", prompt.directive) == ""
