@@ -235,25 +235,30 @@ def representatives(docs: DataFrame, bits: int = MAX_BITS, width: int = 3, limit
     """One row of each near-duplicate group of ``docs``, all columns as they are.
 
     The smallest doc_id of a group stays; of rows that repeat it, or of a group
-    without any id, the first row. Only the ids that stay are joined with texts.
+    without any id, the first row. Only the row numbers that stay are joined with
+    texts. ``docs`` must give its rows in the same order when it is read again,
+    as a scan of files does.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    run = _fingerprint_batches(width)
+    fingerprint = _fingerprint_batches(width)
     tune(docs.sparkSession)
 
-    def numbered_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in run(iter([batch])):
-                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], ["doc_id", "fp", "_row"])
+            for out in fingerprint(iter([batch])):
+                yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2)], ["doc_id", "fp", "row"])
 
-    prints = keep(numbered.select("doc_id", "text", "_row").mapInArrow(numbered_batches, f"doc_id {kind}, fp long, _row long"))
+    prints = keep(numbered.select("doc_id", "text", row).mapInArrow(run, f"doc_id {kind}, fp long, row long"))
     named = _grouped(prints, bits, limit)
     # per fingerprint first: the copies of one text are combined before they meet the groups
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("first"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
     heads = first.join(named, first.fp == named.print).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("first").alias("first"))
-    stay = keep(heads.select(F.col("first._row").alias("_kept")))
-    return numbered.join(stay, numbered["_row"] == stay["_kept"], "left_semi").select(*docs.columns)
+    stay = keep(heads.select(F.col("first.row").alias("kept")))
+    return numbered.join(stay, numbered[row] == stay["kept"], "left_semi").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, width: int = 3, limit: int = RUN_ROWS) -> DataFrame:

@@ -30,6 +30,11 @@ def test_stages_on_a_small_corpus(spark, docs, labels, tmp_path):
     assert sum(r.length for r in pieces) == sum(len(theirs.encode(texts[k] or "", add_special_tokens=False).ids) + 1 for k in want)
 
 
+def test_representatives_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, 8, 9), (2, "a b c d", 5, 6, 4)], "doc_id long, text string, _row int, kept int, fp int")
+    assert [tuple(r) for r in simhash.representatives(docs).collect()] == [(1, "a b c d", 7, 8, 9)]
+
+
 def test_representatives_of_ties_and_unknown_ids(spark):
     rows = [(None, "same text of a group"), (None, "same text of a group"), (4, "other text here now"), (4, "other text here now"), (9, "other text here now"), (None, "other text here now")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
