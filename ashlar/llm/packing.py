@@ -8,9 +8,10 @@ leave over is packed greedily, longest first, with cuts at window ends. The last
 window is cut at powers of two, so that no sequence needs padding.
 
 The driver sees only the histogram (at most one number for each length) and the
-plan. Documents find their places by their rank among equal lengths; ranks come
-from counts of hashed buckets, so that a length held by a third of all documents
-is still ranked by many tasks.
+plan. Documents find their places by their rank among equal lengths: the task that
+writes tokens numbers its own, and counts by (task, length) shift these numbers,
+so that a length held by a third of all documents is ranked by all tasks. Ids are
+not shuffled while the shifts are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from .common import keep, tune
 
 WINDOW = 2048
 END_ID = 1
-BUCKETS = 16
+#: Shifts, one for each length of each task, that are broadcast at most (24 bytes each); more are joined by a shuffle.
+BROADCAST_SHIFTS = 1 << 21
+#: Sequence ids of full windows are numbered inside tasks, above this many bits.
+TASK_BITS = 40
 #: Bounds of the enumeration: pairs are complete, triples are those of the most frequent lengths.
 TRIPLE_LENGTHS = 96
 SWEEPS = 60
@@ -72,23 +76,39 @@ def held(path: str) -> ByteBpe:
     return _HELD[path, "bytes"]
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, row (unique), n and ids (packed little-endian, 2 or 4 bytes each) of every row; null texts are empty."""
+def tokenised(docs: DataFrame, path: str, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
+    """doc_id, n, ids (packed little-endian, ``width`` bytes each) and place of every row; null texts are empty.
+
+    ``part`` is the task, ``rank`` the row's number among the task's rows of equal
+    ``rest`` (the length of its remainder), ``full_before`` the number of full
+    windows before its own in the task. Write the table before it is used: a
+    task's numbers hold together only as one attempt wrote them.
+    """
     tune(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         model = held(path)
+        part = TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
+        seen, full = np.zeros(window, np.int64), 0
         for batch in batches:
-            ids = [np.append(model.ids(text or ""), end).astype(model.width) for text in batch.column(2).to_pylist()]
+            ids = [np.append(model.ids(text or ""), end).astype(model.width) for text in batch.column(1).to_pylist()]
+            places = []
+            for x in ids:
+                rest = len(x) % window
+                places.append((len(x), part, rest, int(seen[rest]), full))
+                seen[rest] += 1
+                full += len(x) // window
+            columns = zip(*places) if places else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.dtype(model.width).itemsize] * len(ids), pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                ["doc_id", "row", "n", "width", "ids"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in columns), pa.array([np.dtype(model.width).itemsize] * len(ids), pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary())],
+                ["doc_id", "n", "part", "rest", "rank", "full_before", "width", "ids"],
             )
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, row long, n long, width int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, part long, rest long, rank long, full_before long, width int, ids binary")
 
 
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
@@ -213,53 +233,36 @@ class Plan:
         raise ValueError("position beyond the residual tokens")
 
 
-def ranked(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row, rank of its remainder among equal lengths, and number of full windows before its own.
-
-    Ranks are numbered inside hashed buckets and shifted by the counts of the
-    buckets before, which number at most ``window * BUCKETS``.
-    """
-    base = tokens.select("row", F.expr(f"n % {window}").alias("rest"), F.expr(f"n div {window}").alias("full"), F.expr(f"pmod(xxhash64(row), {BUCKETS})").alias("bucket"))
-    base = base.selectExpr(
-        "*",
-        "row_number() over (partition by rest, bucket order by row) - 1 as place",
-        "coalesce(sum(full) over (partition by rest, bucket order by row rows between unbounded preceding and 1 preceding), 0) as full_place",
-    )
-    cells = tokens.selectExpr(f"n % {window} as rest", f"n div {window} as full", f"pmod(xxhash64(row), {BUCKETS}) as bucket").groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
-    shifts = cells.selectExpr(
-        "rest as r",
-        "bucket as b",
-        "sum(n) over (partition by rest order by bucket) - n as shift",
-        "sum(full) over (order by rest, bucket) - full as full_shift",
-    )
-    joined = base.join(F.broadcast(shifts), (base.rest == shifts.r) & (base.bucket == shifts.b))
-    return joined.selectExpr("row as place_row", "place + shift as rank", "full_place + full_shift as full_before")
+def shifted(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ranks that count over all tasks."""
+    cells = tokens.groupBy("part", "rest").agg(F.count("*").alias("n"))
+    shifts = keep(cells.selectExpr("part", "rest", "sum(n) over (partition by rest order by part) - n as shift"))
+    if shifts.count() <= BROADCAST_SHIFTS:
+        shifts = F.broadcast(shifts)
+    return tokens.join(shifts, ["part", "rest"]).withColumn("rank", F.col("rank") + F.col("shift"))
 
 
 def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces of ``tokens`` (as ``tokenised`` gives them, in a written table)."""
-    counts = tokens.groupBy(F.expr(f"n % {window}").alias("rest")).agg(F.count("*").alias("n"), F.sum(F.expr(f"n div {window}")).alias("full")).collect()
     histogram = np.zeros(window, np.int64)
-    for row in counts:
+    for row in tokens.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect():
         histogram[row.rest] = row.n
-    histogram[0] = 0
     plan = Plan(histogram, window)
-    full_sequences = sum(row.full for row in counts)
     kind = tokens.schema["doc_id"].dataType.simpleString()
     sent = tokens.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             ids_out: list[bytes] = []
-            rows = zip(*(c.to_pylist() for c in batch.columns[1:4]), batch.column(4), batch.column(5).to_pylist())
-            for at, (n, width, rank, held_ids, before) in enumerate(rows):
-                ids = np.frombuffer(held_ids.as_buffer(), f"<u{width}").astype("<u4")
-                full, rest = divmod(n, window)
-                pieces = [(before + i, 0, window) for i in range(full)]
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:7]), batch.column(7))
+            for at, (n, part, rest, rank, full_before, width, packed_ids) in enumerate(rows):
+                ids = np.frombuffer(packed_ids.as_buffer(), f"<u{width}").astype("<u4")
+                first = ((part + 1) << TASK_BITS) + full_before
+                pieces = [(first + i, 0, window) for i in range(n // window)]
                 if rest:
-                    pieces += [(full_sequences + s, o, k) for s, o, k in own.place(rest, rank)]
+                    pieces += own.place(rest, rank)
                 start = 0
                 for sequence, offset, length in pieces:
                     piece = ids[start : start + length].tobytes()
@@ -268,15 +271,14 @@ def pack(tokens: DataFrame, window: int = WINDOW, with_ids: bool = False) -> Dat
                     if with_ids:
                         ids_out.append(piece)
                     start += length
-            arrays = [batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:7])]
+            arrays = [batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
                 arrays.append(pa.array(ids_out, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    places = ranked(tokens, window)
-    rows = tokens.join(places, tokens.row == places.place_row).select("doc_id", "n", "width", "rank", "ids", "full_before")
+    rows = shifted(tokens).select("doc_id", "n", "part", "rest", "rank", "full_before", "width", "ids")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
@@ -288,4 +290,4 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fa
     text is the end id alone. Other columns are ignored; an empty table gives an
     empty result.
     """
-    return pack(keep(tokenised(docs, path)), window, with_ids)
+    return pack(keep(tokenised(docs, path, window=window)), window, with_ids)

@@ -29,6 +29,8 @@ MAX_BITS = 3
 RUN_ROWS = 2048
 #: Runs up to this size are compared at all offsets at once.
 SHORT_RUN = 8
+#: Row numbers (eight bytes each) that are broadcast at most to filter texts; more meet them in a shuffle.
+BROADCAST_ROWS = 1 << 21
 #: Shingles of one numpy pass.
 PASS_SHINGLES = 1 << 16
 SEED = 42
@@ -258,6 +260,8 @@ def representatives(docs: DataFrame, bits: int = MAX_BITS, width: int = 3, limit
     first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
     heads = first.join(named, first.fp == named.print).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("first").alias("first"))
     stay = keep(heads.select(F.col("first.row").alias("kept")))
+    if stay.count() <= BROADCAST_ROWS:
+        stay = F.broadcast(stay)
     return numbered.join(stay, numbered[row] == stay["kept"], "left_semi").select(*docs.columns)
 
 

@@ -88,7 +88,9 @@ def test_combinations_use_most_remainders():
     assert plan.combined * 2048 > 0.8 * (histogram * np.arange(2048)).sum()
 
 
-def test_packing(docs, docs_rows, no_docs):
+@pytest.mark.parametrize("broadcast", [packing.BROADCAST_SHIFTS, 0])
+def test_packing(docs, docs_rows, no_docs, broadcast, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_SHIFTS", broadcast)
     got = packing.packed(docs, BYTE, with_ids=True).collect()
     theirs = Tokenizer.from_file(BYTE)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
