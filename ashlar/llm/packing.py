@@ -28,8 +28,8 @@ from .common import keep, tune
 
 WINDOW = 2048
 END_ID = 1
-#: Shifts, one for each length of each task, that are broadcast at most (24 bytes each); more are joined by a shuffle.
-BROADCAST_SHIFTS = 1 << 21
+#: Shifts, one for each length of each task, that are broadcast at most (about 100 bytes each as a hash table); more are joined by a shuffle.
+BROADCAST_SHIFTS = 1 << 18
 #: Sequence ids of full windows are numbered inside tasks, above this many bits.
 TASK_BITS = 40
 #: Bounds of the enumeration: pairs are complete, triples are those of the most frequent lengths.

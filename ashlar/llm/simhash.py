@@ -29,8 +29,8 @@ MAX_BITS = 3
 RUN_ROWS = 2048
 #: Runs up to this size are compared at all offsets at once.
 SHORT_RUN = 8
-#: Row numbers (eight bytes each) that are broadcast at most to filter texts; more meet them in a shuffle.
-BROADCAST_ROWS = 1 << 21
+#: Row numbers that are broadcast at most to filter texts (about 100 bytes each as a hash table); more meet them in a shuffle.
+BROADCAST_ROWS = 1 << 18
 #: Shingles of one numpy pass.
 PASS_SHINGLES = 1 << 16
 SEED = 42
