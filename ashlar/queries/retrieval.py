@@ -253,6 +253,7 @@ def match_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.matches(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "vehicle", "page")).alias("value"))
 
 
+# The atomic facts that grounding looks for.
 ATOMS = (
     ("part_number", r"\b[A-Z][0-9]{3,4}[A-Z]{2,4}[0-9]{4,6}[A-Z0-9]*\b"),
     ("torque", r"(?i)\b[0-9]+(?:\.[0-9]+)?\s*(?:Nm|N·m|kgf[·.]?m|lb[-·.]?ft)\b"),
