@@ -122,8 +122,8 @@ def _search(k: int):
         if vectors.num_rows and queries.num_rows:
             ids = vectors["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
             shard = Shard(ids, vectors["row"].to_numpy(), _matrix(vectors["v"]))
-            wanted = _matrix(queries["v"]).T
-            for row, key, query in zip(queries["row"].to_pylist(), queries["vec_id"].to_pylist(), wanted):
+            wanted = _matrix(queries["query"]).T
+            for row, key, query in zip(queries["query_row"].to_pylist(), queries["query_id"].to_pylist(), wanted):
                 at, score = shard.top(query, row, k)
                 out[0] += [row] * len(at)
                 out[1] += [key] * len(at)
@@ -143,11 +143,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     vectors count as ending in zeros. Sums beyond 64 bits are not defined.
     """
     rows = keep(quantised(vectors, scale))
-    asked = rows.where(f"vec_id % {every} = 0")
+    # columns of their own: both sides of the grouped join come from one table
+    asked = rows.where(f"vec_id % {every} = 0").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
     left = rows.withColumn("shard", F.expr(f"cast(pmod(xxhash64(row), {shards}) as int)")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.expr(f"cast(pmod(xxhash64(row, 'block'), {blocks}) as int)")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = asked.withColumn("block", F.expr(f"cast(pmod(xxhash64(query_row, 'block'), {blocks}) as int)")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
     ranked = found.selectExpr("*", "row_number() over (partition by row order by score desc, vec_id) as rank").where(F.col("rank") <= k)
     return ranked.selectExpr("query_id", "rank", f"nullif(vec_id, {np.iinfo(np.int64).max}L) as vec_id", "score")
