@@ -238,13 +238,13 @@ def representatives(docs: DataFrame, bits: int = MAX_BITS, width: int = 3, limit
 
     The smallest doc_id of a group stays; of rows that repeat it, or of a group
     without any id, the first row. Only the row numbers that stay are joined with
-    texts. ``docs`` must give its rows in the same order when it is read again,
-    as a scan of files does.
+    texts. They are written with the texts: a second scan of ``docs`` may be split
+    otherwise and number its rows anew.
     """
     row = "_row"
     while row in docs.columns:
         row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
     kind = docs.schema["doc_id"].dataType.simpleString()
     fingerprint = _fingerprint_batches(width)
     tune(docs.sparkSession)

@@ -103,3 +103,25 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).columns == ["doc_id", "fingerprint", "component_id"]
     assert simhash.near_duplicates(docs).count() == 0
+
+
+def test_representatives_do_not_depend_on_how_a_second_scan_is_split(spark, tmp_path, monkeypatch):
+    for i in range(16):
+        rows = [(100 * i + j, f"word{i} is text number {j} of file {i} and no other") for j in range(3)]
+        spark.createDataFrame(rows + [(9000 + i, rows[0][1])], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    written = simhash.keep
+
+    def keep(df):
+        out = written(df)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        return out
+
+    monkeypatch.setattr(simhash, "keep", keep)
+    try:
+        got = [r.doc_id for r in simhash.representatives(docs, bits=0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got) == [100 * i + j for i in range(16) for j in range(3)]
