@@ -5,6 +5,11 @@ lower-cased) and of the words' beginnings of ``PREFIXES`` bytes, which carry
 inflected forms. A document is toxic unless every sentence is not:
 ``1 - prod(1 - p_s)``, the noisy-or. Document labels train the sentence weights
 through that formula; afterwards the sentence scores locate what offends.
+
+A document's score takes from each sentence in full only the hazard above
+``FLOOR``. What lies below is background, of which a document has no more than
+``BACKGROUND`` sentences of the initial bias (or one of the learned bias, where
+that is more): neutral sentences do not add up to a toxic text at any length.
 """
 
 from __future__ import annotations
@@ -27,6 +32,9 @@ TRAIN_ROWS = 8000
 EPOCHS = 8
 THRESHOLD = 0.5
 BIAS = -6.0
+#: Sentence probability up to which a sentence is background, and the neutral sentences that a document's background counts at most.
+FLOOR = 0.02
+BACKGROUND = 16
 PREFIXES = (4, 5, 6, 7, 8)
 #: Bytes that end a sentence.
 ENDS = np.zeros(256, bool)
@@ -67,12 +75,20 @@ def sentence_logits(word: np.ndarray, sentence: np.ndarray, n: int, weights: np.
     return weights[-1] + BIAS + kernel.group_sums(weights[word], sentence, n)
 
 
+def document_hazards(hazard: np.ndarray, doc: np.ndarray, docs: int, weights: np.ndarray) -> np.ndarray:
+    """Each document's sum of its sentences' hazards, with a bounded background."""
+    neutral = float(softplus(weights[-1] + BIAS))
+    floor = max(neutral, -np.log1p(-FLOOR))
+    below = kernel.group_sums(np.minimum(hazard, floor), doc, docs)
+    return kernel.group_sums(np.maximum(hazard - floor, 0), doc, docs) + np.minimum(below, max(neutral, BACKGROUND * float(softplus(BIAS))))
+
+
 def document_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
     for lo, hi in kernel.slices(offsets):
         word, sentence, doc, _, _ = instances(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         hazard = softplus(sentence_logits(word, sentence, len(doc), weights))
-        out[lo:hi] = -np.expm1(-kernel.group_sums(hazard, doc, hi - lo))
+        out[lo:hi] = -np.expm1(-document_hazards(hazard, doc, hi - lo, weights))
     return out
 
 

@@ -99,6 +99,17 @@ def test_noisy_or_of_sentences():
     assert np.allclose(toxicity.document_scores(data, offsets, weights), [1 - (1 - p) ** 3, 0])
 
 
+def test_long_clean_texts_are_not_toxic(spark, docs, labels, no_labels):
+    calm = [s + "." for r in docs.where("doc_id < 240").collect() for s in r.text.split(".") if s.strip() and "blockhead" not in s]
+    many = " ".join((calm * (20000 // len(calm) + 1))[:20000])
+    rows = [(1, many), (2, "One neutral sentence. " * 20000), (3, "Plain words here. " * 280), (4, "Plain words here. " * 20000 + "You utter blockhead, what a blockheaded thing.")]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.predicted for r in toxicity.toxicity_scores(long, no_labels).collect()} == {0}
+    assert toxicity.accepted(long, no_labels).count() == 4
+    weights = toxicity.fit(docs, labels)
+    assert {r.doc_id: r.predicted for r in toxicity.score(long, weights).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
 def plain_statistics(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
