@@ -71,3 +71,8 @@ def sampled(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
         return df
     share = int((1 << 30) * rows / total)
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < share)
+
+
+def one_text(df: DataFrame) -> DataFrame:
+    """One row of each distinct value of the other columns, with the text of the smallest hash; combined before the shuffle."""
+    return df.groupBy(*(c for c in df.columns if c != "text")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import is_held, sampled, tune
+from .common import is_held, one_text, sampled, tune
 from .ftrl import Ftrl, sigmoid
 
 BITS = 18
@@ -87,11 +87,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_R
     """doc_id, text and label of at most about ``rows`` rows that are not held out.
 
     The ids are chosen by hash from the labels alone; only that bounded list is
-    joined with the texts. A null label, text or id is not learned from.
+    joined with the texts. A null label, text or id is not learned from. An id
+    that repeats gives one row, that of the text with the smallest hash.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~is_held("doc_id", 5, 0))
-    chosen = sampled(known, "doc_id", rows, known.count()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = sampled(known, "doc_id", rows, known.count())
+    return one_text(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:

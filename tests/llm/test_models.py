@@ -153,3 +153,20 @@ def test_samples_are_bounded_and_do_not_depend_on_order(spark):
     b = {r.doc_id for r in sampled(ids.repartition(7), "doc_id", 500, 20000).collect()}
     assert a == b and 350 < len(a) < 650
     assert sampled(ids, "doc_id", 20000, 20000).count() == 20000
+
+
+def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
+    rows = [(7, f"text number {i} of one id") for i in range(600)] + [(i, f"text of id {i}") for i in range(8, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(7, 60) for _ in range(2)], "doc_id long, quality int, toxic int")
+    usable = {i for i in range(7, 60) if rest(i, 5)}
+    for label in ("quality", "toxic"):
+        ids = [r.doc_id for r in quality.labelled(docs, labels, label).collect()]
+        assert len(ids) == len(set(ids)) and set(ids) == usable
+    a, b = (sorted(map(tuple, quality.labelled(x, labels, "quality").collect())) for x in (docs, docs.repartition(5)))
+    assert a == b
+    sizes, collected = [], rules._collected
+    monkeypatch.setattr(rules, "_collected", lambda df: sizes.append(df.count()) or collected(df))
+    monkeypatch.setattr(rules, "base_failed", lambda stats: np.zeros(len(stats), bool))
+    rules.fit(docs, labels)
+    assert sizes == [53, len(usable)]
