@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, is_held, sampled, tune
+from .common import crc_rest, is_held, one_text, tune
 
 NGRAM = 5
-#: Bounds of the model: rows it is fitted on, words kept for each language, languages.
-TRAIN_ROWS = 4000
+#: Bounds of the model: documents and words of each language, languages (those of most documents).
+LANGUAGE_ROWS = 1000
 VOCABULARY = 10_000
 LANGUAGES = 200
 #: Words that a worker remembers between documents.
@@ -144,20 +144,27 @@ def held_scorer(name: str, sent) -> Scorer:
     return _HELD[name]
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def sample_by_language(usable: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` documents (all, if there are no more) of each of at most ``LANGUAGES`` languages, chosen by a hash of doc_id."""
+    sizes = usable.select("lang", "doc_id").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = sizes.select("lang", F.least(F.lit(1.0), rows / F.col("count")).alias("share"))
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
+    return one_text(usable.join(F.broadcast(share), "lang").where(place < F.col("share") * (1 << 30)).select("doc_id", "lang", "text"))
+
+
+def fit(docs: DataFrame, rows: int = LANGUAGE_ROWS, vocabulary: int = VOCABULARY) -> Model:
     """Model of the text and non-null lang of a bounded sample, without documents whose id's CRC-32 mod 4 is 2.
 
-    Spark counts words by language; the driver gets at most ``vocabulary`` words
-    of each of at most ``LANGUAGES`` languages (the most frequent of the sample).
+    Every language is learned from about ``rows`` usable documents, or from all that it has,
+    however many rows the table has. Spark counts words by language; the driver gets
+    at most ``vocabulary`` words of each language (the most frequent of the sample).
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_rest("doc_id", 4) != 2))
-    sample = sampled(usable, "doc_id", rows, docs.count())
+    sample = sample_by_language(usable, rows)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).select("lang")
     ranked = counts.selectExpr("*", "row_number() over (partition by lang order by n desc, word) as place").where(F.col("place") <= vocabulary)
-    chosen = ranked.join(F.broadcast(largest), "lang")
-    return Model((r.lang, r.word, r.n) for r in chosen.select("lang", "word", "n").orderBy("lang", "word").collect())
+    return Model((r.lang, r.word, r.n) for r in ranked.select("lang", "word", "n").orderBy("lang", "word").collect())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,7 +189,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def languages(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def languages(docs: DataFrame, rows: int = LANGUAGE_ROWS) -> DataFrame:
     """Predicted language of every row of ``docs(doc_id, text, lang, ...)``.
 
     Null texts and texts without a letter give ``und`` and score 0; so does every

@@ -170,3 +170,18 @@ def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
     monkeypatch.setattr(rules, "base_failed", lambda stats: np.zeros(len(stats), bool))
     rules.fit(docs, labels)
     assert sizes == [53, len(usable)]
+
+
+def test_every_language_is_learned_at_every_size(spark):
+    some = [i for i in range(400) if rest(i, 4) != 2]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, f"own{str(i).translate(letters)}", "rare" if i % 20 == 0 else "aa") for i in some]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    unlabelled = spark.range(1000, 31000).selectExpr("id as doc_id", "'no label' as text", "cast(null as string) as lang")
+    others = spark.range(1000, 31000).selectExpr("id as doc_id", "'many rows' as text", "'zz' as lang")
+    assert langid.fit(docs.unionByName(unlabelled)).index[0].keys() == {r[1] for r in rows}
+    model = langid.fit(docs.unionByName(others))
+    assert model.languages == ["aa", "rare", "zz"] and model.index[0].keys() == {r[1] for r in rows} | {"many", "rows"}
+    usable = docs.unionByName(others).where("lang is not null")
+    sizes = {r["lang"]: r["count"] for r in langid.sample_by_language(usable, 1000).groupBy("lang").count().collect()}
+    assert sizes["aa"] + sizes["rare"] == len(rows) and 850 < sizes["zz"] < 1150
