@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from ashlar.llm import html, maxscore, sharding
+from ashlar.llm import maxscore, sharding
 
 
 def test_table_is_filled_in_turns():
@@ -81,40 +81,3 @@ def test_few_candidates_and_no_rows(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in maxscore.top_k(table).collect()) == [(0, 1, 1, 1048576), (0, 2, 2, -1048576)]
     assert maxscore.top_k(table.limit(0)).count() == 0
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="home"><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div>
-<ul class="menu"><li><a href=x>Home</a></ul><div class="wrap"><div id="p{n}" class="post post-{n}"><header><h2>Title &amp; more</h2><span>By me</span></header><p>First <b>bold</b>
-text &lt;here&gt;<p>Second para &nbsp; number {n} with a somewhat longer text.<table><tr><td>c1<td>c2</table><div class="ad-slot">Buy</div><script>if(a<b){{"</p>"}}</script>
-<form>Name <input></form><section id="comments"><p>A reader writes a rather long remark here, longer than anything else on the page, and then some more.</section></div></div><aside>Side</aside><footer>F</footer>"""
-TEXT = "Title & more\nFirst bold text <here>\nSecond para number {n} with a somewhat longer text.\nc1\nc2"
-
-
-def test_extraction_of_a_page():
-    assert html.extract(PAGE.format(n=3), None) == TEXT.format(n=3)
-    assert html.extract(None, None) == html.extract("", ["html"]) == html.extract("<p></p>", None) == ""
-    assert html.extract("just text", None) == "just text"
-    assert html.extract("<article><p>a<br>b<!-- <p>no</p> --></article><footer>f", None) == "a b"
-
-
-def test_names_of_states_and_of_article_headers():
-    page = '<body><div class="wrap has-sidebar"><div class="entry"><div class="entry-header"><h1>Head</h1><i>by me</i></div><p>Body text of it.</p></div><div class="sidebar">no</div></div>'
-    assert html.extract(page, None) == "Head\nBody text of it."
-
-
-def test_consensus_beats_a_misleading_page(spark):
-    odd = PAGE.format(n=9).replace("<aside>Side</aside>", "<div class='box'><p>" + "A strange but very long box of words. " * 30 + "</p></div>")
-    rows = [(i, f"http://U@Host.example:80/{i}", PAGE.format(n=i), 1) for i in range(12)] + [(50, "http://host.example/odd", odd, 1), (51, None, PAGE.format(n=51), 2), (52, "http://host.example/", None, 3), (3, "http://host.example/3", PAGE.format(n=3), 1)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
-    got = html.main_texts(pages).collect()
-    assert len(got) == len(rows)
-    by = {r.page_id: r for r in got}
-    assert by[50].text == TEXT.format(n=9) and html.extract(odd, None) != TEXT.format(n=9)
-    assert by[51].text == TEXT.format(n=51) and by[52].text == ""
-    assert all(r.n_chars == len(r.text) for r in got)
-    assert html.main_texts(pages.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("url, host", [("http://a.B/c", "a.b"), ("//x.y?q", "x.y"), ("https://u:p@h.i:8/z", "h.i"), ("mailto:x", ""), (None, ""), ("", "")])
-def test_hosts(url, host):
-    assert html.host_of(url) == host
