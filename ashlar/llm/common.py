@@ -5,17 +5,42 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: bounds a Python worker's memory with whole texts.
+#: Rows and bytes of one Arrow batch (a longer text is a batch of its own): bounds of a Python worker's memory with whole texts.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+#: Texts, and their characters, that are handled at a time where words are looked up.
+GROUP_TEXTS = 100
+GROUP_CHARS = 1 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker holds few whole texts at a time."""
+    """Small Arrow batches, so that a worker holds few whole texts at a time.
+
+    These are settings of the session, which the caller's later queries share.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def byte_groups(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column in short lists; a very long text is a list of its own."""
+    group: list[str | None] = []
+    chars = 0
+    for text in column.to_pylist():
+        size = len(text or "")
+        if group and (len(group) >= GROUP_TEXTS or chars + size > GROUP_CHARS):
+            yield group
+            group, chars = [], 0
+        group.append(text)
+        chars += size
+    if group:
+        yield group
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="ashlar-shared-")
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -3,7 +3,11 @@
 A word of the model's vocabulary scores by its log frequency in each language.
 Any other word falls back to character n-grams: those of the greatest length of
 which at least one is known, from ``NGRAM`` down to one character. A document's
-language has the largest sum over all its words.
+language has the largest sum over all its words. Words are runs of letters
+(``\\p{L}``), in training and in scoring.
+
+The model is a few sorted arrays: hashed words and n-grams, and for each the
+languages that have it. Looking up many words is a binary search.
 """
 
 from __future__ import annotations
@@ -15,30 +19,94 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, is_held, one_text, tune
+from . import kernel
+from .common import byte_groups, crc_rest, is_held, keep, one_text, tune
 
 NGRAM = 5
-#: Bounds of the model: documents and words of each language, languages (those of most documents).
+#: Bounds of the sample that the model is learned from: documents of each language, and of all languages (each has one at least).
 LANGUAGE_ROWS = 1000
-VOCABULARY = 10_000
-LANGUAGES = 200
-#: Words that a worker remembers between documents.
-MEMORY = 400_000
-#: Texts whose words are split at a time.
-GROUP = 100
+SAMPLE_ROWS = 20_000
+#: Bytes of words and their vectors that a worker remembers between documents.
+MEMORY_BYTES = 96 << 20
 UNKNOWN = "und"
 #: The scorer of the last model that this Python worker used; it outlives a task.
 _HELD: dict[str, "Scorer"] = {}
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of a word between boundary marks (the marks alone are no unigram)."""
-    held = f"\x02{word}\x03" if n > 1 else word
-    return [held[i : i + n] for i in range(len(held) - n + 1)]
+#: Beyond these characters letters and numbers are told apart by the full pattern.
+_RARE = re.compile("[²³¹¼-¾]|[^\x00-ɏ]")
+_PLAIN = re.compile(r"[^\W\d_]+")
+_FULL = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters of a text, in lower case."""
+    low = text.lower()
+    return (_FULL if _RARE.search(low) else _PLAIN).findall(low)
+
+
+class Words:
+    """The code points of some words on end, each between boundary marks."""
+
+    def __init__(self, words: list[str]):
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.code = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.head = np.cumsum(self.size + 2) - self.size - 2
+
+    def whole(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every chosen word, and their numbers."""
+        out = np.zeros(len(which), np.uint64)
+        size, head = self.size[which], self.head[which] + 1
+        for step in range(int(size.max(initial=0))):
+            more = np.flatnonzero(size > step)
+            out[more] = kernel.mix(out[more], self.code[head[more] + step])
+        return out, np.arange(len(which))
+
+    def grams(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the character n-grams of the chosen words (the marks alone are no unigram), and the words' numbers."""
+        pad = 0 if n == 1 else 1
+        count = np.maximum(self.size[which] + 2 * pad - n + 1, 0)
+        owner = np.repeat(np.arange(len(which)), count)
+        at = self.head[which][owner] + (1 - pad) + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        out = np.full(len(owner), np.uint64(n))
+        for step in range(n):
+            out = kernel.mix(out, self.code[at + step])
+        return out, owner
+
+
+class Level:
+    """Log frequencies of keys by language: what a language gives a key that it lacks, and by how much each cell exceeds that."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, weight: np.ndarray, languages: int):
+        self.languages = languages
+        cell = np.lexsort((lang, key))
+        key, lang, weight = key[cell], lang[cell], weight[cell]
+        new = np.append(True, (key[1:] != key[:-1]) | (lang[1:] != lang[:-1]))[: len(key)]
+        sums = np.add.reduceat(weight, np.flatnonzero(new)) if len(key) else weight
+        key, self.lang = key[new], lang[new].astype(np.int32)
+        head = np.append(True, key[1:] != key[:-1])[: len(key)]
+        self.keys = key[head]
+        self.bounds = np.append(np.flatnonzero(head), len(key))
+        total = np.bincount(self.lang, weights=sums, minlength=languages) + 0.5 * len(self.keys) + 1e-9
+        self.base = np.log(0.5 / total)
+        self.over = (np.log((sums + 0.5) / total[self.lang]) - self.base[self.lang]).astype(np.float32)
+
+    def places(self, key: np.ndarray) -> np.ndarray:
+        """Place of every key, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def means(self, place: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """Mean log frequencies, by language, of the known keys of each owner (at least one each)."""
+        first, n = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
+        cell = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        row = np.repeat(owner, n)
+        sums = np.bincount(row * self.languages + self.lang[cell], weights=self.over[cell], minlength=owners * self.languages).reshape(owners, self.languages)
+        return self.base + sums / np.bincount(owner, minlength=owners)[:, None]
 
 
 class Model:
@@ -48,47 +116,29 @@ class Model:
         rows = list(counts)
         self.languages = sorted({lang for lang, _, _ in rows})
         place = {lang: i for i, lang in enumerate(self.languages)}
-        self.index: list[dict[str, int]] = []
-        self.logs: list[np.ndarray] = []
-        for level in range(NGRAM + 1):
-            index: dict[str, int] = {}
-            key, lang, weight = [], [], []
-            for name, word, n in rows:
-                for gram in grams(word, level) if level else (word,):
-                    key.append(index.setdefault(gram, len(index)))
-                    lang.append(place[name])
-                    weight.append(n)
-            width = max(1, len(place))
-            cells = np.array(key, np.int64) * width + np.array(lang, np.int64)
-            sums = np.bincount(cells, weights=np.array(weight, float), minlength=len(index) * width).reshape(len(index), width)
-            self.index.append(index)
-            self.logs.append(np.log((sums + 0.5) / (sums.sum(axis=0) + 0.5 * len(index) + 1e-9)).astype(np.float32) if index else np.zeros((0, width), np.float32))
+        lang = np.array([place[x] for x, _, _ in rows], np.int64)
+        weight = np.array([n for _, _, n in rows], float)
+        words = Words([w for _, w, _ in rows])
+        every = np.arange(len(rows))
+        self.levels = []
+        for n in range(NGRAM + 1):
+            key, owner = words.grams(every, n) if n else words.whole(every)
+            self.levels.append(Level(key, lang[owner], weight[owner], max(1, len(place))))
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """A row of log frequencies for every word, by the longest level that knows the word."""
         out = np.zeros((len(words), max(1, len(self.languages))), np.float32)
-        found: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(NGRAM + 1)]
-        for i, word in enumerate(words):
-            at = self.index[0].get(word)
-            if at is not None:
-                rows, heads, flat = found[0]
-                rows.append(i)
-                heads.append(len(flat))
-                flat.append(at)
-                continue
-            for n in range(NGRAM, 0, -1):
-                index = self.index[n]
-                known = [index[g] for g in grams(word, n) if g in index]
-                if known:
-                    rows, heads, flat = found[n]
-                    rows.append(i)
-                    heads.append(len(flat))
-                    flat.extend(known)
-                    break
-        for logs, (rows, heads, flat) in zip(self.logs, found):
-            if rows:
-                size = np.diff(np.append(heads, len(flat)))
-                out[rows] = np.add.reduceat(logs[flat], heads, axis=0) / size[:, None]
+        held, left = Words(words), np.arange(len(words))
+        for n in (0, *range(NGRAM, 0, -1)):
+            if not len(left):
+                break
+            key, owner = held.grams(left, n) if n else held.whole(left)
+            place = self.levels[n].places(key)
+            place, owner = place[place >= 0], owner[place >= 0]
+            known, owner = np.unique(owner, return_inverse=True)
+            if len(known):
+                out[left[known]] = self.levels[n].means(place, owner, len(known))
+                left = np.delete(left, known)
         return out
 
 
@@ -97,18 +147,22 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
+        self.width = max(1, len(model.languages))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(self.model.languages))), np.float32)
+        self.bytes = 0
+        self.rows = np.zeros((1024, self.width), np.float32)
 
     def learn(self, texts: list[list[str]]) -> None:
         """Makes room for the words of some texts, and their vectors."""
         new = set().union(*texts).difference(self.index)
-        if len(self.index) + len(new) > MEMORY:
+        size = lambda words: sum(map(len, words)) + len(words) * (100 + 4 * self.width)
+        if self.bytes + size(new) > MEMORY_BYTES:
             self.clear()
             new = set().union(*texts)
+        self.bytes += size(new)
         words = list(new)
         first = len(self.index)
         while first + len(words) > len(self.rows):
@@ -117,11 +171,11 @@ class Scorer:
         self.index.update(zip(words, range(first, first + len(words))))
 
     def best(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [_WORD.findall((text or "").lower()) for text in texts]
+        split = [words_of(text or "") for text in texts]
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         self.learn(split)
-        size = np.array([len(words) for words in split])
+        size = np.array([len(words) for words in split], np.int64)
         full = np.flatnonzero(size)
         out = [(UNKNOWN, 0.0)] * len(texts)
         if not len(full):
@@ -144,27 +198,33 @@ def held_scorer(name: str, sent) -> Scorer:
     return _HELD[name]
 
 
-def sample_by_language(usable: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` documents (all, if there are no more) of each of at most ``LANGUAGES`` languages, chosen by a hash of doc_id."""
-    sizes = usable.select("lang", "doc_id").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = sizes.select("lang", F.least(F.lit(1.0), rows / F.col("count")).alias("share"))
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id")), F.lit(1 << 30))
-    return one_text(usable.join(F.broadcast(share), "lang").where(place < F.col("share") * (1 << 30)).select("doc_id", "lang", "text"))
+def sample_by_language(usable: DataFrame, rows: int, total: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``rows`` documents (all, if there are no more) of every language, chosen by a hash of doc_id.
+
+    Where that makes more than ``total`` documents, every language gives fewer,
+    and one of its own at least.
+    """
+    # a sketch counts each language's ids to about 1 %; no ids are shuffled
+    sizes = keep(usable.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.01).alias("n"), F.min(F.xxhash64(F.lit("sample"), F.col("doc_id"))).alias("least")))
+    each = max(1, min(rows, total // max(1, sizes.count())))
+    share = sizes.select("lang", "least", F.least(F.lit(1.0), 1.05 * each / F.greatest(F.col("n"), F.lit(1))).alias("share"))
+    place = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+    chosen = usable.join(share, "lang").where((F.pmod(place, F.lit(1 << 30)) < F.col("share") * (1 << 30)) | (place == F.col("least")))
+    return one_text(chosen.select("doc_id", "lang", "text"))
 
 
-def fit(docs: DataFrame, rows: int = LANGUAGE_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, rows: int = LANGUAGE_ROWS) -> Model:
     """Model of the text and non-null lang of a bounded sample, without documents whose id's CRC-32 mod 4 is 2.
 
     Every language is learned from about ``rows`` usable documents, or from all that it has,
-    however many rows the table has. Spark counts words by language; the driver gets
-    at most ``vocabulary`` words of each language (the most frequent of the sample).
+    however many rows the table has, and from all words of those. Spark counts words by
+    language; the driver gets the distinct words of the sample.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_rest("doc_id", 4) != 2))
     sample = sample_by_language(usable, rows)
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    ranked = counts.selectExpr("*", "row_number() over (partition by lang order by n desc, word) as place").where(F.col("place") <= vocabulary)
-    return Model((r.lang, r.word, r.n) for r in ranked.select("lang", "word", "n").orderBy("lang", "word").collect())
+    counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    return Model(zip(*(counts.column(name).to_pylist() for name in ("lang", "word", "n"))))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,8 +238,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held_scorer(name, sent)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [x for at in range(0, len(texts), GROUP) for x in scorer.best(texts[at : at + GROUP])]
+            found = [x for texts in byte_groups(batch.column(1)) for x in scorer.best(texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -193,7 +252,8 @@ def languages(docs: DataFrame, rows: int = LANGUAGE_ROWS) -> DataFrame:
     """Predicted language of every row of ``docs(doc_id, text, lang, ...)``.
 
     Null texts and texts without a letter give ``und`` and score 0; so does every
-    text if nothing can be learned. Ties go to the language first in order.
-    Repeated rows each keep a row; other columns are ignored.
+    text if nothing can be learned. Numbers are no letters, whatever they look like.
+    Ties go to the language first in order. Repeated rows each keep a row; other
+    columns are ignored. A text of any length is read whole, in a group of its own.
     """
     return predict(docs, fit(docs, rows))

@@ -1,9 +1,12 @@
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import regex
 
 from ashlar.llm import kernel, langid, quality, rules, toxicity
 from ashlar.llm.common import sampled
@@ -40,6 +43,59 @@ def test_backoff_goes_from_words_to_short_grams():
     assert known[0] > known[1] and gram[0] > gram[1] and letter[1] > letter[0] and (unknown == 0).all()
 
 
+class PlainModel:
+    """The same backoff, one word and one n-gram at a time."""
+
+    def __init__(self, counts):
+        self.languages = sorted({lang for lang, _, _ in counts})
+        self.tables = [Counter() for _ in range(langid.NGRAM + 1)]
+        for lang, word, n in counts:
+            for level, table in enumerate(self.tables):
+                for gram in self.grams(word, level):
+                    table[gram, lang] += n
+
+    @staticmethod
+    def grams(word, level):
+        if not level:
+            return [word]
+        held = f"\x02{word}\x03" if level > 1 else word
+        return [held[i : i + level] for i in range(len(held) - level + 1)]
+
+    def logs(self, level, gram):
+        table = self.tables[level]
+        size = len({g for g, _ in table})
+        return [math.log((table[gram, lang] + 0.5) / (sum(n for (_, x), n in table.items() if x == lang) + 0.5 * size + 1e-9)) for lang in self.languages]
+
+    def predict(self, text):
+        sums, words = [0.0] * len(self.languages), regex.findall(r"\p{L}+", (text or "").lower())
+        for word in words:
+            for level in (0, *range(langid.NGRAM, 0, -1)):
+                known = [g for g in self.grams(word, level) if any((g, lang) in self.tables[level] for lang in self.languages)]
+                if known:
+                    rows = [self.logs(level, g) for g in known]
+                    sums = [s + sum(r[i] for r in rows) / len(rows) for i, s in enumerate(sums)]
+                    break
+        if not words or not self.languages:
+            return "und", 0.0
+        best = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        return self.languages[best], 1 / sum(math.exp(s - max(sums)) for s in sums)
+
+
+def test_every_text_scores_as_in_the_plain_form():
+    counts = [("en", "house", 4), ("en", "the", 9), ("de", "haus", 3), ("de", "das", 8), ("fr", "maison", 2), ("fr", "la", 9), ("de", "straße", 1), ("el", "ὁδός", 2)]
+    model, plain = langid.Scorer(langid.Model(counts)), PlainModel(counts)
+    texts = ["The HOUSE", "das Haus", "houses maisons", "x² ½ ①", "Ⅷ", "²½", None, "", "q", "ш ж", "ὁδόΣ", "ΟΔΟΣ the", "l'a\u0301b", "la la la das", "house " * 3000, "日本 house", "a_b1c"]
+    for text, (lang, score) in zip(texts, model.best(texts)):
+        want = plain.predict(text)
+        assert (lang, pytest.approx(score, abs=1e-4)) == (want[0], want[1]), text
+
+
+def test_numbers_are_no_letters(spark):
+    rows = [(i, "aa bb", "x") for i in range(8)] + [(20, "²½", None), (21, "①", None), (22, "Ⅷ", None), (23, "12 _", None), (24, "a²", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[i] for i in (20, 21, 22, 23)} == {("und", 0.0)} and got[24] == ("x", 1.0)
+
+
 def test_quality(docs, labels, docs_rows, no_docs, no_labels):
     got = quality.quality_scores(docs, labels).collect()
     assert len(got) == len(docs_rows[0])
@@ -172,6 +228,12 @@ def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
     assert sizes == [53, len(usable)]
 
 
+def known_words(model, words):
+    """Whether the model knows each word whole."""
+    key, _ = langid.Words(words).whole(np.arange(len(words)))
+    return model.levels[0].places(key) >= 0
+
+
 def test_every_language_is_learned_at_every_size(spark):
     some = [i for i in range(400) if rest(i, 4) != 2]
     letters = str.maketrans("0123456789", "abcdefghij")
@@ -179,9 +241,22 @@ def test_every_language_is_learned_at_every_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     unlabelled = spark.range(1000, 31000).selectExpr("id as doc_id", "'no label' as text", "cast(null as string) as lang")
     others = spark.range(1000, 31000).selectExpr("id as doc_id", "'many rows' as text", "'zz' as lang")
-    assert langid.fit(docs.unionByName(unlabelled)).index[0].keys() == {r[1] for r in rows}
+    words = [r[1] for r in rows]
+    model = langid.fit(docs.unionByName(unlabelled))
+    assert known_words(model, words).all() and not known_words(model, ["label"]).any()
     model = langid.fit(docs.unionByName(others))
-    assert model.languages == ["aa", "rare", "zz"] and model.index[0].keys() == {r[1] for r in rows} | {"many", "rows"}
+    assert model.languages == ["aa", "rare", "zz"] and known_words(model, words + ["many", "rows"]).all()
     usable = docs.unionByName(others).where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in langid.sample_by_language(usable, 1000).groupBy("lang").count().collect()}
-    assert sizes["aa"] + sizes["rare"] == len(rows) and 850 < sizes["zz"] < 1150
+    assert sizes["aa"] + sizes["rare"] == len(rows) and 850 < sizes["zz"] < 1250
+
+
+def test_no_language_is_left_out(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('w', translate(id % 500, '0123456789', 'abcdefghij')) as text", "concat('l', id % 500) as lang")
+    usable = docs.where(langid.crc_rest("doc_id", 4) != 2)
+    per = {r["lang"]: r["count"] for r in langid.sample_by_language(usable, 1000, total=700).groupBy("lang").count().collect()}
+    assert len(per) == 500 and sum(per.values()) < 1600
+    model = langid.fit(docs)
+    assert len(model.languages) == 500
+    hit = [r.lang_pred == r.lang for r in langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()]
+    assert np.mean(hit) == 1.0
