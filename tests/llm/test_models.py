@@ -191,7 +191,7 @@ def test_rules(docs, labels, docs_rows, no_docs, no_labels):
     truth = {r[0]: r[1] for r in docs_rows[1][:240]}
     passed = [r for r in got if r.doc_id is not None and r.doc_id < 240 and not r.base_failed]
     assert np.mean([r.kept for r in passed if truth[r.doc_id]]) > 0.97
-    assert np.mean([r.kept for r in passed if not truth[r.doc_id]]) < 0.5
+    assert np.mean([r.kept for r in passed if not truth[r.doc_id]]) < 0.1
     assert all(r.kept != r.base_failed for r in rules.rule_verdicts(docs, no_labels).collect())
     assert rules.rule_verdicts(no_docs, labels).count() == 0
 
@@ -203,6 +203,38 @@ def test_forest_isolates_outliers():
     assert score.argmax() == 500
 
 
+def plain_anomaly(forest, row):
+    """One row, one tree and one node at a time."""
+    total = 0.0
+    for feature, value, path in zip(forest.feature, forest.value, forest.path):
+        node = 0
+        while feature[node] >= 0:
+            node = 2 * node + (2 if row[feature[node]] >= value[node] else 1)
+        total += path[node]
+    return 2 ** (-total / len(forest.feature) / rules.average_path(forest.size))
+
+
+def test_verdicts_match_a_plain_form(docs, labels, docs_rows):
+    forest, cut = rules.fit(docs, labels)
+    got = {(r.doc_id, r.n_words): r for r in rules.judged(docs, forest, cut).collect()}
+    for key, text, *_ in docs_rows[0]:
+        stats = np.array([plain_statistics(text) + [len((text or "").encode().split(b"\n")), *(len(re.findall(p, text or "")) for p in ("[A-Z]", "[0-9]"))] + [len(re.findall(rb"[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]", (text or "").encode()))]])
+        r = got[key, int(stats[0, 0])]
+        failed = stats[0, 0] < 50 or 100 * stats[0, 4] > 50 * stats[0, 0]
+        score = plain_anomaly(forest, rules.ratios(stats)[0])
+        assert r.anomaly == pytest.approx(score, abs=1e-9)
+        assert (r.base_failed, r.kept) == (failed, not failed and score <= cut)
+
+
+def test_bad_rows_are_rejected_and_good_ones_kept_with_few_and_many_labels(spark):
+    for sf, least in (("sf0.01", 20), ("sf0.1", 200)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet") for name in ("documents", "labels"))
+        got = rules.rule_verdicts(docs, labels).where("not base_failed").join(labels.select("doc_id", "quality"), "doc_id").where("quality is not null").collect()
+        assert sum(r.quality == 0 for r in got) > least
+        assert np.mean([r.kept for r in got if r.quality == 0]) < 0.1
+        assert np.mean([r.kept for r in got if r.quality == 1]) > 0.99
+
+
 def test_samples_are_bounded_and_do_not_depend_on_order(spark):
     ids = spark.range(20000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id for r in sampled(ids, "doc_id", 500, 20000).collect()}
@@ -225,7 +257,7 @@ def test_samples_hold_one_row_of_a_repeated_id(spark, monkeypatch):
     monkeypatch.setattr(rules, "_collected", lambda df: sizes.append(df.count()) or collected(df))
     monkeypatch.setattr(rules, "base_failed", lambda stats: np.zeros(len(stats), bool))
     rules.fit(docs, labels)
-    assert sizes == [53, len(usable)]
+    assert sizes == [len(usable)]
 
 
 def known_words(model, words):
