@@ -125,7 +125,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
 
     Every row of ``docs`` gives one row, repeated ids included. Without any
     usable label all scores are 0.5. A doc_id that is labelled twice counts with
-    its larger label.
+    its larger label. A text of any length is scored whole; an empty table gives an
+    empty result.
     """
     return score(docs, fit(docs, labels, "quality", rows))
 

@@ -83,13 +83,28 @@ def document_hazards(hazard: np.ndarray, doc: np.ndarray, docs: int, weights: np
     return kernel.group_sums(np.maximum(hazard - floor, 0), doc, docs) + np.minimum(below, max(neutral, BACKGROUND * float(softplus(BIAS))))
 
 
-def document_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(offsets) - 1)
+def passes(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Range of documents, their scores, and of their sentences: document, first byte in it, length, score."""
     for lo, hi in kernel.slices(offsets):
-        word, sentence, doc, _, _ = instances(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        hazard = softplus(sentence_logits(word, sentence, len(doc), weights))
-        out[lo:hi] = -np.expm1(-document_hazards(hazard, doc, hi - lo, weights))
-    return out
+        first = offsets[lo : hi + 1] - offsets[lo]
+        word, sentence, doc, start, end = instances(data[offsets[lo] : offsets[hi]], first)
+        logit = sentence_logits(word, sentence, len(doc), weights)
+        yield lo, hi, -np.expm1(-document_hazards(softplus(logit), doc, hi - lo, weights)), (doc + lo, start - first[doc], end - start, sigmoid(logit))
+
+
+def document_scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(score for _, _, score, _ in passes(data, offsets, weights))])
+
+
+def offending(scores: np.ndarray, sentences: list[tuple[np.ndarray, ...]], threshold: float) -> pa.Array:
+    """Of every document at or over the threshold the sentences at or over it (else its worst one), in order; of others none."""
+    doc, start, length, score = (np.concatenate(x) for x in zip(*sentences)) if sentences else (np.zeros(0, np.int64),) * 4
+    best = np.full(len(scores), -1.0)
+    np.maximum.at(best, doc, score)
+    hit = np.flatnonzero((scores[doc] >= threshold) & ((score >= threshold) | (score == best[doc])))
+    bounds = np.searchsorted(doc[hit], np.arange(len(scores) + 1))
+    items = pa.StructArray.from_arrays([pa.array(start[hit], pa.int64()), pa.array(length[hit], pa.int64()), pa.array(score[hit], pa.float64())], ["start", "length", "score"])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), items)
 
 
 def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
@@ -137,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; a text without words scores zero."""
+    """doc_id, held_out, score, predicted and offending (sentences: start and length in UTF-8 bytes, score) of every row; a text without words scores zero."""
     tune(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -145,11 +160,17 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value.astype(float)
         for batch in batches:
-            value = document_scores(*kernel.flat(batch.column(1)), own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(value), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            value, sentences = np.zeros(batch.num_rows), []
+            for lo, hi, part, held in passes(*kernel.flat(batch.column(1)), own):
+                value[lo:hi] = part
+                sentences.append(held)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(value), pa.array((value >= threshold).astype(np.int32)), offending(value, sentences, threshold)],
+                ["doc_id", "held_out", "score", "predicted", "offending"],
+            )
 
     rows = docs.select("doc_id", "text", is_held("doc_id", 5, 0).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, offending array<struct<start: long, length: long, score: double>>")
 
 
 def locate(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,15 +183,12 @@ def locate(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
         own = sent.value.astype(float)
         for batch in batches:
             data, offsets = kernel.flat(batch.column(1))
-            for lo, hi in kernel.slices(offsets):
-                held = data[offsets[lo] : offsets[hi]]
-                word, sentence, doc, start, end = instances(held, offsets[lo : hi + 1] - offsets[lo])
-                value = sigmoid(sentence_logits(word, sentence, len(doc), own))
+            for _, _, _, (doc, start, length, value) in passes(data, offsets, own):
                 hit = np.flatnonzero(value >= threshold)
-                text = [held[a:b].tobytes().decode() for a, b in zip(start[hit].tolist(), end[hit].tolist())]
-                begin = start[hit] - (offsets[lo:hi] - offsets[lo])[doc[hit]]
+                at = offsets[doc[hit]] + start[hit]
+                text = [data[a : a + n].tobytes().decode() for a, n in zip(at.tolist(), length[hit].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc[hit] + lo)), pa.array(begin), pa.array(end[hit] - start[hit]), pa.array(text, pa.string()), pa.array(value[hit])],
+                    [batch.column(0).take(pa.array(doc[hit])), pa.array(start[hit]), pa.array(length[hit]), pa.array(text, pa.string()), pa.array(value[hit])],
                     ["doc_id", "start", "length", "sentence", "score"],
                 )
 
@@ -180,8 +198,10 @@ def locate(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
 def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """Scores of ``docs(doc_id, text, ...)`` after learning from ``labels(doc_id, toxic, ...)``.
 
-    Every row of ``docs`` gives one row, repeated ids included. Null and empty
-    texts score zero. Without any usable label every word weighs nothing.
+    Every row of ``docs`` gives one row, repeated ids included, with the sentences
+    that make it toxic. Null and empty texts score zero. Without any usable label
+    every word weighs nothing. A text of any length is scored whole; an empty table
+    gives an empty result.
     """
     return score(docs, fit(docs, labels, rows))
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 
 from ashlar.llm import kernel, langid, quality, rules, toxicity
 from ashlar.llm.common import sampled
@@ -146,6 +147,48 @@ def test_offending_sentences_are_located(docs, labels):
     assert all(texts[r.doc_id].encode()[r.start : r.start + r.length].decode() == r.sentence for r in found)
 
 
+def test_toxic_documents_come_with_their_sentences(docs, labels):
+    rows = toxicity.toxicity_scores(docs, labels).where("doc_id < 240").collect()
+    texts = {r.doc_id: r.text.encode() for r in docs.where("doc_id < 240").collect()}
+    assert all(bool(r.offending) == bool(r.predicted) for r in rows)
+    found = [texts[r.doc_id][x.start : x.start + x.length].decode() for r in rows for x in r.offending]
+    assert found and np.mean(["blockhead" in x for x in found]) > 0.95
+
+
+def plain_toxicity(text, weights):
+    """One sentence and one word at a time."""
+    feature = lambda part, seed: xxhash.xxh64_intdigest(part, seed) >> (64 - toxicity.BITS)
+    hazards = []
+    for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+        words = re.findall(rb"[a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in sentence))
+        if words:
+            logit = weights[-1] + toxicity.BIAS + sum(weights[feature(w, 42)] + sum(weights[feature(w[:n], n)] for n in toxicity.PREFIXES if len(w) >= n) for w in words)
+            hazards.append(math.log1p(math.exp(logit)))
+    neutral, start = math.log1p(math.exp(weights[-1] + toxicity.BIAS)), math.log1p(math.exp(toxicity.BIAS))
+    floor = max(neutral, -math.log1p(-toxicity.FLOOR))
+    return -math.expm1(-(sum(max(h - floor, 0) for h in hazards) + min(sum(min(h, floor) for h in hazards), max(neutral, toxicity.BACKGROUND * start))))
+
+
+def plain_quality(text, weights):
+    """One token at a time."""
+    tokens = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff \t-\r]+", (text or "").encode())
+    hashed = np.array([xxhash.xxh64_intdigest(t, 42) for t in tokens], np.uint64)
+    found = [*hashed, *(kernel.mix(hashed[i : i + 1], hashed[i + 1 : i + 2])[0] for i in range(len(tokens) - 1))]
+    for lag in range(1, quality.LAGS + 1):
+        found += [kernel.mix(np.array([lag], np.uint64), kernel.P5)[0]] * sum(tokens[i] == tokens[i + lag] for i in range(len(tokens) - lag))
+    logit = weights[-1] + quality.SCALE * sum(weights[int(x) >> (64 - quality.BITS)] for x in found) / max(1, len(found))
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_match_the_plain_forms(docs, labels, docs_rows):
+    weights = {"quality": quality.fit(docs, labels).astype(float), "toxic": toxicity.fit(docs, labels).astype(float)}
+    texts = [r[1] for r in docs_rows[0] if len(r[1] or "") < 5000] + ["Ünïcode ##?! 12,5\tx\x0by", "a. b! c\n\nd?", "You blockhead, blockheads! " * 40]
+    flat = kernel.flat(pa.array(texts))
+    got = 1 / (1 + np.exp(-quality.logits(*flat, weights["quality"])))
+    assert np.allclose(got, [plain_quality(t, weights["quality"]) for t in texts], atol=1e-9)
+    assert np.allclose(toxicity.document_scores(*flat, weights["toxic"]), [plain_toxicity(t, weights["toxic"]) for t in texts], atol=1e-9)
+
+
 def test_noisy_or_of_sentences():
     data, offsets = kernel.flat(pa.array(["a b. c!\nd", None]))
     word, sentence, doc, start, end = toxicity.instances(data, offsets)
