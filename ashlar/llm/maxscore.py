@@ -9,22 +9,26 @@ postings are traversed; candidates are then probed in the other terms, largest
 bound first, only while partial score plus remaining bounds is competitive.
 Shards work alone; their k best per query are merged.
 
-Queries and candidates meet by an equality join on (shard, query block), both of
-bounded size: no task holds more than ``SHARD_ROWS`` vectors (on average) and
-``BLOCK_ROWS`` queries.
+Every vector goes to one shard, once. Queries go to all shards and pass each one's
+postings in small batches, so that a task holds one shard (bounded in bytes) and one
+batch of queries, however many there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, tune
 
+#: Vectors of a shard while there are few (up to SHARDS shards), and bytes of one when there are many.
 SHARD_ROWS = 8192
-BLOCK_ROWS = 1024
+SHARDS = 64
+SHARD_BYTES = 64 << 20
 #: Candidates traversed before the threshold is looked at again, and terms probed at a time.
 STRIDE = 1024
 PROBES = 8
@@ -42,11 +46,8 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return rows.where("not exists(v, x -> x is null)").select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(rows: pa.ListArray) -> np.ndarray:
     """Vectors as columns: one row for each dimension; shorter vectors end in zeros."""
-    rows = column.combine_chunks()
-    if isinstance(rows, pa.ChunkedArray):
-        rows = rows.chunk(0)
     size = rows.value_lengths().to_numpy()
     flat = rows.flatten().to_numpy()
     width = int(size.max()) if len(size) else 0
@@ -59,11 +60,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 class Shard:
-    """Postings of one shard, candidates in the order of their ids."""
+    """Postings of one shard, candidates in the order of their ids (unknown ones last)."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, columns: np.ndarray):
-        order = np.lexsort((rows, ids))
-        self.ids, self.rows = ids[order], rows[order]
+    def __init__(self, ids: np.ndarray, unknown: np.ndarray, rows: np.ndarray, columns: np.ndarray):
+        order = np.lexsort((rows, ids, unknown))
+        self.ids, self.unknown, self.rows = ids[order], unknown[order], rows[order]
+        #: Posting entries that searches have read so far.
+        self.touched = 0
         self.columns = columns[:, order]
         self.high = np.maximum(self.columns.max(axis=1, initial=0), 0).astype(float)
         self.low = np.minimum(self.columns.min(axis=1, initial=0), 0).astype(float)
@@ -96,6 +99,7 @@ class Shard:
             essential = min(essential, len(terms))
             part = terms[:essential]
             score = weight[part] @ values[part, lo:hi] if essential else np.zeros(hi - lo, values.dtype)
+            self.touched += essential * (hi - lo)
             at = np.arange(lo, hi)
             live = self.rows[lo:hi] != own_row
             if threshold > 0:
@@ -106,6 +110,7 @@ class Shard:
                 if step >= len(terms) or not len(at):
                     break
                 more = terms[step : step + PROBES]
+                self.touched += len(more) * len(at)
                 score = score + weight[more] @ values[np.ix_(more, at)]
             if len(at):
                 best_at, best = np.append(best_at, at), np.append(best, score)
@@ -117,38 +122,61 @@ class Shard:
 
 
 def _search(k: int):
-    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if vectors.num_rows and queries.num_rows:
-            ids = vectors["vec_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-            shard = Shard(ids, vectors["row"].to_numpy(), _matrix(vectors["v"]))
-            wanted = _matrix(queries["query"]).T
-            for row, key, query in zip(queries["query_row"].to_pylist(), queries["query_id"].to_pylist(), wanted):
-                at, score = shard.top(query, row, k)
-                out[0] += [row] * len(at)
-                out[1] += [key] * len(at)
-                out[2] += shard.ids[at].tolist()
-                out[3] += score.astype(np.int64).tolist()
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("row", "query_id", "vec_id", "score"), out)})
+    """Passes rows sorted by shard, each shard's vectors before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, shard = None, [], None
+        for batch in batches:
+            place = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, place[1:] != place[:-1]))[: len(place)].tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(place)]):
+                part = batch.slice(lo, hi - lo)
+                if place[lo] // 2 != number:
+                    number, held, shard = place[lo] // 2, [], None
+                if place[lo] % 2 == 0:
+                    held.append(part)
+                    continue
+                if not held and shard is None:
+                    continue
+                if shard is None:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    ids = rows["vec_id"].combine_chunks()
+                    columns = _matrix(rows["v"].chunk(0))
+                    shard = Shard(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), rows["row"].to_numpy(), columns)
+                    held = []
+                yield _answers(shard, part, k)
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _answers(shard: Shard, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    row, key, found, scores, n = queries.column(2).to_numpy(), queries.column(3).to_numpy(), [], [], []
+    for own, query in zip(row, _matrix(queries.column(4)).T):
+        at, score = shard.top(query, own, k)
+        found.append(at)
+        scores.append(score.astype(np.int64))
+        n.append(len(at))
+    at = np.concatenate(found)
+    arrays = [pa.array(np.repeat(row, n)), pa.array(np.repeat(key, n)), pa.array(shard.ids[at], mask=shard.unknown[at]), pa.array(np.concatenate(scores))]
+    return pa.RecordBatch.from_arrays(arrays, ["row", "query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for every row whose vec_id is divisible by ``every``.
 
     ``vectors(vec_id, embedding, ...)``: every usable row but the query's own is a
     candidate. A repeated vec_id is a row of its own, as query and as candidate.
     Null ids are never queries, and as candidates come last among ties. Shorter
-    vectors count as ending in zeros. Sums beyond 64 bits are not defined.
+    vectors count as ending in zeros. Sums beyond 64 bits are not defined. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    rows = keep(quantised(vectors, scale))
-    # columns of their own: both sides of the grouped join come from one table
-    asked = rows.where(f"vec_id % {every} = 0").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    left = rows.withColumn("shard", F.expr(f"cast(pmod(xxhash64(row), {shards}) as int)")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.expr(f"cast(pmod(xxhash64(query_row, 'block'), {blocks}) as int)")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
-    ranked = found.selectExpr("*", "row_number() over (partition by row order by score desc, vec_id) as rank").where(F.col("rank") <= k)
-    return ranked.selectExpr("query_id", "rank", f"nullif(vec_id, {np.iinfo(np.int64).max}L) as vec_id", "score")
+    tune(vectors.sparkSession)
+    rows = keep(quantised(vectors, scale).withColumn("vec_id", F.col("vec_id").cast("long")))
+    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
+    shards = max(1, -(-8 * sizes.cells // SHARD_BYTES), min(SHARDS, -(-sizes.n // shard_rows)))
+    own = rows.select(F.expr(f"cast(pmod(xxhash64(row), {shards}) as int)").alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "v")
+    asked = rows.where(f"vec_id % {every} = 0").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "v")
+    dealt = own.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+    found = dealt.mapInArrow(_search(k), "row long, query_id long, vec_id long, score long")
+    ranked = found.selectExpr("*", "row_number() over (partition by row order by score desc, vec_id asc nulls last) as rank").where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")

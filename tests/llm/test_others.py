@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from ashlar.llm import maxscore, sharding
@@ -64,15 +65,15 @@ def plain_top(rows, k, every):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard_rows, block_rows, sparse", [(8192, 1024, False), (40, 2, False), (64, 3, True)])
-def test_top_k_is_exact(spark, shard_rows, block_rows, sparse):
+@pytest.mark.parametrize("shard_rows, sparse", [(8192, False), (40, False), (64, True)])
+def test_top_k_is_exact(spark, shard_rows, sparse):
     rng = random.Random(9)
     value = lambda: 0.0 if sparse and rng.random() < 0.8 else rng.gauss(0.2 if sparse else 0, 1)
     rows = [(i, [value() for _ in range(12)], 1) for i in range(300)]
     rows += [(400 + i, rows[0][1], 1) for i in range(30)]  # ties
-    rows += [(0, rows[0][1], 1), (None, rows[3][1], 2), (500, None, 1), (600, [1.0, None], 1), (700, [float("nan")] * 12, 1), (710, [float("inf")] * 12, 1), (720, [1.0, 2.0], 1), (730, [], 1)]
+    rows += [(0, rows[0][1], 1), (None, rows[3][1], 2), (500, None, 1), (600, [1.0, None], 1), (700, [float("nan")] * 12, 1), (710, [float("inf")] * 12, 1), (720, [1.0, 2.0], 1), (730, [], 1), (2**63 - 1, rows[5][1], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(5)
-    got = maxscore.top_k(table, k=10, every=10, shard_rows=shard_rows, block_rows=block_rows).collect()
+    got = maxscore.top_k(table, k=10, every=10, shard_rows=shard_rows).collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_top(rows, 10, 10)
 
 
@@ -81,3 +82,22 @@ def test_few_candidates_and_no_rows(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in maxscore.top_k(table).collect()) == [(0, 1, 1, 1048576), (0, 2, 2, -1048576)]
     assert maxscore.top_k(table.limit(0)).count() == 0
+
+
+def test_bounds_spare_most_postings():
+    rng = np.random.default_rng(4)
+    columns = np.round(rng.normal(size=(40, 20_000)) * (1000 * 0.7 ** np.arange(40))[:, None]).astype(np.int64)
+    shard = maxscore.Shard(np.arange(20_000), np.zeros(20_000, bool), np.arange(20_000), columns)
+    for query in range(20):
+        at, score = shard.top(columns[:, query], query, 10)
+        every = columns[:, query] @ columns
+        every[query] = -(2**62)
+        best = np.lexsort((np.arange(20_000), -every))[:10]
+        assert at.tolist() == best.tolist() and score.tolist() == every[best].tolist()
+    assert shard.touched < 0.6 * 20 * columns.size
+
+
+def test_a_long_vector_and_only_queries(spark):
+    rows = [(0, [0.5] * 5000), (100, [0.5] * 5000), (None, [0.5] * 5000)]
+    got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.query_id, r["rank"], str(r.vec_id), r.score) for r in got) == [(0, 1, "100", 5000 * 512 * 512), (0, 2, "None", 5000 * 512 * 512), (100, 1, "0", 5000 * 512 * 512), (100, 2, "None", 5000 * 512 * 512)]
