@@ -72,14 +72,17 @@ def carried_sections(lines: DataFrame) -> DataFrame:
 def breadcrumbs(headings: DataFrame, fresh: int = FRESH_PAGES) -> DataFrame:
     """Path of every numbered heading: for each prefix of its number the latest registration up to it, if fresh.
 
-    ``headings(doc_id, seq, page, number, title)``. An as-of join: prefixes meet
-    all registrations of their document and number, the latest not after them wins.
+    ``headings(doc_id, seq, page, number, title)``. Prefixes and registrations of a
+    document and number lie in one order, where each prefix takes the last
+    registration before it: the cost grows with the headings, not with their pairs.
     """
     parts = F.split("number", r"\.")
-    prefixes = headings.select("doc_id", "seq", "page", "title", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("level", "prefix"))
-    known = headings.select("doc_id", F.col("number").alias("prefix"), F.col("seq").alias("at_seq"), F.col("page").alias("at_page"), F.col("title").alias("at_title"))
-    met = prefixes.join(known, ["doc_id", "prefix"]).where("at_seq <= seq")
-    latest = met.groupBy("doc_id", "seq", "page", "title", "level").agg(F.max_by(F.struct("at_page", "at_title"), "at_seq").alias("x"))
+    own = F.struct(F.col("page").alias("at_page"), F.col("title").alias("at_title"))
+    known = headings.select("doc_id", F.col("number").alias("prefix"), "seq", F.lit(0).alias("level"), "page", own.alias("own"))
+    asked = headings.select("doc_id", "seq", "page", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))).alias("level", "prefix"))
+    asked = asked.select("doc_id", "prefix", "seq", F.col("level") + 1, "page", F.lit(None).cast(known.schema["own"].dataType))
+    order = W.partitionBy("doc_id", "prefix").orderBy("seq", "level").rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = known.union(asked).withColumn("x", F.last("own", ignorenulls=True).over(order)).where("level > 0 and x is not null")
     fresh_ones = latest.where((F.col("page") == 0) | (F.col("x.at_page") == 0) | (F.col("page") - F.col("x.at_page") <= fresh))
     crumbs = fresh_ones.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("level", F.col("x.at_title").alias("t")))).alias("c"))
     titles = F.transform("c", lambda x: x.t)
@@ -94,9 +97,11 @@ def merge_rows(cells: DataFrame) -> DataFrame:
     distinct values or more; rows before the first key stay single; a table
     without a key column stays as it is.
     """
-    filled = cells.where("value <> ''").groupBy("table_id", "col").agg(F.count_distinct("value").alias("n")).where("n >= 2")
-    keyed = filled.groupBy("table_id").agg(F.min("col").alias("key_col"))
-    marked = cells.join(keyed, "table_id", "left")
+    whole = cells.repartition("table_id")  # the only exchange: all that follows keeps tables together
+    value = F.when(F.col("value") != "", F.col("value"))
+    column = W.partitionBy("table_id", "col")
+    varied = whole.withColumn("_v", F.min(value).over(column) != F.max(value).over(column))
+    marked = varied.withColumn("key_col", F.min(F.when(F.col("_v"), F.col("col"))).over(W.partitionBy("table_id")))
     has_key = F.max(F.when((F.col("col") == F.col("key_col")) & (F.col("value") != ""), 1).otherwise(0)).over(W.partitionBy("table_id", "row"))
     rows = marked.withColumn("_k", has_key).withColumn("_g", F.max(F.when(F.col("_k") == 1, F.col("row"))).over(W.partitionBy("table_id").orderBy("row")))
     group = F.when(F.col("key_col").isNull() | F.col("_g").isNull(), F.col("row")).otherwise(F.col("_g"))
@@ -139,7 +144,7 @@ def has_word_splits(rows: Column) -> Column:
 
     def cut(row: Column) -> Column:
         cells = F.filter(F.transform(row, lambda c: T.strip(T.nz(c))), lambda c: c != "")
-        pairs = F.zip_with(cells, F.slice(cells, 2, 1000), lambda a, b: F.regexp_extract(a, r"(\S+)$", 1).rlike("^[.,;:!?'\"()\\[\\]]*[a-z]{1,4}[.,;:!?'\"()\\[\\]]*$") & b.rlike("^[a-z]"))
+        pairs = F.zip_with(cells, F.slice(cells, F.lit(2), F.size(cells)), lambda a, b: F.regexp_extract(a, r"(\S+)$", 1).rlike("^[.,;:!?'\"()\\[\\]]*[a-z]{1,4}[.,;:!?'\"()\\[\\]]*$") & b.rlike("^[a-z]"))
         return F.exists(pairs, lambda p: F.coalesce(p, F.lit(False)))
 
     return (F.size(rows) >= 3) & (F.size(F.filter(rows, cut)) >= 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import text as T
 from ..operators import structure as S
 from ..registry import oracle_view, query
 from ..sources import base
-from .text import o_in, o_strip, q
+from .text import o_body_sentence, o_heading_case, o_in, o_strip, o_unit_body, q
 
 PAGE_LINES = 5
 # a document's lines as pages of five; every page of every third document starts with its source as header
@@ -19,8 +21,8 @@ oracle_view("page_lines", f"""SELECT doc_id, page, CASE WHEN n = 0 THEN -1 ELSE
 oracle_view("first_lines", f"SELECT doc_id, page, {o_strip('arg_min(line, pos)')} AS line FROM page_lines WHERE {o_strip('line')} <> '' GROUP BY doc_id, page")
 oracle_view("running", """SELECT doc_id, line, n, start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, start) AS place FROM (
     SELECT doc_id, line, count(*) AS n, min(page) AS start FROM (SELECT *, page - row_number() OVER (PARTITION BY doc_id, line ORDER BY page) AS island FROM first_lines) GROUP BY doc_id, line, island HAVING count(*) >= 3)) WHERE place = 1""")
-oracle_view("headings", "SELECT doc_id, pos AS seq, pos // 5 AS page, (1 + pos % 3) || CASE WHEN pos % 2 = 0 THEN '' ELSE '.' || (1 + pos % 4) END || CASE WHEN pos % 4 = 3 THEN '.2' ELSE '' END AS number, 'T' || pos % 7 AS title FROM split_lines WHERE pos % 40 < 20")
-oracle_view("cells", "SELECT doc_id AS table_id, pos // 3 AS row, pos % 3 AS col, CASE WHEN pos % 3 = 0 AND pos % 2 = 1 THEN '' ELSE left(regexp_replace(line, '[^A-Za-z0-9]', '', 'g'), 12) END AS value FROM split_lines")
+oracle_view("headings", "SELECT doc_id, pos AS seq, pos // 5 AS page, (1 + pos % 3) || CASE WHEN pos % 2 = 0 THEN '' ELSE '.' || (1 + pos % 4) END || CASE WHEN pos % 4 = 3 THEN '.2' ELSE '' END AS number, 'T' || pos % 7 AS title FROM split_lines")
+oracle_view("cells", "SELECT doc_id AS table_id, pos // 3 AS row, pos % 3 AS col, CASE WHEN pos % 3 = 0 AND pos % 2 = 1 THEN '' ELSE regexp_replace(line, '[^A-Za-z0-9]', '', 'g') END AS value FROM split_lines")
 oracle_view("grids", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ['', ''] WHEN doc_id % 4 = 1 THEN ['Part', 'Qty'] ELSE ['col1', 'Long label that never ends at all here', 'Name'] END AS headers, [[source, ''], [CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END, CASE WHEN doc_id % 3 = 0 THEN '12' ELSE '' END], ['', CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE '' END]] AS rows FROM documents")
 
 
@@ -38,11 +40,11 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = "concat(1 + pos % 3, if(pos % 2 = 0, '', concat('.', 1 + pos % 4)), if(pos % 4 = 3, '.2', ''))"
-    return base.lines(spark, sf_dir).where("doc_id >= 0 and pos % 40 < 20").selectExpr("doc_id", "pos as seq", "pos div 5 as page", f"{number} as number", "concat('T', pos % 7) as title")
+    return base.lines(spark, sf_dir).where("doc_id >= 0").selectExpr("doc_id", "pos as seq", "pos div 5 as page", f"{number} as number", "concat('T', pos % 7) as title")
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.lines(spark, sf_dir).where("doc_id >= 0").selectExpr("doc_id as table_id", "pos div 3 as row", "pos % 3 as col", "if(pos % 3 = 0 and pos % 2 = 1, '', left(regexp_replace(line, '[^A-Za-z0-9]', ''), 12)) as value")
+    return base.lines(spark, sf_dir).where("doc_id >= 0").selectExpr("doc_id as table_id", "pos div 3 as row", "pos % 3 as col", "if(pos % 3 = 0 and pos % 2 = 1, '', regexp_replace(line, '[^A-Za-z0-9]', '')) as value")
 
 
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +75,33 @@ def folio_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.folio_strip(shaped, ["doc_id", "page"])
 
 
-@query("headings")
+# every third line numbered, every third in capitals: headings with the words of the documents
+_TITLE = "regexp_replace(line, '[^A-Za-z ]', '', 'g')"
+oracle_view("titled_lines", f"""SELECT doc_id, pos, line FROM doc_lines WHERE doc_id < 0 UNION ALL
+    SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN (1 + pos % 9) || '.' || (1 + pos % 4) || ' ' || upper({_TITLE}[1]) || {_TITLE}[2:] WHEN pos % 3 = 1 THEN upper({_TITLE}) ELSE line END FROM doc_lines WHERE doc_id >= 0""")
+
+
+def _on(expr: str, name: str) -> str:
+    """A twin's expression on another column than ``line``."""
+    return re.sub(r"\bline\b", name, expr)
+
+
+@query("headings", f"""WITH l AS (SELECT doc_id, pos, {o_strip('line')} AS s, coalesce(lag({o_strip('line')}) OVER (PARTITION BY doc_id ORDER BY pos), '') = '' AS isolated FROM titled_lines),
+    p AS (SELECT *, regexp_extract(s, '^([0-9]+(?:\\.[0-9]+){{0,3}})\\s+([A-Z][A-Za-z &/\\-+'',]{{3,80}})\\s*[:\\-]?\\s*$', ['number', 'title']) AS n, regexp_matches(s, '^([0-9]+(?:\\.[0-9]+){{0,3}})\\s+([A-Z][A-Za-z &/\\-+'',]{{3,80}})\\s*[:\\-]?\\s*$') AND length(s) <= 120 AND NOT regexp_matches(s, '[.;,]$') AS numbered,
+        {o_strip("regexp_replace(s, '[:\\-\\s]+$', '')")} AS body FROM l),
+    t AS (SELECT *, {o_strip("regexp_replace(n.title, '[:\\-\\s]+$', '')")} AS title FROM p),
+    h AS (SELECT doc_id, pos, CASE WHEN numbered AND NOT ({_on(o_unit_body, 'title')}) AND NOT {_on(o_body_sentence, 'title')} THEN n.number END AS number, {_on(o_heading_case, 'title')} AS numbered_title,
+        CASE WHEN isolated AND regexp_matches(s, '^[A-Z][A-Z0-9 &/\\-+()'',]{{3,80}}\\s*[:\\-]?\\s*$') AND NOT regexp_matches(s, '[.;,]$') AND length(regexp_replace(body, '[^A-Za-z]', '', 'g')) >= 6 AND length(regexp_replace(body, '[^0-9]', '', 'g')) * 5 <= length(body)
+            AND lower(body) NOT IN ('note', 'notes', 'caution', 'warning', 'warnings', 'important', 'tip', 'tips', 'danger', 'attention', 'remarks', 'remark', 'hint') AND NOT regexp_matches(body, '\\(.*\\)$')
+            AND NOT regexp_matches(body, '(?i)[0-9].*[x×*].*[0-9]|[0-9]\\s*(?:mm|cm|kg|nm|rpm|hp|kw|ah|v|w|l|ml)\\b') AND NOT {_on(o_body_sentence, 'body')} THEN {_on(o_heading_case, 'body')} END AS capital FROM t)
+    SELECT doc_id, pos, number, CASE WHEN number IS NOT NULL THEN numbered_title ELSE capital END AS title FROM h WHERE number IS NOT NULL OR capital IS NOT NULL""")
 def headings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered and capital headings of all lines; a line is isolated if the one before is blank or missing."""
+    title = "regexp_replace(line, '[^A-Za-z ]', '')"
+    shaped = f"case when doc_id < 0 then line when pos % 3 = 0 then concat(1 + pos % 9, '.', 1 + pos % 4, ' ', upper(left({title}, 1)), substr({title}, 2)) when pos % 3 = 1 then upper({title}) else line end"
+    lines = base.lines(spark, sf_dir).selectExpr("doc_id", "pos", f"{shaped} as line")
     before = F.lag(T.strip(F.col("line"))).over(Window.partitionBy("doc_id").orderBy("pos"))
-    rows = base.lines(spark, sf_dir).withColumn("isolated", F.coalesce(before, F.lit("")) == "")
+    rows = lines.withColumn("isolated", F.coalesce(before, F.lit("")) == "")
     numbered = S.numbered_heading(F.col("line"))
     return rows.select("doc_id", "pos", numbered.alias("numbered"), F.when(F.col("isolated"), S.capital_heading(F.col("line"))).alias("capital")).where("numbered is not null or capital is not null").select("doc_id", "pos", "numbered.number", F.coalesce("numbered.title", "capital").alias("title"))
 
@@ -92,7 +116,7 @@ def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("breadcrumbs", """WITH p AS (SELECT doc_id, seq, page, unnest(range(1, len(string_split(number, '.')) + 1)) AS level, string_split(number, '.') AS parts FROM headings),
     x AS (SELECT doc_id, seq, page, level, array_to_string(parts[1:level], '.') AS prefix FROM p),
-    m AS (SELECT x.doc_id, x.seq, x.page, x.level, arg_max(h.page, h.seq) AS at_page, arg_max(h.title, h.seq) AS t FROM x JOIN headings h ON h.doc_id = x.doc_id AND h.number = x.prefix AND h.seq <= x.seq GROUP BY ALL),
+    m AS (SELECT x.doc_id, x.seq, x.page, x.level, h.page AS at_page, h.title AS t FROM x ASOF JOIN headings h ON h.doc_id = x.doc_id AND h.number = x.prefix AND x.seq >= h.seq),
     f AS (SELECT doc_id, seq, level, t, lag(t) OVER (PARTITION BY doc_id, seq ORDER BY level) AS before FROM m WHERE page = 0 OR at_page = 0 OR page - at_page <= 30)
     SELECT doc_id, seq, string_agg(t, ' > ' ORDER BY level) AS path FROM f WHERE before IS NULL OR before <> t GROUP BY doc_id, seq""")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,18 +204,25 @@ def real_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids(spark, sf_dir).select("doc_id", S.is_real_table(F.col("rows")).alias("value"))
 
 
-@query("word_splits")
+_CUT = "regexp_matches(regexp_extract(x[1], '(\\S+)$', 1), '^[.,;:!?''\"()\\[\\]]*[a-z]{1,4}[.,;:!?''\"()\\[\\]]*$') AND regexp_matches(x[2], '^[a-z]')"
+
+
+@query("word_splits", f"""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents),
+    r AS (SELECT doc_id, n, list_filter(list_transform(w[n + 1:n + 4], lambda x: {o_strip('x')}), lambda x: x <> '') AS c FROM (SELECT doc_id, w, unnest(range(0, len(w), 4)) AS n FROM w))
+    SELECT doc_id, count(*) >= 3 AND count(*) FILTER (len(c) > 1 AND len(list_filter(list_zip(c[:-2], c[2:]), lambda x: {_CUT})) > 0) >= 2 AS value FROM r GROUP BY doc_id""")
 def word_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of three rows made of each document's words, judged for cut words."""
-    w = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 12)
-    rows = F.array(F.slice(w, 1, 4), F.slice(w, 5, 4), F.slice(w, 9, 4))
-    return base.table(spark, sf_dir, "documents").select("doc_id", S.has_word_splits(rows).alias("value"))
+    """Tables of four words a row made of each document's whole text, judged for cut words."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    # the pattern may also find an empty row behind the last word
+    rows = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^ ]*(?: [^ ]*){0,3})(?: |$)"), F.lit(1)), lambda r: F.split(r, " "))
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", F.slice(rows, F.lit(1), F.ceil(F.size(words) / 4).cast("int")).alias("rows"))
+    return docs.select("doc_id", S.has_word_splits(F.col("rows")).alias("value"))
 
 
-@query("table_line_split", "SELECT doc_id, i - 1 AS line_no, coalesce(a[i], '') || '|' || coalesce(b[i], '') AS row FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1:4] AS a, string_split(source || chr(10) || lang, chr(10)) AS b FROM documents), LATERAL (SELECT unnest(range(1, greatest(len(a), len(b)) + 1)) AS i) WHERE coalesce(a[i], '') <> '' OR coalesce(b[i], '') <> ''")
+@query("table_line_split", "SELECT doc_id, i - 1 AS line_no, coalesce(a[i], '') || '|' || coalesce(b[i], '') AS row FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a, string_split(source || chr(10) || lang, chr(10)) AS b FROM documents), LATERAL (SELECT unnest(range(1, greatest(len(a), len(b)) + 1)) AS i) WHERE coalesce(a[i], '') <> '' OR coalesce(b[i], '') <> ''")
 def table_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of several lines become several rows, padded with empty cells; blank rows go."""
-    docs = base.table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 4).alias("a"), F.split(F.concat("source", F.lit("\n"), "lang"), "\n").alias("b"))
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("a"), F.split(F.concat("source", F.lit("\n"), "lang"), "\n").alias("b"))
     rows = docs.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("line_no", "x")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce("x.a", F.lit("")).alias("a"), F.coalesce("x.b", F.lit("")).alias("b"))
     return rows.where("a <> '' or b <> ''").select("doc_id", "line_no", F.concat("a", F.lit("|"), "b").alias("row"))
 

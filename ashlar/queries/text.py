@@ -100,10 +100,12 @@ on_lines("chrome_lines", T.is_chrome, f"regexp_matches(line, {q('(?i)' + T.CHROM
 on_lines("folio_lines", T.is_folio, f"regexp_matches(line, {q('(?i)' + T.FOLIO)})")
 on_lines("descriptive", T.is_descriptive, f"length({o_strip('line')}) >= 25 AND regexp_matches(line, '[a-z]') AND len({o_words('line')}) >= 4")
 _LOW = f"(' ' || lower({o_strip('line')}) || ' ')"
-on_lines("body_sentence", T.is_body_sentence, f"""({o_strip('line')} <> '' AND (len({o_words('line')}) > 8 OR (length({o_strip('line')}) > 55 AND len({o_words('line')}) > 6)
-    OR {" OR ".join(f"contains({_LOW}, {q(m)})" for m in T.BODY_MARKERS)} OR coalesce(regexp_replace(lower({o_words('line')}[-1]), '^[,;:.]+|[,;:.]+$', '', 'g') IN {o_in(T.CONNECTORS)}, false)))""")
+o_body_sentence = f"""({o_strip('line')} <> '' AND (len({o_words('line')}) > 8 OR (length({o_strip('line')}) > 55 AND len({o_words('line')}) > 6)
+    OR {" OR ".join(f"contains({_LOW}, {q(m)})" for m in T.BODY_MARKERS)} OR coalesce(regexp_replace(lower({o_words('line')}[-1]), '^[,;:.]+|[,;:.]+$', '', 'g') IN {o_in(T.CONNECTORS)}, false)))"""
+on_lines("body_sentence", T.is_body_sentence, o_body_sentence)
 _UNIT_WORDS = f"list_transform({o_words('line')}, lambda w: regexp_replace(lower(w), '^[.:,;]+|[.:,;]+$', '', 'g'))"
-on_lines("unit_body", T.is_unit_body, f"len({_UNIT_WORDS}) = 0 OR (len({_UNIT_WORDS}) <= 2 AND len(list_filter({_UNIT_WORDS}, lambda w: w NOT IN {o_in(T.UNITS)})) = 0)")
+o_unit_body = f"len({_UNIT_WORDS}) = 0 OR (len({_UNIT_WORDS}) <= 2 AND len(list_filter({_UNIT_WORDS}, lambda w: w NOT IN {o_in(T.UNITS)})) = 0)"
+on_lines("unit_body", T.is_unit_body, o_unit_body)
 on_lines("match_tokens", lambda c: F.array_join(T.match_tokens(c), "\x1f"), "array_to_string(list_filter(list_transform(regexp_split_to_array(lower(line), '[\\s,;:()/\\\\\\-]+'), lambda x: regexp_replace(x, '^[.''\"]+|[.''\"]+$', '', 'g')), lambda x: x <> ''), chr(31))")
 _S = o_strip("line")
 on_lines("ocr_quality", T.is_quality_ocr, f"""(length({_S}) >= 5
@@ -120,7 +122,8 @@ on_lines("garbage_title", T.is_garbage_title, f"(length({_TITLE}) < 2 OR length(
 on_lines("image_title", T.image_title, "regexp_replace(regexp_replace(line, '\\s+', ' ', 'g'), '^[ .:;,\\-_|]+|[ .:;,\\-_|]+$', '', 'g')")
 on_lines("alias_norm", T.alias_norm, f"replace(replace(replace(lower({_S}), '_', ''), '-', ''), ' ', '')")
 on_lines("safe_user", T.safe_user, f"coalesce(nullif(regexp_replace({_S}, '[^A-Za-z0-9_.-]+', '_', 'g'), ''), 'default')")
-on_lines("heading_case", T.heading_case, o_strip("array_to_string(list_transform(regexp_extract_all(line, '[^\\s/&\\-]+|[\\s/&\\-]'), lambda t: CASE WHEN length(t) <= 4 AND regexp_matches(t, '[A-Z]') AND upper(t) = t THEN t ELSE replace(upper(t[1]), 'ẞ', 'SS') || lower(t[2:]) END), '')"))
+o_heading_case = o_strip("array_to_string(list_transform(regexp_extract_all(line, '[^\\s/&\\-]+|[\\s/&\\-]'), lambda t: CASE WHEN length(t) <= 4 AND regexp_matches(t, '[A-Z]') AND upper(t) = t THEN t ELSE replace(upper(t[1]), 'ẞ', 'SS') || lower(t[2:]) END), '')")
+on_lines("heading_case", T.heading_case, o_heading_case)
 on_lines("sentence_header", lambda c: T.is_sentence_header(F.split(c, " ")), f"len(regexp_extract_all(lower(line), '[a-z'']+')) >= 4 AND len(list_filter(regexp_extract_all(lower(line), '[a-z'']+'), lambda w: w IN {o_in(T.FUNCTION_WORDS)})) >= 2")
 
 
