@@ -35,12 +35,21 @@ BODY_MARKERS = (
     " and the ", " or the ", " of the ", " for the ",
 )
 CONNECTORS = ("and", "or", "with", "for", "to", "of", "the", "a", "an", "in")
-OCR_WORDS = tuple(
-    "the a an is are be been being of to in and or for on at with this that it as by from but not if then do does has have was were any no yes you we they all use see than such must "
-    "should can will may shall into before after during while until since through between below above over under each per engine battery fuel oil air water system valve switch remove "
-    "install replace tighten check inspect fluid filter spark plug fuse wire connector torque bolt nut screw washer level fill drain flush clean service lubricate adjust hex pin ring "
-    "shaft gear bearing seal gasket cover frame wheel brake clutch chain sprocket head cylinder piston spec rpm max min type ratio pressure temperature speed voltage current front rear "
-    "left right side top bottom inside outside page section chapter figure fig note caution warning important model part code kit assembly".split()
+#: Words of which a recognised line of a manual holds at least one.
+OCR_WORDS = (
+    "the", "a", "an", "is", "are", "be", "been", "being", "of", "to", "in", "and", "or", "for", "on", "at", "with", "this", "that", "it", "as", "by",
+    "from", "but", "not", "if", "then", "do", "does", "has", "have", "was", "were", "any", "no", "yes", "you", "we", "they", "all", "use", "see",
+    "than", "such", "must", "should", "can", "will", "may", "shall", "into", "before", "after", "during", "while", "until", "since", "through",
+    "between", "below", "above", "over", "under", "each", "per", "engine", "battery", "fuel", "oil", "air", "water", "system", "valve", "switch",
+    "remove", "install", "replace", "tighten", "check", "inspect", "fluid", "filter", "spark", "plug", "fuse", "wire", "connector", "torque", "bolt",
+    "nut", "screw", "washer", "level", "fill", "drain", "flush", "clean", "service", "lubricate", "adjust", "hex", "pin", "ring", "shaft", "gear",
+    "bearing", "seal", "gasket", "cover", "frame", "wheel", "brake", "clutch", "chain", "sprocket", "head", "cylinder", "piston", "spec",
+    "specification", "specifications", "rpm", "max", "min", "type", "ratio", "pressure", "temperature", "speed", "voltage", "current", "front",
+    "rear", "left", "right", "side", "top", "bottom", "inside", "outside", "page", "section", "chapter", "figure", "fig", "note", "caution",
+    "warning", "important", "model", "part", "code", "color", "yellow", "blue", "green", "red", "black", "white", "kit", "assembly", "lubrication",
+    "lubricant", "consumables", "maintenance", "procedure", "instructions", "operation", "function", "component", "components", "parts", "tools",
+    "tool", "year", "date", "time", "step", "steps", "mode", "modes", "fault", "diagnostic", "ignition", "starter", "sensor", "module", "controller",
+    "harness", "coolant", "radiator", "exhaust", "intake", "throttle", "injector", "alternator", "regulator",
 )
 
 
@@ -280,17 +289,88 @@ def part_number_fix(c: Column) -> Column:
 
 
 def phrase_fix(c: Column, table: dict[str, str]) -> Column:
-    """Whole phrases replaced, longest first, in lower and in capitalised form."""
+    """Whole phrases replaced in any case, longest first; the first letter's case stays. Texts without any are left as they are."""
     out = c
     for phrase in sorted(table, key=len, reverse=True):
         right = table[phrase]
-        for a, b in ((phrase, right), (phrase[:1].upper() + phrase[1:], right[:1].upper() + right[1:])):
-            out = F.regexp_replace(out, rf"\b{a}\b", b)
-    return out
-
-
-#: Compounds that lose their fi or fl ligature in recognition.
-LIGATURE_DROPS = {"speci cation": "specification", "speci cations": "specifications", "speci ed": "specified", "con gure": "configure", "con rm": "confirm", "re ll": "refill", "re lling": "refilling", "over ow": "overflow", "air lter": "air filter", "oil lter": "oil filter", "re ector": "reflector"}
+        for first in (str.lower, str.upper):
+            out = F.regexp_replace(out, rf"\b{first(phrase[0])}(?i:{phrase[1:]})\b", first(right[0]) + right[1:])
+    return F.when(c.rlike(r"(?i)\b(?:" + "|".join(sorted(table)) + r")\b"), out).otherwise(c)
+
+
+#: Compounds that lose their fi, fl or ffi ligature in recognition.
+LIGATURE_DROPS = {
+    "speci c": "specific",
+    "speci cally": "specifically",
+    "speci cation": "specification",
+    "speci cations": "specifications",
+    "speci ed": "specified",
+    "speci es": "specifies",
+    "speci fy": "specify",
+    "con rm": "confirm",
+    "con rmed": "confirmed",
+    "con rms": "confirms",
+    "con rmation": "confirmation",
+    "con guration": "configuration",
+    "con gurations": "configurations",
+    "con gured": "configured",
+    "con dent": "confident",
+    "con dence": "confidence",
+    "con dential": "confidential",
+    "de ne": "define",
+    "de ned": "defined",
+    "de nes": "defines",
+    "de nition": "definition",
+    "de nitions": "definitions",
+    "identi cation": "identification",
+    "identi ed": "identified",
+    "identi es": "identifies",
+    "veri ed": "verified",
+    "veri es": "verifies",
+    "veri cation": "verification",
+    "modi cation": "modification",
+    "modi cations": "modifications",
+    "modi ed": "modified",
+    "noti cation": "notification",
+    "noti cations": "notifications",
+    "noti ed": "notified",
+    "classi cation": "classification",
+    "classi ed": "classified",
+    "quali cation": "qualification",
+    "quali ed": "qualified",
+    "recti cation": "rectification",
+    "recti ed": "rectified",
+    "recti er": "rectifier",
+    "ampli er": "amplifier",
+    "ampli cation": "amplification",
+    "puri cation": "purification",
+    "puri ed": "purified",
+    "magni cation": "magnification",
+    "magni ed": "magnified",
+    "uni ed": "unified",
+    "simpli ed": "simplified",
+    "simpli cation": "simplification",
+    "intensi ed": "intensified",
+    "satis ed": "satisfied",
+    "satis es": "satisfies",
+    "noti er": "notifier",
+    "puri er": "purifier",
+    "humidi er": "humidifier",
+    "intensi er": "intensifier",
+    "ampli ers": "amplifiers",
+    "bene t": "benefit",
+    "bene ts": "benefits",
+    "bene cial": "beneficial",
+    "ef cient": "efficient",
+    "ef ciency": "efficiency",
+    "suf cient": "sufficient",
+    "suf ciently": "sufficiently",
+    "dif cult": "difficult",
+    "dif culty": "difficulty",
+    "ef cacy": "efficacy",
+    "of cial": "official",
+    "trafc": "traffic",
+}
 
 IMPERATIVES = tuple(
     "start stop connect disconnect check refer replace remove install adjust inspect read repeat press tighten loosen apply use note ensure set open close release verify "

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-#: Query vectors of one broadcast: the size check of the batch search.
-QUERY_BLOCK = 4096
+#: Chunks of a shard while there are few (up to SHARDS shards), and bytes of one when there are many.
+SHARD_ROWS = 8192
+SHARDS = 64
+SHARD_BYTES = 64 << 20
 
 
 def _query() -> WindowSpec:
@@ -33,30 +39,94 @@ def facet_filter(vehicle: Column, wanted: Column) -> Column:
     return wanted.isNull() | vehicle.isNull() | (vehicle == wanted)
 
 
+class _Shard:
+    """Unit vectors of some chunks by dimension, chunk ids in order, and their facets as numbers."""
+
+    def __init__(self, rows: pa.Table):
+        ids = rows["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        facet = rows["facet"].combine_chunks().dictionary_encode()
+        code = facet.indices.fill_null(-1).to_numpy()
+        self.codes = {x: i for i, x in enumerate(facet.dictionary.to_pylist())}
+        vectors = rows["vec"].combine_chunks()
+        self.parts = {n: (ids[at], code[at], unit) for n, at, unit in _units(vectors, order)}
+
+    def best(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        ids, wanted, out = queries.column(2).to_numpy(), queries.column(4).to_pylist(), ([], [], [])
+        for n, which, unit in _units(queries.column(3), np.arange(queries.num_rows)):
+            if n not in self.parts:
+                continue
+            keys, code, held = self.parts[n]
+            for row, score in zip(which, np.round(unit @ held.T, 12)):
+                facet = wanted[row]
+                open_ = (keys != ids[row]) if facet is None else (keys != ids[row]) & ((code == -1) | (code == self.codes.get(facet, -2)))
+                at = np.flatnonzero(open_)
+                if len(at) > k:
+                    at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+                at = at[np.argsort(-score[at], kind="stable")][:k]
+                out[0].append(np.full(len(at), ids[row]))
+                out[1].append(keys[at])
+                out[2].append(score[at])
+        merged = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.RecordBatch.from_arrays([pa.array(merged[0].astype(np.int64)), pa.array(merged[1].astype(np.int64)), pa.array(merged[2], pa.float64())], ["query_id", "chunk_id", "score"])
+
+
+def _units(vectors: pa.ListArray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Dimension, places and unit vectors of the usable vectors (not null, no null component, not zero)."""
+    size = np.where(vectors.is_null(), 0, vectors.value_lengths().fill_null(0).to_numpy())
+    flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    first = np.cumsum(size) - size
+    for n in np.unique(size[size > 0]):
+        at = order[size[order] == n]
+        rows = flat[first[at][:, None] + np.arange(n)]
+        norm = np.sqrt((rows * rows).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        yield int(n), at[good], rows[good] / norm[good][:, None]
+
+
+def _search(k: int):
+    """Passes rows sorted by shard, each shard's chunks before its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, shard = None, [], None
+        for batch in batches:
+            place = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.append(True, place[1:] != place[:-1]))[: len(place)].tolist()
+            for lo, hi in zip(edges, [*edges[1:], len(place)]):
+                part = batch.slice(lo, hi - lo)
+                if place[lo] // 2 != number:
+                    number, held, shard = place[lo] // 2, [], None
+                if place[lo] % 2 == 0:
+                    held.append(part)
+                elif held or shard:
+                    shard = shard or _Shard(pa.Table.from_batches(held))
+                    held = []
+                    yield shard.best(part, k)
+
+    return run
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
     """The k most similar chunks of every query; ``min_score`` applies after the cut to k.
 
-    ``queries(query_id, query_vec, ...)`` of at most QUERY_BLOCK rows are
-    broadcast (their number is checked by the caller's ``query_blocks``), so
-    chunks are never shuffled whole: each task ranks its own before the
-    exchange (window group limit).
+    ``queries(query_id, query_vec, wanted)``, ``chunks(chunk_id, vec, vehicle)``. Every
+    chunk goes to one shard, once, where its unit vector is made once; queries pass
+    all shards in batches and meet a shard as a matrix product. A task holds one
+    shard, bounded in bytes. Ties go to the smaller chunk_id. A vector that is null,
+    zero or of another dimension is like none.
     """
-    pairs = chunks.join(F.broadcast(queries), facet_filter(F.col("vehicle"), F.col("wanted")) & (F.col("query_id") != F.col("chunk_id")))
-    scored = pairs.select("query_id", "chunk_id", cosine(F.col("query_vec"), F.col("vec")).alias("score"))
+    sizes = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("cells")).first()
+    shards = max(1, -(-8 * sizes.cells // SHARD_BYTES), min(SHARDS, -(-sizes.n // SHARD_ROWS)))
+    row = ["shard", "kind", "id", "vec", "facet"]
+    own = chunks.where("vec is not null").select(F.expr(f"cast(pmod(xxhash64(chunk_id), {shards}) as int)"), F.lit(0), F.col("chunk_id").cast("long"), F.col("vec").cast("array<double>"), "vehicle").toDF(*row)
+    asked = queries.where("query_vec is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), F.lit(1), F.col("query_id").cast("long"), F.col("query_vec").cast("array<double>"), "wanted").toDF(*row)
+    dealt = own.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
+    scored = dealt.mapInArrow(_search(k), "query_id long, chunk_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     top = scored.withColumn("rank", rank).where(F.col("rank") <= k)
     return top if min_score is None else top.where(F.col("score") >= min_score)
 
 
-def query_blocks(queries: DataFrame, rows: int = QUERY_BLOCK) -> list[DataFrame]:
-    """The queries as parts of bounded size; one part while they are few enough to broadcast."""
-    parts = max(1, -(-queries.count() // rows))
-    if parts == 1:
-        return [queries]
-    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
-    return [queries.where(part == i) for i in range(parts)]
-
-
 def guarded(matches: DataFrame, keep: Column) -> DataFrame:
     """Rows to keep; all rows of a query of which none would stay."""
     marked = matches.withColumn("_keep", F.coalesce(keep, F.lit(False)))

@@ -41,18 +41,15 @@ def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_topk", "SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM nearest WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [R.knn(b, chunks(spark, sf_dir), 10) for b in R.query_blocks(asked(spark, sf_dir))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = R.knn(asked(spark, sf_dir), chunks(spark, sf_dir), 10)
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("learned_lookup", "SELECT query_id, chunk_id, round(score, 6) AS score FROM nearest WHERE rank = 1 AND score >= 0.3")
+@query("learned_lookup", "SELECT query_id, chunk_id, round(score, 6) AS score FROM nearest WHERE rank = 1 AND round(score, 6) >= 0.85")
 def learned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest stored answer of each question, if it is near enough."""
     best = knn_topk(spark, sf_dir).where("rank = 1")
-    return best.where("score >= 0.3").select("query_id", "chunk_id", "score")
+    return best.where("score >= 0.85").select("query_id", "chunk_id", "score")
 
 
 @query("cosine", "SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,8 +93,8 @@ on_texts("ground_norm", T.ground_norm, "regexp_replace(lower(text), '[\\s.\\-_/]
 on_texts("query_cache_key", T.query_key, o_strip("regexp_replace(lower(text), '\\s+', ' ', 'g')"))
 on_texts("no_answer_ilike", T.no_answer_sql, "(" + " OR ".join(f"text ILIKE {q(p)}" for p in T.SQL_NO_ANSWER) + ")")
 on_texts("no_answer_regex", T.no_answer_regex, f"regexp_matches(text, {q('(?i)(?:' + T.REGEX_NO_ANSWER + ')')})")
-on_texts("ligature_fix", lambda c: T.phrase_fix(c, T.LIGATURE_DROPS), __import__("functools").reduce(
-    lambda x, k: f"regexp_replace(regexp_replace({x}, {q(rf'\b{k}\b')}, {q(T.LIGATURE_DROPS[k])}, 'g'), {q(rf'\b{k[0].upper() + k[1:]}\b')}, {q(T.LIGATURE_DROPS[k][0].upper() + T.LIGATURE_DROPS[k][1:])}, 'g')",
+on_texts("ligature_fix", lambda c: T.phrase_fix(c, T.LIGATURE_DROPS), reduce(
+    lambda x, k: f"regexp_replace(regexp_replace({x}, {q(rf'\b{k[0]}(?i:{k[1:]})\b')}, {q(T.LIGATURE_DROPS[k])}, 'g'), {q(rf'\b{k[0].upper()}(?i:{k[1:]})\b')}, {q(T.LIGATURE_DROPS[k].capitalize())}, 'g')",
     sorted(T.LIGATURE_DROPS, key=len, reverse=True), "text"))
 
 on_lines("noise_lines", T.is_noise, f"({o_strip('line')} <> '' AND regexp_matches({o_strip('line')}, '^[^A-Za-z0-9\\x{{80}}-\\x{{10FFFF}}]+$'))".replace("{{", "{").replace("}}", "}"))
