@@ -22,12 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import tune
+from .common import byte_groups, tune
 
-#: Words that a worker remembers between documents.
-MEMORY = 300_000
-#: Texts whose words are split and encoded at a time.
-GROUP = 50
+#: Bytes of words, ids and shown tokens that a worker remembers between documents (about, with 300 for each word).
+MEMORY_BYTES = 128 << 20
 
 NONE = np.iinfo(np.int64).max
 _LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -72,6 +70,7 @@ class WordBpe:
         self.clear()
 
     def clear(self) -> None:
+        self.bytes = 0
         self.ids: dict[str, str] = {t: str(i) for t, i in self.special.items()}
         self.shown: dict[str, str] = {t: t for t in self.special}
 
@@ -137,9 +136,10 @@ class WordBpe:
 
     def learn(self, texts: list[list[str]]) -> None:
         new = set().union(*texts).difference(self.ids)
-        if len(self.ids) + len(new) > MEMORY:
+        if self.bytes > MEMORY_BYTES:
             self.clear()
             new = set().union(*texts).difference(self.ids)
+        self.bytes += 8 * sum(map(len, new)) + 300 * len(new)
         if not new:
             return
         words = list(new)
@@ -207,7 +207,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have no tokens; their digests are those of the empty
-    string. Repeated rows each keep a row; other columns are ignored.
+    string. Repeated rows each keep a row; other columns are ignored. A text of any
+    length is encoded whole, in a group of its own; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -215,8 +216,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(path)
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            found = [x for at in range(0, len(texts), GROUP) for x in model.digest(texts[at : at + GROUP])]
+            found = [x for texts in byte_groups(batch.column(1)) for x in model.digest([text or "" for text in texts])]
             counts, ids, shown = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(shown, pa.string())],

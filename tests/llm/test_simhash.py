@@ -125,3 +125,11 @@ def test_representatives_do_not_depend_on_how_a_second_scan_is_split(spark, tmp_
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(got) == [100 * i + j for i in range(16) for j in range(3)]
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}x{i % 7}" for i in range(120_000))
+    rows = [(4, text), (9, text.upper()), (5, "w1 w2")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[4].fingerprint == got[9].fingerprint == f"{plain_fingerprint(text):016x}"
+    assert got[9].component_id == 4 and got[5].component_id == 5

@@ -50,7 +50,7 @@ def test_ids_and_texts_in_spark(docs):
 
 
 def test_small_word_memory_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 10)
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 10)
     texts = odd_texts()[:200]
     own, theirs = bpe.WordBpe(WORD), bpe.WordBpe(WORD)
     assert list(own.digest(texts)) == [next(theirs.digest([t])) for t in texts]
@@ -118,3 +118,14 @@ def test_packing(docs, docs_rows, no_docs, broadcast, monkeypatch):
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding == 0
     assert packing.packed(no_docs, BYTE).count() == 0
+
+
+def test_very_long_texts_are_encoded_whole(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = " ".join(f"Word{i % 977} runs, ({i})" for i in range(60_000))
+    rows = [(1, text), (2, "x" * 200_000), (3, "short")]
+    got = {r.doc_id: r for r in bpe.digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    theirs = Tokenizer.from_file(path)
+    for key, value in rows:
+        ids = theirs.encode(value, add_special_tokens=False).ids
+        assert got[key].n_tokens == len(ids) and got[key].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
