@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import counted
+
 
 def remaining(records: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Records whose (id, content) is not in the progress set."""
@@ -15,12 +17,8 @@ def remaining(records: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame
 def upload_plan(files: DataFrame, existing: DataFrame, limit: int) -> DataFrame:
     """Files with their outcome: skipped if present, uploaded up to a global limit in key order, else left."""
     marked = files.join(existing.select("key").distinct().withColumn("_there", F.lit(True)), "key", "left")
-    # the limit is global: ranks of bounded buckets, shifted by the counts of the buckets before
     new = F.col("_there").isNull()
-    bucket = F.substring("key", 1, 8)
-    ranked = marked.withColumn("_b", bucket).withColumn("_n", F.count(F.when(new, 1)).over(W.partitionBy("_b").orderBy("key")))
-    counts = marked.groupBy(bucket.alias("_b")).agg(F.count(F.when(new, 1)).alias("_c")).withColumn("_shift", F.sum("_c").over(W.orderBy("_b")) - F.col("_c"))
-    placed = ranked.join(counts.select("_b", "_shift"), "_b").withColumn("_rank", F.col("_n") + F.col("_shift"))
+    placed = counted(marked, F.col("key"), [], new, "_rank")
     return placed.select("key", F.when(~new, "skipped").when(F.col("_rank") <= limit, "uploaded").otherwise("left").alias("outcome"))
 
 
@@ -95,3 +93,10 @@ def duration_text(ms: Column) -> Column:
         .when(ms < 60000, F.concat(seconds.cast("string"), F.lit("."), F.floor((ms % 1000) / 100).cast("string"), F.lit("s")))
         .otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), (seconds % 60).cast("string"), F.lit("s")))
     )
+
+
+def stage_states(stages: DataFrame) -> DataFrame:
+    """job_id, pos and state of ``stages(job_id, pos, status, critical)``: pending behind a critical failure, else as it is."""
+    before = W.partitionBy("job_id").orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
+    failed = F.coalesce(F.bool_or((F.col("status") == "error") & F.col("critical")).over(before), F.lit(False))
+    return stages.select("job_id", "pos", F.when(failed, F.lit("pending")).otherwise(F.col("status")).alias("status"))

@@ -1,15 +1,30 @@
-"""Raster numerics on grey-scale images: ink by Otsu's threshold, bounding box, density, cropping."""
+"""Raster numerics on grey-scale images: ink by Otsu's threshold, masks of text, verdicts and crops."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+# What counts as a drawing, and as a glyph beside it (height, width to height, area in pixels).
 MIN_INK = 200
+MIN_SIDE = 80
 MIN_DENSITY = 0.004
+GLYPH_HEIGHT = 5
+TALL_FOR_VERDICTS, TALL_FOR_CROPS = 60, 38
+GLYPH_SHAPE = (0.15, 12.0)
+GLYPH_AREA = 4500
+GLYPH_MARGIN = 4
+PHOTO_INK = 0.35
+CROP_SHARES = (0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65)
+CROP_RATIO = 2.5
+CROP_SIDE = 40
+CROP_MARGIN = 8
+TRIM_SHARE = 0.12
+TRIM_INK = 3
+TRIM_MARGIN = 6
 
 
 def otsu(pixels: np.ndarray) -> int:
@@ -24,43 +39,155 @@ def otsu(pixels: np.ndarray) -> int:
 
 
 def ink(pixels: np.ndarray) -> np.ndarray:
-    """Dark pixels."""
+    """Dark pixels; a plain image has none."""
+    if not pixels.size or pixels.min() == pixels.max():
+        return np.zeros(pixels.shape, bool)
     return pixels <= otsu(pixels)
 
 
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and behind-last column of every horizontal run."""
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1]
+
+
+def components(mask: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The runs of a mask and the number of the 8-connected component of each.
+
+    Runs of neighbouring rows that touch are links; the least number of a component
+    spreads over its links and is then looked up from itself, until nothing moves.
+    """
+    row, first, end = runs = _runs(mask)
+    label = np.arange(len(row))
+    head = np.searchsorted(row, np.arange(mask.shape[0] + 1))
+    a, b = [], []
+    for y in range(1, mask.shape[0]):
+        above, here = slice(head[y - 1], head[y]), slice(head[y], head[y + 1])
+        lo = np.searchsorted(end[above], first[here], side="left") + head[y - 1]
+        hi = np.searchsorted(first[above], end[here], side="right") + head[y - 1]
+        n = np.maximum(hi - lo, 0)
+        a.append(np.repeat(np.arange(head[y], head[y + 1]), n))
+        b.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for ends in (a, b, label[a], label[b]):
+            np.minimum.at(new, ends, least)
+        new = new[new]
+        if (new == label).all():
+            return runs, label
+        label = new
+
+
+def dilated(mask: np.ndarray, margin: int) -> np.ndarray:
+    """Every pixel within ``margin`` rows and columns of a set one."""
+    for axis in (0, 1):
+        wide = mask.copy()
+        for step in range(1, margin + 1):
+            to, at = [slice(None)] * 2, [slice(None)] * 2
+            to[axis], at[axis] = slice(step, None), slice(None, -step)
+            if mask.shape[axis] > step:
+                wide[tuple(to)] |= mask[tuple(at)]
+                wide[tuple(at)] |= mask[tuple(to)]
+        mask = wide
+    return mask
+
+
+def text_mask(dark: np.ndarray, tallest: int) -> np.ndarray:
+    """Pixels of and around components that are sized and shaped like glyphs."""
+    (row, first, end), label = components(dark)
+    out = np.zeros(dark.shape, bool)
+    if not len(row):
+        return out
+    names, place = np.unique(label, return_inverse=True)
+    n = len(names)
+    area = np.bincount(place, weights=end - first, minlength=n)
+    box = [np.full(n, fill) for fill in (dark.shape[0], -1, dark.shape[1], -1)]
+    for at, values, f in ((0, row, np.minimum), (1, row, np.maximum), (2, first, np.minimum), (3, end - 1, np.maximum)):
+        f.at(box[at], place, values)
+    height, width = box[1] - box[0] + 1, box[3] - box[2] + 1
+    shape = width / height
+    glyph = (height >= GLYPH_HEIGHT) & (height <= tallest) & (shape >= GLYPH_SHAPE[0]) & (shape <= GLYPH_SHAPE[1]) & (area <= GLYPH_AREA)
+    for y, x0, x1 in zip(row[glyph[place]], first[glyph[place]], end[glyph[place]]):
+        out[y, x0:x1] = True
+    return dilated(out, GLYPH_MARGIN)
+
+
 def measure(pixels: np.ndarray) -> tuple[int, int, int, float]:
-    """Ink pixels, width and height of their box, and density of the whole."""
-    mask = ink(pixels)
-    n = int(mask.sum())
+    """Ink pixels that are no text, width and height of their box, and their density in it."""
+    dark = ink(pixels)
+    graphic = dark & ~text_mask(dark, TALL_FOR_VERDICTS)
+    n = int(graphic.sum())
     if not n:
         return 0, 0, 0, 0.0
-    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
-    return n, int(columns[-1] - columns[0] + 1), int(rows[-1] - rows[0] + 1), n / mask.size
-
-
-def best_split(mask: np.ndarray, fractions: tuple[float, ...] = (0.25, 0.33, 0.4, 0.5, 0.6, 0.67, 0.75), ratio: float = 2.5) -> tuple[int, int, bool] | None:
-    """Axis, cut and whether the first part is denser, of the cut with the greatest density ratio of at least ``ratio``."""
-    best = None
-    for axis in (0, 1):
-        for f in fractions:
-            cut = int(mask.shape[axis] * f)
-            a, b = np.split(mask, [cut], axis=axis)
-            x, y = a.mean() if a.size else 0.0, b.mean() if b.size else 0.0
-            r = max(x, y) / max(min(x, y), 1e-6)
-            if r >= ratio and (best is None or r > best[0]):
-                best = (r, axis, cut, x > y)
-    return best[1:] if best else None
-
-
-def prefilter(images: DataFrame, min_side: int = 32) -> DataFrame:
-    """Statistics of ``images(doc_id, pixels binary, width int)`` and whether a model should look at them."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [measure(np.frombuffer(p, np.uint8).reshape(-1, w)) for p, w in zip(frame["pixels"], frame["width"])]
-            out = pd.DataFrame(rows, columns=["ink", "box_width", "box_height", "density"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            out["keep"] = (out["ink"] >= MIN_INK) & (out["box_width"] >= min_side) & (out["box_height"] >= min_side) & (out["density"] >= MIN_DENSITY)
-            yield out
-
-    return images.mapInPandas(run, "doc_id long, ink long, box_width long, box_height long, density double, keep boolean")
+    rows, columns = np.flatnonzero(graphic.any(axis=1)), np.flatnonzero(graphic.any(axis=0))
+    width, height = int(columns[-1] - columns[0] + 1), int(rows[-1] - rows[0] + 1)
+    return n, width, height, n / (width * height)
+
+
+def is_drawing(n: int, width: int, height: int, density: float) -> bool:
+    return n >= MIN_INK and width >= MIN_SIDE and height >= MIN_SIDE and density >= MIN_DENSITY
+
+
+def crop_box(pixels: np.ndarray) -> tuple[int, int, int, int]:
+    """x0, y0, x1, y1 of the half that holds the drawing, if one side of a cut is much denser; else of the whole. Photographs stay whole."""
+    h, w = pixels.shape
+    whole = (0, 0, w, h)
+    dark = ink(pixels)
+    if not dark.size or dark.mean() > PHOTO_INK:
+        return whole
+    text = text_mask(dark, TALL_FOR_CROPS)
+    best, ratio = whole, CROP_RATIO
+    for axis, side in ((1, w), (0, h)):
+        for share in CROP_SHARES:
+            cut = int(side * share)
+            if not CROP_SIDE <= cut <= side - CROP_SIDE:
+                continue
+            # each part has a threshold of its own
+            low, high = ((ink(p) & ~t).mean() for p, t in zip(np.split(pixels, [cut], axis=axis), np.split(text, [cut], axis=axis)))
+            if low <= 0 or high <= 0 or max(low / high, high / low) < ratio:
+                continue
+            ratio = max(low / high, high / low)
+            first = low > high
+            if axis:
+                best = (0, 0, cut, h) if first else (cut, 0, w, h)
+            else:
+                best = (0, 0, w, cut) if first else (0, cut, w, h)
+    if best == whole:
+        return whole
+    return max(0, best[0] - CROP_MARGIN), max(0, best[1] - CROP_MARGIN), min(w, best[2] + CROP_MARGIN), min(h, best[3] + CROP_MARGIN)
+
+
+def trim_rows(pixels: np.ndarray) -> tuple[int, int]:
+    """First and behind-last row without the lines of text above and below a drawing."""
+    h = pixels.shape[0]
+    dark = ink(pixels)
+    drawn = (dark & ~text_mask(dark, TALL_FOR_CROPS)).sum(axis=1)
+    inked = dark.sum(axis=1)
+    rows = np.flatnonzero((inked >= TRIM_INK) & (drawn > TRIM_SHARE * inked))
+    low, high = rows[rows < h * 2 // 3], rows[rows > h // 3]
+    top = max(0, int(low[0]) - 4) if len(low) else 0
+    bottom = int(high[-1]) + 1 if len(high) else h
+    if top == 0 and bottom == h:
+        return 0, h
+    return max(0, top - TRIM_MARGIN), min(h, bottom + TRIM_MARGIN)
+
+
+def judged(images: DataFrame) -> DataFrame:
+    """Statistics, verdict, crop box and trimmed rows of ``images(doc_id, pixels binary, width int)``: whole rows of pixels, one byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for pixels, width in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                image = np.frombuffer(pixels or b"", np.uint8).reshape(-1, width)
+                found = measure(image)
+                rows.append((*found, is_drawing(*found), *crop_box(image), *trim_rows(image)))
+            columns = list(zip(*rows)) or [()] * 11
+            kinds = [pa.int64()] * 3 + [pa.float64(), pa.bool_()] + [pa.int64()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+
+    names = ["doc_id", "ink", "box_width", "box_height", "density", "keep", "x0", "y0", "x1", "y1", "top", "bottom"]
+    return images.select("doc_id", "pixels", "width").mapInArrow(run, "doc_id long, ink long, box_width long, box_height long, density double, keep boolean, x0 long, y0 long, x1 long, y1 long, top long, bottom long")

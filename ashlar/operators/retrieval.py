@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import routing
+
 #: Chunks of a shard while there are few (up to SHARDS shards), and bytes of one when there are many.
 SHARD_ROWS = 8192
 SHARDS = 64
@@ -133,7 +135,12 @@ def guarded(matches: DataFrame, keep: Column) -> DataFrame:
     return marked.withColumn("_any", F.bool_or("_keep").over(_query())).where("_keep or not _any").drop("_keep", "_any")
 
 
-def score_floor(matches: DataFrame, floor: float, min_keep: int) -> DataFrame:
+def reranked(matches: DataFrame) -> DataFrame:
+    """Ranks without gaps, in the same order."""
+    return matches.withColumn("rank", F.row_number().over(_ranked()).cast("long"))
+
+
+def score_floor(matches: DataFrame, floor: float | Column, min_keep: int | Column) -> DataFrame:
     """Scores at or over a share of the query's first score, ``min_keep`` rows at least; all if the first is not positive."""
     top = F.first_value("score").over(_ranked())
     marked = matches.withColumn("_top", top)
@@ -143,13 +150,14 @@ def score_floor(matches: DataFrame, floor: float, min_keep: int) -> DataFrame:
     return counted.where(stays).drop("_top", "_kept")
 
 
-def vehicle_purity(matches: DataFrame, wanted: str) -> DataFrame:
-    return guarded(matches, F.col("vehicle").isNull() | (F.col("vehicle") == wanted))
+def vehicle_purity(matches: DataFrame, wanted: Column) -> DataFrame:
+    """Rows of the wanted vehicle or of none; all rows where no vehicle is wanted."""
+    return guarded(matches, facet_filter(F.col("vehicle"), wanted))
 
 
-def by_rounds(matches: DataFrame, preferred: tuple[str, ...], keep: int) -> DataFrame:
-    """Document types in turns, preferred ones first, others by first appearance; short lists stay as they are."""
-    place = F.array_position(F.array(*map(F.lit, preferred)), F.col("doc_type"))
+def by_rounds(matches: DataFrame, preferred: Column, keep: int | Column) -> DataFrame:
+    """Document types in turns, preferred ones (an array) first, others by first appearance; short lists stay as they are."""
+    place = F.array_position(preferred, F.col("doc_type"))
     rows = (
         matches.withColumn("_n", F.count("*").over(_query()))
         .withColumn("_round", F.row_number().over(W.partitionBy("query_id", "doc_type").orderBy("rank")))
@@ -168,7 +176,60 @@ def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return both.withColumn("_nth", nth).where(F.col(key).isNull() | (F.col("_nth") == 1)).withColumn("new_rank", F.row_number().over(_query().orderBy("_src", "rank"))).drop("_src", "_nth")
 
 
-def section_relevance(matches: DataFrame, question_topics: Column, chunk_topics: Column, min_keep: int) -> DataFrame:
+#: Characters of a chunk's text that tell its subsystem.
+BODY_CHARS = 600
+
+
+def chunk_topics() -> Column:
+    """Topics of a chunk's section and of the head of its text."""
+    return F.array_union(routing.topics(F.col("section")), routing.topics(F.left("text", F.lit(BODY_CHARS))))
+
+
+def on_diagnosis(question: Column, intent: Column) -> Column:
+    """False for chunks of other subsystems where a question is about a battery or charging fault."""
+    focused = (intent == "diagnostic") & routing.has(question, routing.BATTERY)
+    return ~focused | ~routing.has(F.lower(F.concat("section", F.lit("\n"), "text")), routing.OFF_DIAGNOSTIC)
+
+
+def on_procedure(question: Column, intent: Column) -> Column:
+    """Whether a chunk has a phrase or two terms of a question about a procedure; true for other questions."""
+    hay = F.lower(F.concat("section", F.lit("\n"), "text"))
+    phrases, terms = routing.key_phrases(question), routing.key_terms(question)
+    bare = (F.size(phrases) == 0) & (F.size(terms) == 0)
+    return (intent != "procedure") | bare | F.exists(phrases, lambda p: F.contains(hay, p)) | (F.size(F.filter(terms, lambda t: F.contains(hay, t))) >= 2)
+
+
+def diagnostic_focus(matches: DataFrame, on: Column) -> DataFrame:
+    return guarded(matches, on)
+
+
+def procedure_focus(matches: DataFrame, on: Column) -> DataFrame:
+    """The first two matches, and those on the procedure."""
+    return guarded(matches, (F.col("rank") <= 2) | on)
+
+
+def dominant_section(matches: DataFrame, question: Column) -> DataFrame:
+    """query_id and the section to expand on (null: none).
+
+    The section whose name holds most keywords of the question's topics and words; else
+    the first match's on a clear gap of scores, if its topics meet the question's; else
+    the majority's.
+    """
+    asked = routing.topics(question)
+    words = F.filter(F.transform(F.split(F.lower(question), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,?!:;()'\"]+|[.,?!:;()'\"]+$", "")), lambda w: F.length(w) >= 4)
+    keys = F.array_distinct(F.concat(words, *[F.when(F.array_contains(asked, name), F.array(*map(F.lit, found))).otherwise(F.array().cast("array<string>")) for name, found in routing.TOPICS.items()]))
+    rows = matches.withColumn("_asked", asked).withColumn("_keys", keys)
+    rows = rows.withColumn("_hits", F.when(F.size("_asked") > 0, F.size(F.filter("_keys", lambda x: F.contains(F.lower(F.col("section")), x)))).otherwise(0))
+    named = rows.groupBy("query_id").agg(
+        F.min_by("section", F.when(F.col("_hits") > 0, F.struct(-F.col("_hits"), -F.col("score"), "rank"))).alias("named"),
+        F.max_by("section", -F.col("rank")).alias("lead"),
+        F.max_by((F.size("_asked") == 0) | F.arrays_overlap("_asked", chunk_topics()), -F.col("rank")).alias("_on"),
+    )
+    gaps = named.join(median_gap(matches).select("query_id", F.col("gap") & (F.col("middle") > 0)), "query_id").toDF("query_id", "named", "lead", "_on", "gap")
+    return gaps.join(majority(matches), "query_id", "left").select("query_id", F.coalesce("named", F.when(F.col("gap") & F.col("_on"), F.col("lead")), "section").alias("section"))
+
+
+def section_relevance(matches: DataFrame, question_topics: Column, chunk_topics: Column, min_keep: int | Column) -> DataFrame:
     """Chunks whose topics are empty or meet the question's; rejected ones fill up to ``min_keep``, behind the others."""
     off = (F.size(question_topics) > 0) & (F.size(chunk_topics) > 0) & ~F.arrays_overlap(question_topics, chunk_topics)
     marked = matches.withColumn("_off", off).withColumn("_on", F.count_if(~F.col("_off")).over(_query())).withColumn("new_rank", F.row_number().over(_query().orderBy("_off", "rank")))

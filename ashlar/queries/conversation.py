@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conversation as C
+from ..operators.ranking import counted
 from ..registry import oracle_view, query
 from ..sources import base
 from .text import q
@@ -116,11 +117,12 @@ def learned_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_by_key(learned_changes(spark, sf_dir), "id", "at_ms", "gone")
 
 
-@query("learned_list", "SELECT id, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC) AS INTEGER) AS place FROM (SELECT id, max(at_ms) AS updated_at FROM learned_changes GROUP BY id ORDER BY updated_at DESC LIMIT 100)")
+@query("learned_list", "SELECT id, updated_at, CAST(row_number() OVER (ORDER BY updated_at DESC) AS INTEGER) AS place FROM (SELECT id, max(at_ms) AS updated_at FROM learned_changes GROUP BY id)")
 def learned_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred newest entries, newest first (the listing page)."""
-    newest = learned_changes(spark, sf_dir).groupBy("id").agg(F.max("at_ms").alias("updated_at")).orderBy(F.desc("updated_at")).limit(100)
-    return newest.selectExpr("id", "updated_at", "row_number() over (order by updated_at desc) as place")
+    """All entries with their places, newest first (the listing)."""
+    newest = learned_changes(spark, sf_dir).groupBy("id").agg(F.max("at_ms").alias("updated_at"))
+    placed = counted(newest, F.col("updated_at"), [F.col("id")], F.lit(True), "place", descending=True)
+    return placed.select("id", "updated_at", F.col("place").cast("int").alias("place"))
 
 
 @query("qa_search", "SELECT session_id, id FROM (SELECT session_id, id, content, lag(content) OVER (PARTITION BY session_id ORDER BY id) AS question FROM messages) WHERE contains(lower(content), 'the') OR contains(lower(coalesce(question, '')), 'la ')")

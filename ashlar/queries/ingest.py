@@ -155,10 +155,10 @@ def nearest_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.nearest_captions(r.where("id % 2 = 0"), r.where("id % 2 = 1"))
 
 
-@query("pick_caption", "SELECT doc_id // 8 AS page, arg_max(c, (s, c)) AS caption FROM (SELECT doc_id, c, CAST(2.0 * length(regexp_replace(c, '[^A-Z]', '', 'g')) / greatest(length(regexp_replace(c, '[^A-Za-z]', '', 'g')), 1) AS DOUBLE) + CASE WHEN length(c) <= 60 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, left(coalesce(text, ''), 80) AS c FROM documents)) GROUP BY doc_id // 8")
+@query("pick_caption", "SELECT doc_id // 8 AS page, arg_max(c, (s, c)) AS caption FROM (SELECT doc_id, c, CAST(2.0 * length(regexp_replace(c, '[^A-Z]', '', 'g')) / greatest(length(regexp_replace(c, '[^A-Za-z]', '', 'g')), 1) AS DOUBLE) + CASE WHEN length(c) <= 60 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, coalesce(text, '') AS c FROM documents)) GROUP BY doc_id // 8")
 def pick_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a page's candidate lines, the one with most capitals and a caption's length; ties to the larger text."""
-    lines = base.table(spark, sf_dir, "documents").selectExpr("doc_id div 8 as page", "left(coalesce(text, ''), 80) as c")
+    lines = base.table(spark, sf_dir, "documents").selectExpr("doc_id div 8 as page", "coalesce(text, '') as c")
     letters = F.length(F.regexp_replace("c", "[^A-Za-z]", ""))
     score = 2.0 * F.length(F.regexp_replace("c", "[^A-Z]", "")) / F.greatest(letters, F.lit(1)) + F.when(F.length("c") <= 60, 1).otherwise(0)
     return lines.groupBy("page").agg(F.max_by("c", F.struct(score.alias("s"), "c")).alias("caption"))
@@ -223,16 +223,15 @@ def invisible_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("image_prefilter")
 def image_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ink statistics and verdict of a small raster made from each document's bytes."""
-    from ..operators.raster import prefilter
+    """Ink statistics, verdict and crop of a raster of all of each document's bytes, 160 a row, white behind the last."""
+    from ..operators.raster import judged
 
-    pixels = F.substring(F.concat(F.coalesce("text", F.lit("")), F.repeat(F.lit("ÿ"), 4096)).cast("binary"), 1, 4096)
-    return prefilter(base.table(spark, sf_dir, "documents").select("doc_id", pixels.alias("pixels"), F.lit(64).alias("width")))
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    white = F.expr("unhex(repeat('FF', cast(pmod(-octet_length(coalesce(text, '')), 160) as int)))")
+    return judged(base.table(spark, sf_dir, "documents").select("doc_id", F.concat(data, white).alias("pixels"), F.lit(160).alias("width")))
 
 
-@query("pipeline_stages")
+@query("pipeline_stages", "SELECT job_id, pos, CASE WHEN coalesce(bool_or(status = 'error' AND critical) OVER (PARTITION BY job_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'pending' ELSE status END AS status FROM stages")
 def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of an ingest run over the documents: stages in order, non-critical failures passed over."""
-    from ..plans.ingest import demo_run
-
-    return demo_run(spark, sf_dir)
+    """States of ingest runs' stages: behind a critical failure everything waits, other failures are passed over."""
+    return I.stage_states(stages(spark, sf_dir))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import routing
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..plans import chat
 from ..plans.retrieve import retrieve as retrieve_plan
-from ..registry import oracle_view, query
+from ..registry import ORACLES, oracle_view, query
 from ..sources import base
-from .routing import o_any, rx
-from .text import q
+from .routing import INTENT, o_any, o_case, o_profile, rx
+from .text import o_depipe, q
 
 FACET = "CASE d.lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'BSA Bantam' WHEN 'de' THEN 'BSA Gold Star' WHEN 'es' THEN 'BSA Scrambler' END"
 oracle_view("chunks", f"SELECT e.vec_id AS chunk_id, e.embedding AS vec, {FACET} AS vehicle FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id")
@@ -45,11 +48,14 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-@query("learned_lookup", "SELECT query_id, chunk_id, round(score, 6) AS score FROM nearest WHERE rank = 1 AND round(score, 6) >= 0.85")
+ANSWER_SCORE = 0.85
+
+
+@query("learned_lookup", f"SELECT query_id, chunk_id, round(score, 6) AS score, round(score, 6) >= {ANSWER_SCORE} AS hit FROM nearest WHERE rank = 1")
 def learned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest stored answer of each question, if it is near enough."""
+    """The nearest stored answer of each question, and whether it is near enough to be given."""
     best = knn_topk(spark, sf_dir).where("rank = 1")
-    return best.where("score >= 0.85").select("query_id", "chunk_id", "score")
+    return best.select("query_id", "chunk_id", "score", (F.col("score") >= ANSWER_SCORE).alias("hit"))
 
 
 @query("cosine", "SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -96,44 +102,64 @@ def majority_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.majority(base.matches(spark, sf_dir))
 
 
-@query("dominant_section", """WITH g AS (SELECT query_id, max(score) FILTER (rank = 1) AS top, max(section) FILTER (rank = 1) AS lead, list_sort(list(score) FILTER (rank > 1), 'DESC') AS rest FROM matches GROUP BY query_id),
+def _o_topics(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {o_any(f'lower({x})', keys)} THEN {q(name)} END" for name, keys in routing.TOPICS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+# what the policy reads from a match's question
+_TYPES = o_case([(f"intent = {q(p.label)}", str(list(p.doc_types))) for p in routing.PROFILES if p.doc_types], "CAST([] AS VARCHAR[])")
+oracle_view("asked_matches", f"""SELECT *, {_TYPES} AS preferred, {o_profile('intent', 'floor')}::DOUBLE AS floor, {o_profile('intent', 'min_keep')} AS min_keep, {o_profile('intent', 'top_k')} AS top_k, {o_profile('intent', 'long_form')} AS long_form,
+    list_distinct(list_concat({_o_topics('section')}, {_o_topics('left(text, 600)')})) AS own_topics FROM (
+    SELECT *, question AS message, {re.sub(r'\bmessage\b', 'question', INTENT)} AS intent, {o_case([(rx('question', v.pattern), q(v.facet)) for v in routing.VEHICLES], 'NULL')} AS wanted, {_o_topics('question')} AS topics, {rx('question', routing.FULL_DETAIL)} AS full_detail FROM matches)""")
+_WORDS3 = "regexp_extract_all(lower(question), '[a-z0-9]{3,}')"
+_WORDS2 = f"list_filter(regexp_extract_all(lower(question), '[a-z0-9]{{2,}}'), lambda w: NOT list_contains({list(routing.STOPWORDS)}, w))"
+_HAY = "lower(section || chr(10) || text)"
+_OFF = f"intent = 'diagnostic' AND {rx('question', routing.BATTERY)} AND {rx(_HAY, routing.OFF_DIAGNOSTIC)}"
+_GRAMS = f"list_filter(list_concat(list_transform(list_zip(w[:-2], w[2:]), lambda x: x[1] || ' ' || x[2]), list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3])), lambda p: NOT list_contains({list(routing.TRIVIAL_PHRASES)}, p))"
+
+
+def _o_hit(source: str) -> str:
+    """Rows of a source with their terms and phrases, and whether procedure focus keeps them by content."""
+    grams = _GRAMS.replace("w[:-2], w[2:]", "CASE WHEN len(w) > 1 THEN w[:-2] ELSE [] END, CASE WHEN len(w) > 1 THEN w[2:] ELSE [] END").replace("w[:-3], w[2:-2], w[3:]", "CASE WHEN len(w) > 2 THEN w[:-3] ELSE [] END, CASE WHEN len(w) > 2 THEN w[2:-2] ELSE [] END, CASE WHEN len(w) > 2 THEN w[3:] ELSE [] END")
+    return f"""SELECT *, intent <> 'procedure' OR (len(terms) = 0 AND len(phrases) = 0) OR rank <= 2 OR len(list_filter(phrases, lambda p: contains({_HAY}, p))) > 0 OR len(list_filter(terms, lambda t: contains({_HAY}, t))) >= 2 AS hit
+        FROM (SELECT *, {grams} AS phrases FROM (SELECT *, list_filter(list_distinct({_WORDS3}), lambda w: NOT list_contains({list(routing.STOPWORDS)}, w)) AS terms, {_WORDS2} AS w FROM {source}))"""
+
+
+def asked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.asked(base.matches(spark, sf_dir))
+
+
+_KEYS = "list_distinct(list_concat(list_filter(list_transform(regexp_split_to_array(lower(question), '\\s+'), lambda w: regexp_replace(w, '^[.,?!:;()''\"]+|[.,?!:;()''\"]+$', '', 'g')), lambda w: length(w) >= 4), " + ", ".join(f"CASE WHEN list_contains(topics, {q(n)}) THEN {list(k)} ELSE [] END" for n, k in routing.TOPICS.items()) + "))"
+# quotes inside of keywords
+_KEYS = _KEYS.replace('"won\'t start"', "'won''t start'")
+
+
+@query("dominant_section", f"""WITH h AS (SELECT *, CASE WHEN len(topics) > 0 THEN len(list_filter({_KEYS}, lambda x: contains(lower(section), x))) ELSE 0 END AS hits FROM asked_matches),
+    c AS (SELECT query_id, section AS named FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, score DESC, rank) AS p FROM h WHERE hits > 0) WHERE p = 1),
+    g AS (SELECT query_id, max(score) FILTER (rank = 1) AS top, max(section) FILTER (rank = 1) AS lead, bool_or(len(topics) = 0 OR list_has_any(topics, own_topics)) FILTER (rank = 1) AS fits, list_sort(list(score) FILTER (rank > 1), 'DESC') AS rest FROM asked_matches GROUP BY query_id),
     s AS (SELECT query_id, section, count(*) AS n, min(rank) AS f FROM matches WHERE rank <= 3 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, f) AS p, sum(n) OVER (PARTITION BY query_id) AS total FROM s),
     m AS (SELECT query_id, section FROM r WHERE p = 1 AND n >= 0.5 * total)
-    SELECT g.query_id, coalesce(CASE WHEN top >= 2.0 * rest[len(rest) // 2 + 1] THEN lead END, m.section) AS section FROM g LEFT JOIN m ON m.query_id = g.query_id""")
+    SELECT g.query_id, coalesce(named, CASE WHEN top >= 2.0 * rest[len(rest) // 2 + 1] AND rest[len(rest) // 2 + 1] > 0 AND fits THEN lead END, m.section) AS section FROM g LEFT JOIN m ON m.query_id = g.query_id LEFT JOIN c ON c.query_id = g.query_id""")
 def dominant_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first match's section on a clear gap, else the majority section."""
-    m = base.matches(spark, sf_dir)
-    lead = m.where("rank = 1").select("query_id", F.col("section").alias("lead"))
-    gaps = R.median_gap(m).join(lead, "query_id")
-    return gaps.join(R.majority(m), "query_id", "left").select("query_id", F.coalesce(F.when(F.col("gap"), F.col("lead")), "section").alias("section"))
+    """The section that the question names best, else the first match's on a clear gap and topic, else the majority section."""
+    return R.dominant_section(base.matches(spark, sf_dir), F.col("question"))
 
 
-@query("vehicle_purity", "SELECT query_id, rank, doc_id FROM (SELECT *, coalesce(vehicle IS NULL OR vehicle = 'BSA Bantam', false) AS k, bool_or(coalesce(vehicle IS NULL OR vehicle = 'BSA Bantam', false)) OVER (PARTITION BY query_id) AS a FROM matches) WHERE k OR NOT a")
+@query("vehicle_purity", "SELECT query_id, rank, doc_id FROM (SELECT *, coalesce(wanted IS NULL OR vehicle IS NULL OR vehicle = wanted, false) AS k, bool_or(coalesce(wanted IS NULL OR vehicle IS NULL OR vehicle = wanted, false)) OVER (PARTITION BY query_id) AS a FROM asked_matches) WHERE k OR NOT a")
 def vehicle_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.vehicle_purity(base.matches(spark, sf_dir), "BSA Bantam").select("query_id", "rank", "doc_id")
-
-
-_HAY = "(section || chr(10) || text)"
+    return R.vehicle_purity(asked_matches(spark, sf_dir), F.col("wanted")).select("query_id", "rank", "doc_id")
 
 
-@query("diag_focus", f"SELECT query_id, rank, doc_id FROM (SELECT *, NOT {rx(_HAY, routing.OFF_DIAGNOSTIC)} AS k, bool_or(NOT {rx(_HAY, routing.OFF_DIAGNOSTIC)}) OVER (PARTITION BY query_id) AS a FROM matches WHERE query_id % 2 = 0) WHERE k OR NOT a")
+@query("diag_focus", f"SELECT query_id, rank, doc_id FROM (SELECT *, NOT ({_OFF}) AS k, bool_or(NOT ({_OFF})) OVER (PARTITION BY query_id) AS a FROM asked_matches) WHERE k OR NOT a")
 def diag_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of battery questions (the even queries) without other subsystems."""
-    hay = F.concat("section", F.lit("\n"), "text")
-    return R.guarded(base.matches(spark, sf_dir).where("query_id % 2 = 0"), ~routing.has(hay, routing.OFF_DIAGNOSTIC)).select("query_id", "rank", "doc_id")
+    """Matches of questions about battery faults without other subsystems, and all others."""
+    return R.diagnostic_focus(asked_matches(spark, sf_dir), R.on_diagnosis(F.col("question"), F.col("intent"))).select("query_id", "rank", "doc_id")
 
 
-_TERMS = ("oil", "filter", "the", "que", "und", "les")
-_PHRASES = ("oil change", "valve clearance", "of the")
-
-
-@query("proc_focus", f"""WITH k AS (SELECT *, rank <= 2 OR {o_any(f'lower({_HAY})', _PHRASES)} OR len(list_filter({list(_TERMS)}, lambda t: contains(lower({_HAY}), t))) >= 2 AS keep FROM matches)
-    SELECT query_id, rank, doc_id FROM (SELECT *, bool_or(keep) OVER (PARTITION BY query_id) AS a FROM k) WHERE keep OR NOT a""")
+@query("proc_focus", f"SELECT query_id, rank, doc_id FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS a FROM ({_o_hit('asked_matches')})) WHERE hit OR NOT a")
 def proc_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two matches, and those with a phrase or two terms of the question."""
-    hay = F.lower(F.concat("section", F.lit("\n"), "text"))
-    hits = F.size(F.filter(F.array(*map(F.lit, _TERMS)), lambda t: F.contains(hay, t)))
-    return R.guarded(base.matches(spark, sf_dir), (F.col("rank") <= 2) | routing.any_of(hay, _PHRASES) | (hits >= 2)).select("query_id", "rank", "doc_id")
+    """Of procedures the first two matches, and those with a phrase or two terms of the question."""
+    return R.procedure_focus(asked_matches(spark, sf_dir), R.on_procedure(F.col("question"), F.col("intent"))).select("query_id", "rank", "doc_id")
 
 
 _PREFERRED = ("workshop_manual", "owners_manual", "sop")
@@ -143,7 +169,7 @@ _PREFERRED = ("workshop_manual", "owners_manual", "sop")
         coalesce(list_position({list(_PREFERRED)}, doc_type), 99) AS p FROM matches)
     SELECT query_id, doc_id, CAST(new_rank AS INTEGER) AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= 6 THEN rank END, rnd, p, f) AS new_rank FROM r) WHERE new_rank <= 6""")
 def diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.by_rounds(base.matches(spark, sf_dir), _PREFERRED, 6).select("query_id", "doc_id", "new_rank")
+    return R.by_rounds(base.matches(spark, sf_dir), F.array(*map(F.lit, _PREFERRED)), 6).select("query_id", "doc_id", "new_rank")
 
 
 @query("merge_unique", """WITH b AS (SELECT query_id, rank, 1 AS src, doc_id % 7 AS key FROM matches WHERE rank <= 5 UNION ALL SELECT query_id, rank, 2, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 7 END FROM matches WHERE rank > 5),
@@ -156,16 +182,11 @@ def merge_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merged(first, second, "key").select("query_id", "key", "new_rank")
 
 
-def _o_topics(x: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN {o_any(f'lower({x})', keys)} THEN {q(name)} END" for name, keys in routing.TOPICS.items()) + "], lambda x: x IS NOT NULL)"
-
-
-@query("section_relevance", f"""WITH t AS (SELECT *, len({_o_topics('section')}) > 0 AND NOT list_has_any({_o_topics('section')}, ['electrical', 'brakes']) AS off FROM matches),
+@query("section_relevance", """WITH t AS (SELECT *, len(topics) > 0 AND len(own_topics) > 0 AND NOT list_has_any(own_topics, topics) AS off FROM asked_matches),
     r AS (SELECT *, count(*) FILTER (NOT off) OVER (PARTITION BY query_id) AS kept, row_number() OVER (PARTITION BY query_id ORDER BY off, rank) AS new_rank FROM t)
-    SELECT query_id, doc_id, CAST(new_rank AS INTEGER) AS new_rank FROM r WHERE new_rank <= greatest(kept, 4)""")
+    SELECT query_id, doc_id, CAST(new_rank AS INTEGER) AS new_rank FROM r WHERE new_rank <= greatest(kept, min_keep)""")
 def section_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = base.matches(spark, sf_dir)
-    return R.section_relevance(m, F.array(F.lit("electrical"), F.lit("brakes")), routing.topics(F.col("section")), 4).select("query_id", "doc_id", "new_rank")
+    return R.section_relevance(asked_matches(spark, sf_dir), F.col("topics"), R.chunk_topics(), F.col("min_keep")).select("query_id", "doc_id", "new_rank")
 
 
 @query("page_neighbors", "SELECT m.query_id, m.doc_id AS seed_id, c.doc_id, 0.0::DOUBLE AS score FROM matches m JOIN matches c ON c.source = m.source AND c.page BETWEEN m.page - 2 AND m.page + 2 AND c.doc_id <> m.doc_id WHERE m.rank = 1 AND (c.vehicle IS NULL OR m.vehicle IS NULL OR c.vehicle = m.vehicle)")
@@ -257,14 +278,39 @@ ATOMS = (
     ("page_ref", r"(?i)\bp(?:age|p)?\.?\s*[0-9]{1,4}(?:\.[0-9]+)?\b"),
     ("version", r"(?i)\b(?:REV[-\s]?[0-9]+|v[0-9]+\.[0-9]+)\b"),
 )
-_CONTEXT = "torque 25 nm, page 17, a1234bc56789"
+def _o_again(name: str, source: str, where: str) -> str:
+    return f"{name} AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM ({source}) WHERE {where})"
+
+
+_ROUNDS = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <= top_k THEN rank END, rnd, p, f) AS new_rank FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n,
+    row_number() OVER (PARTITION BY query_id, doc_type ORDER BY rank) AS rnd, min(rank) OVER (PARTITION BY query_id, doc_type) AS f, coalesce(list_position(preferred, doc_type), 99) AS p FROM c5)"""
+
+
+@query("chat_context", f"""WITH {_o_again('c1', "SELECT * EXCLUDE (rank, off), row_number() OVER (PARTITION BY query_id ORDER BY off, rank) AS rank, count(*) FILTER (NOT off) OVER (PARTITION BY query_id) AS kept FROM (SELECT *, len(topics) > 0 AND len(own_topics) > 0 AND NOT list_has_any(own_topics, topics) AS off FROM asked_matches)", 'rank <= greatest(kept, min_keep)')},
+    {_o_again('c2', 'SELECT *, count(*) FILTER (score >= floor * best) OVER (PARTITION BY query_id) AS over_floor FROM (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS best FROM c1)', 'best <= 0 OR CASE WHEN over_floor >= min_keep THEN score >= floor * best ELSE rank <= min_keep END')},
+    {_o_again('c3', 'SELECT *, wanted IS NULL OR vehicle IS NULL OR vehicle = wanted AS k, bool_or(wanted IS NULL OR vehicle IS NULL OR vehicle = wanted) OVER (PARTITION BY query_id) AS a FROM c2', 'k OR NOT a')},
+    {_o_again('c4', f'SELECT * EXCLUDE (k, a), NOT ({_OFF}) AS k, bool_or(NOT ({_OFF})) OVER (PARTITION BY query_id) AS a FROM c3', 'k OR NOT a')},
+    {_o_again('c5', f"SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS b FROM ({_o_hit('c4')})", 'hit OR NOT b')},
+    c6 AS (SELECT * EXCLUDE (rank), new_rank AS rank FROM ({_ROUNDS}) WHERE new_rank <= top_k),
+    c7 AS (SELECT s.query_id, c.doc_id, s.full_detail FROM c6 s JOIN matches c ON c.source = s.source AND c.page BETWEEN s.page - 2 AND s.page + 2 AND c.doc_id <> s.doc_id WHERE s.rank = 1 AND s.long_form AND s.full_detail AND (c.vehicle IS NULL OR s.vehicle IS NULL OR c.vehicle = s.vehicle)),
+    c8 AS (SELECT query_id, doc_id, full_detail, 1 AS src, rank FROM c6 UNION ALL SELECT query_id, doc_id, full_detail, 2, doc_id FROM c7),
+    c9 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY src, rank) AS nth FROM c8) WHERE nth = 1)
+    SELECT p.query_id, count(*) AS chunks, string_agg('[CTX ' || place || '] ' || m.section || chr(10) || {o_depipe('m.text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context
+    FROM c9 p JOIN matches m ON m.doc_id = p.doc_id WHERE place <= CASE WHEN full_detail THEN 18 ELSE 10 END GROUP BY p.query_id""")
+def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed chain of a chat turn, from ranked matches to the numbered context."""
+    m = base.matches(spark, sf_dir)
+    return chat.rendered(chat.context(m, m), m)
+
+
+oracle_view("contexts", ORACLES["chat_context"])
 _NORM = "regexp_replace(lower({}), '[\\s.\\-_/]+', '', 'g')"
 
 
-@query("grounding", "WITH bodies AS (SELECT doc_id, regexp_replace(text, '(?s)\\n\\s*Sources?:.*$', '') AS body FROM texts), atoms AS (" + " UNION ALL ".join(f"SELECT doc_id, {q(k)} AS kind, unnest(regexp_extract_all(body, {q(p)})) AS value FROM bodies" for k, p in ATOMS) + f""")
-    SELECT doc_id, kind, value, contains({_NORM.format(q(_CONTEXT))}, {_NORM.format('value')}) OR (kind = 'page_ref' AND (regexp_extract(value, '[0-9]+') IN ('12', '3') OR contains({_NORM.format(q(_CONTEXT))}, regexp_extract(value, '[0-9]+')))) AS supported FROM atoms""")
+@query("grounding", "WITH bodies AS (SELECT t.doc_id, regexp_replace(t.text, '(?s)\\n\\s*Sources?:.*$', '') AS body, coalesce(c.context, '') AS context FROM texts t LEFT JOIN contexts c ON t.doc_id >= 0 AND c.query_id = t.doc_id // 10), norms AS (SELECT *, " + _NORM.format("context") + " AS held FROM bodies), atoms AS (" + " UNION ALL ".join(f"SELECT doc_id, held, {q(k)} AS kind, unnest(regexp_extract_all(body, {q(p)})) AS value FROM norms" for k, p in ATOMS) + f""")
+    SELECT doc_id, kind, value, contains(held, {_NORM.format('value')}) OR (kind = 'page_ref' AND contains(held, regexp_extract(value, '[0-9]+'))) AS supported FROM atoms""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Atomic facts of answers (before their sources line) and whether the context has them."""
+    """Atomic facts of answers (before their sources line) and whether their own question's context has them."""
     body = F.regexp_replace("text", r"(?s)\n\s*Sources?:.*$", "")
 
     def of(kind: str, pattern: str):
@@ -272,18 +318,8 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(F.regexp_extract_all(body, F.lit(f"{flag}({bare})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     found = F.concat(*[of(k, p) for k, p in ATOMS])
-    atoms = base.texts(spark, sf_dir).select("doc_id", F.explode(found).alias("a")).select("doc_id", "a.*")
-    context = T.ground_norm(F.lit(_CONTEXT))
-    number = F.regexp_extract("value", "([0-9]+)", 1)
-    paged = (F.col("kind") == "page_ref") & (number.isin("12", "3") | F.contains(context, number))
-    return atoms.select("doc_id", "kind", "value", (F.contains(context, T.ground_norm(F.col("value"))) | paged).alias("supported"))
-
-
-@query("chat_context")
-def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The composed chain: floor, purity, topics, turns of document types, cap, rendered context."""
-    m = R.score_floor(base.matches(spark, sf_dir), 0.1, 4)
-    m = R.section_relevance(R.vehicle_purity(m, "BSA Bantam"), F.array(F.lit("electrical"), F.lit("brakes")), routing.topics(F.col("section")), 3).withColumn("rank", F.col("new_rank").cast("long")).drop("new_rank")
-    m = R.by_rounds(m, _PREFERRED, 6).withColumn("rank", F.col("new_rank").cast("long")).drop("new_rank")
-    block = F.concat(F.lit("[CTX "), F.col("rank").cast("string"), F.lit("] "), "section", F.lit("\n"), T.depipe(F.col("text")))
-    return m.groupBy("query_id").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("l")).select("query_id", "chunks", F.array_join(F.transform("l", lambda x: x.b), "\n\n---\n\n").alias("context"))
+    atoms = base.texts(spark, sf_dir).select("doc_id", F.explode(found).alias("a")).select("doc_id", F.when(F.col("doc_id") >= 0, F.expr("doc_id div 10")).alias("query_id"), "a.*")
+    contexts = chat_context(spark, sf_dir).select("query_id", T.ground_norm(F.col("context")).alias("held"))
+    held = F.coalesce("held", F.lit(""))
+    paged = (F.col("kind") == "page_ref") & F.contains(held, F.regexp_extract("value", "([0-9]+)", 1))
+    return atoms.join(contexts, "query_id", "left").select("doc_id", "kind", "value", (F.contains(held, T.ground_norm(F.col("value"))) | paged).alias("supported"))

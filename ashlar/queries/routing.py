@@ -161,12 +161,12 @@ def model_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("resolve_filter", f"""
-    WITH named AS (SELECT query_id, query_id // 1000 AS session_id, {o_case([(rx(M, v.pattern), q(v.facet)) for v in R.VEHICLES], 'NULL')} AS facet FROM questions WHERE query_id >= 0)
+    WITH named AS (SELECT query_id, CAST(floor(query_id / 1000.0) AS BIGINT) AS session_id, {o_case([(rx(M, v.pattern), q(v.facet)) for v in R.VEHICLES], 'NULL')} AS facet FROM questions)
     SELECT query_id, coalesce(facet, (SELECT arg_max(p.facet, p.query_id) FROM named p WHERE p.session_id = n.session_id AND p.query_id < n.query_id AND p.facet IS NOT NULL)) AS value FROM named n""")
 def resolve_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vehicle of the text, else of the newest earlier question of the session that names one."""
-    asked = base.questions(spark, sf_dir).where("query_id >= 0").select("query_id", R.vehicle_facet(F.col(M)).alias("facet"))
-    return asked.selectExpr("query_id", "coalesce(facet, last_value(facet, true) over (partition by query_id div 1000 order by query_id rows between unbounded preceding and 1 preceding)) as value")
+    asked = base.questions(spark, sf_dir).select("query_id", R.vehicle_facet(F.col(M)).alias("facet"))
+    return asked.selectExpr("query_id", "coalesce(facet, last_value(facet, true) over (partition by floor(query_id / 1000D) order by query_id rows between unbounded preceding and 1 preceding)) as value")
 
 
 @query("query_dedup", "SELECT min(query_id) AS query_id, count(*) AS asked FROM questions GROUP BY regexp_replace(regexp_replace(lower(message), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')")
@@ -211,16 +211,16 @@ def doc_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("clarify_merge", """
-    WITH flagged AS (SELECT query_id, query_id // 1000 AS session_id, message, kind = 'clarification' AS c FROM classified WHERE query_id >= 0),
+    WITH flagged AS (SELECT query_id, CAST(floor(query_id / 1000.0) AS BIGINT) AS session_id, message, kind = 'clarification' AS c FROM classified),
     grouped AS (SELECT *, max(CASE WHEN NOT c THEN query_id END) OVER (PARTITION BY session_id ORDER BY query_id) AS root FROM flagged)
     SELECT g.query_id, coalesce((SELECT r.message FROM grouped r WHERE r.query_id = g.root), '') || ' ' ||
-        (SELECT string_agg(regexp_replace(p.message, '^\\s+|\\s+$', '', 'g'), ', ' ORDER BY p.query_id) FROM grouped p WHERE p.session_id = g.session_id AND p.c AND p.query_id <= g.query_id AND p.query_id > coalesce(g.root, -1)) AS value
+        (SELECT string_agg(regexp_replace(p.message, '^\\s+|\\s+$', '', 'g'), ', ' ORDER BY p.query_id) FROM grouped p WHERE p.session_id = g.session_id AND p.c AND p.query_id <= g.query_id AND (g.root IS NULL OR p.query_id > g.root)) AS value
     FROM grouped g WHERE g.c""")
 def clarify_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clarification reply joined with the question it belongs to and the replies between."""
     from ..functions.text import strip
 
-    asked = classified(spark, sf_dir).where("query_id >= 0").selectExpr("query_id", "query_id div 1000 as session_id", "message", "kind = 'clarification' as c")
+    asked = classified(spark, sf_dir).selectExpr("query_id", "cast(floor(query_id / 1000D) as bigint) as session_id", "message", "kind = 'clarification' as c")
     rooted = asked.selectExpr("*", "last_value(if(c, null, query_id), true) over (partition by session_id order by query_id) as root", "last_value(if(c, null, message), true) over (partition by session_id order by query_id) as asked")
     said = rooted.where("c").select("*", F.expr("collect_list(regexp_replace(message, '^\\\\s+|\\\\s+$', '')) over (partition by session_id, root order by query_id rows between unbounded preceding and current row)").alias("replies"))
     return said.select("query_id", F.concat(F.coalesce("asked", F.lit("")), F.lit(" "), F.array_join("replies", ", ")).alias("value"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,12 +83,19 @@ on_texts("strip_section", T.strip_section, o_strip(_SECTION))
 on_texts("sanitize_section", T.sanitize_section, f"CASE WHEN length({o_strip('text')}) > 100 THEN '' ELSE {o_strip('text')} END")
 _STRIPPED = o_strip(_SECTION)
 on_texts("has_content", T.has_content, f"length({o_strip(f'regexp_replace({_STRIPPED}, {q("(?m)^[^\\S\\n]*[0-9]{1,4}[^\\S\\n]*$")}, {q("")}, {q("g")})')}) >= 30")
-on_texts("depipe", T.depipe, """
+_O_DEPIPE = """
     CASE WHEN length(text) - length(replace(text, '|', '')) >= 3 * len(string_split(text, chr(10))) THEN
         regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x:
             CASE WHEN length(x) - length(replace(x, '|', '')) >= 2 THEN nullif(array_to_string(list_filter(list_transform(string_split(x, '|'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')), lambda c: c <> ''), '; '), '') ELSE x END),
             lambda x: x IS NOT NULL), chr(10)), '[ \\t]{2,}', ' ', 'g')
-    ELSE text END""")
+    ELSE text END"""
+on_texts("depipe", T.depipe, _O_DEPIPE)
+
+
+def o_depipe(x: str) -> str:
+    return "(" + re.sub(r"\btext\b", x, _O_DEPIPE) + ")"
+
+
 on_texts("ground_norm", T.ground_norm, "regexp_replace(lower(text), '[\\s.\\-_/]+', '', 'g')")
 on_texts("query_cache_key", T.query_key, o_strip("regexp_replace(lower(text), '\\s+', ' ', 'g')"))
 on_texts("no_answer_ilike", T.no_answer_sql, "(" + " OR ".join(f"text ILIKE {q(p)}" for p in T.SQL_NO_ANSWER) + ")")

@@ -101,8 +101,9 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("doc_id * 17 % 60").alias("page"), F.expr(f"element_at(array({', '.join(repr(x) for x in DOC_TYPES)}), cast(doc_id * 13 % {len(DOC_TYPES)} + 1 as int))").alias("doc_type"),
         F.expr("case lang when 'en' then null when 'fr' then 'BSA Bantam' when 'de' then 'BSA Gold Star' else 'BSA Scrambler' end").alias("vehicle"),
         F.coalesce("text", F.lit("")).alias("text"), "source",
+        F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), F.expr(f"cast(doc_id div 10 % {len(QUESTIONS)} + 1 as int)")).alias("question"),
     )
-    return docs.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, doc_id) as bigint) as rank", "doc_id", "score", "section", "page", "doc_type", "vehicle", "text", "source")
+    return docs.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, doc_id) as bigint) as rank", "doc_id", "score", "section", "page", "doc_type", "vehicle", "text", "source", "question")
 
 
 SECTIONS = ("Oil change", "Valve clearance", "Battery and charging", "Brake caliper", "Warranty claim", "Clutch cable", "General", "Wheel and tyre", "Spark plug", "Fuel tank")
@@ -136,8 +137,8 @@ oracle_view(
 )
 oracle_view(
     "matches",
-    f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank, doc_id, score, section, page, doc_type, vehicle, text, source FROM (
+    f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank, doc_id, score, section, page, doc_type, vehicle, text, source, question FROM (
         SELECT doc_id // 10 AS query_id, doc_id, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS score, ({_list(SECTIONS)})[doc_id * 31 % {len(SECTIONS)} + 1] AS section,
         doc_id * 17 % 60 AS page, ({_list(DOC_TYPES)})[doc_id * 13 % {len(DOC_TYPES)} + 1] AS doc_type,
-        CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'BSA Bantam' WHEN 'de' THEN 'BSA Gold Star' ELSE 'BSA Scrambler' END AS vehicle, coalesce(text, '') AS text, source FROM documents)""",
+        CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'BSA Bantam' WHEN 'de' THEN 'BSA Gold Star' ELSE 'BSA Scrambler' END AS vehicle, coalesce(text, '') AS text, source, ({_list(QUESTIONS)})[doc_id // 10 % {len(QUESTIONS)} + 1] AS question FROM documents)""",
 )

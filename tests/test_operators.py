@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ashlar.functions import frames, routing, scorers
 from ashlar.functions import text as T
 from ashlar.operators import conversation, ingest, layout, raster, retrieval, structure
-from ashlar.plans import ingest as plan
 from ashlar.sources import files
 from ashlar.streaming import events, handoffs
 
@@ -78,7 +77,7 @@ def by_query(df, column="doc_id"):
 
 def test_guards_never_empty_a_query(matches):
     everything = by_query(matches)
-    for kept in (retrieval.vehicle_purity(matches, "v"), retrieval.score_floor(matches, 0.5, 2), retrieval.guarded(matches, F.lit(False))):
+    for kept in (retrieval.vehicle_purity(matches, F.lit("v")), retrieval.score_floor(matches, 0.5, 2), retrieval.guarded(matches, F.lit(False))):
         found = by_query(kept)
         assert found.keys() == everything.keys()
         assert all(set(found[q]) <= set(everything[q]) for q in found)
@@ -90,7 +89,7 @@ def test_score_floor_keeps_a_minimum(matches):
 
 
 def test_rounds_are_a_permutation_prefix(matches):
-    everything, found = by_query(matches), by_query(retrieval.by_rounds(matches, ("b",), 4))
+    everything, found = by_query(matches), by_query(retrieval.by_rounds(matches, F.array(F.lit("b")), 4))
     assert all(len(found[q]) == min(4, len(everything[q])) and len(set(found[q])) == len(found[q]) for q in everything)
 
 
@@ -138,11 +137,17 @@ def test_upload_plan_and_resume(spark):
     assert sum(v == "skipped" for v in got.values()) == 5
 
 
-def test_stage_runner(spark):
-    start = spark.range(3)
-    bad = lambda rows: rows.select("nope")
-    _, states = plan.run_stages([plan.Stage("a", lambda r: r), plan.Stage("b", bad, critical=False), plan.Stage("c", bad), plan.Stage("d", lambda r: r)], start)
-    assert [s.status for s in states] == ["done", "error", "error", "pending"]
+def test_stages_wait_behind_critical_failures(spark):
+    rows = [(1, 0, "done", True), (1, 1, "error", False), (1, 2, "error", True), (1, 3, "done", True), (2, 0, "done", False)]
+    got = ingest.stage_states(spark.createDataFrame(rows, "job_id long, pos int, status string, critical boolean"))
+    assert [r.status for r in got.orderBy("job_id", "pos").collect()] == ["done", "error", "error", "pending", "done"]
+
+
+def test_uploads_are_counted_over_all_ranges(spark):
+    files_ = spark.createDataFrame([(f"k{(i * 7919) % 2000:05d}",) for i in range(2000)], "key string")
+    got = sorted((r.key, r.outcome) for r in ingest.upload_plan(files_, files_.where("key like '%3'"), 700).collect())
+    new = [k for k, o in got if not k.endswith("3")]
+    assert [k for k, o in got if o == "uploaded"] == new[:700] and [k for k, o in got if o == "left"] == new[700:]
 
 
 def test_breadcrumb_freshness(spark):
@@ -177,8 +182,78 @@ def test_layout_and_raster(spark):
     assert [r.id for r in got.orderBy("place").collect()] == [0, 2, 1, 3]
     page = np.full((64, 64), 255, np.uint8)
     page[10:50, 10:50] = 0
-    assert raster.measure(page) == (1600, 40, 40, 1600 / 4096)
-    assert raster.best_split(raster.ink(np.concatenate([page, np.full_like(page, 255)], axis=1))) is not None
+    page = np.full((200, 300), 255, np.uint8)
+    page[20:120, 30:140] = 0
+    page[150:160, 50:58] = 0  # a glyph
+    assert raster.measure(page) == (11000, 110, 100, 1.0) and raster.is_drawing(*raster.measure(page))
+    page[:, 250:252] = np.where(np.arange(200) % 40 < 1, 0, 255)[:, None]
+    assert raster.crop_box(page) == (0, 0, 300, 138)
+    assert raster.trim_rows(page)[1] < 150
+    assert raster.crop_box(np.zeros((100, 100), np.uint8)) == (0, 0, 100, 100) and raster.measure(np.zeros((0, 160), np.uint8)) == (0, 0, 0, 0.0)
+
+
+def plain_components(mask):
+    """Flood fill, pixel by pixel."""
+    label, n = {}, 0
+    points = {(y, x) for y, row in enumerate(mask) for x, v in enumerate(row) if v}
+    for start in sorted(points):
+        if start in label:
+            continue
+        stack = [start]
+        while stack:
+            y, x = stack.pop()
+            if (y, x) in label or (y, x) not in points:
+                continue
+            label[y, x] = n
+            stack += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        n += 1
+    return label, n
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.35, 0.5, 0.9])
+def test_components_match_a_flood_fill(share):
+    import numpy as np
+
+    mask = np.random.default_rng(3).random((60, 70)) < share
+    (row, first, end), label = raster.components(mask)
+    want, n = plain_components(mask)
+    assert len(np.unique(label)) == n and int((end - first).sum()) == mask.sum()
+    seen = {}
+    for y, a, b, name in zip(row.tolist(), first.tolist(), end.tolist(), label.tolist()):
+        assert {want[y, x] for x in range(a, b)} == {seen.setdefault(name, want[y, a])}
+    wide = raster.dilated(mask, 2)
+    assert all(wide[y, x] == mask[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3].any() for y in range(60) for x in range(70))
+
+
+def test_recognition_tables_are_whole():
+    whole = "specific specifically specification specifications specified specifies confirm confirmed confirms confirmation configuration configurations configured confident confidence confidential define defined defines definition definitions identification identified identifies verified verifies verification modification modifications modified notification notifications notified classification classified qualification qualified rectification rectified rectifier amplifier amplification purification purified magnification magnified unified simplified simplification intensified satisfied satisfies notifier purifier humidifier intensifier amplifiers benefit benefits beneficial efficient efficiency sufficient sufficiently difficult difficulty efficacy official"
+    want = {w.replace("fi", " ", 1): w for w in whole.split()} | {"speci fy": "specify", "trafc": "traffic"}
+    assert T.LIGATURE_DROPS == want
+    assert len(set(T.OCR_WORDS)) == 197 and {"yellow", "tools", "lubrication", "diagnostic", "specifications", "regulator", "maintenance", "components"} <= set(T.OCR_WORDS)
+
+
+def test_lost_ligatures_keep_the_first_letter(spark):
+    rows = spark.createDataFrame([("Speci cations are speci ed; DE NED, con rm the Trafc of cial bene ts",), ("air lter stays",)], "t string")
+    assert [r.x for r in rows.select(T.phrase_fix(F.col("t"), T.LIGATURE_DROPS).alias("x")).collect()] == ["Specifications are specified; Defined, confirm the Traffic official benefits", "air lter stays"]
+
+
+def test_nearest_chunks_match_a_plain_search(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 6))
+    vectors[300:] = vectors[:100]  # ties
+    facets = [None if i % 3 == 0 else "ab"[i % 2] for i in range(400)]
+    chunks = spark.createDataFrame([(i, v.tolist(), f) for i, (v, f) in enumerate(zip(vectors, facets))] + [(900, None, None), (901, [0.0] * 6, None), (902, [1.0], None)], "chunk_id long, vec array<double>, vehicle string")
+    queries = chunks.where("chunk_id % 20 = 0 or chunk_id > 800").selectExpr("chunk_id as query_id", "vec as query_vec", "vehicle as wanted")
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in retrieval.knn(queries, chunks, 7).collect())
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    want = []
+    for i in range(0, 400, 20):
+        score = np.round(unit @ unit[i], 12)
+        open_ = [j for j in range(400) if j != i and (facets[i] is None or facets[j] in (None, facets[i]))]
+        want += [(i, n + 1, j) for n, j in enumerate(sorted(open_, key=lambda j: (-score[j], j))[:7])]
+    assert got == want
 
 
 def test_sources(spark, tmp_path):
