@@ -41,3 +41,22 @@ def test_representatives_of_ties_and_unknown_ids(spark):
     got = sorted((str(r.doc_id), r.text) for r in simhash.representatives(docs).collect())
     assert got == [("4", "other text here now"), ("None", "same text of a group")]
     assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_stages_on_odd_tables(spark, docs, labels, no_labels, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, row int, label int"
+    rows = [(1, None, None, None, None, 1, 2, 3), (2, "", "en", "s", 0, 4, 5, 6), (None, "the house " * 40, None, "s", 1, 7, 8, 9), (3, "plain words " * 60_000, "en", "s", 1, 1, 1, 1), (3, "plain words " * 60_000, "en", "s", 1, 1, 1, 2)]
+    odd, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, known in (("some", labels.drop("text")), ("no", no_labels.select("doc_id", "quality", "toxic"))):
+        known.write.parquet(str(tmp_path / name / "labels.parquet"))
+        for stage, function in corpus_pipeline.STAGES:
+            for table in (odd, none):
+                out = function(spark, table, str(tmp_path / name)).collect()
+                if table is none:
+                    assert out == []
+                elif stage == "packing":
+                    assert {r.doc_id for r in out} == {1, 2, 3, None} and sum(r.length for r in out if r.doc_id in (1, 2)) == 2
+                elif stage == "simhash near-dedup":
+                    assert sorted(str(r.doc_id) for r in out) == ["1", "3", "None"]
+                elif name == "no":
+                    assert sorted(map(str, out)) == sorted(map(str, odd.collect()))
