@@ -173,7 +173,7 @@ def token_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "token"))).alias("parts")).select("id", F.array_join(F.transform("parts", lambda x: x.token), "").alias("content"))
 
 
-@query("sse_parse")
+@query("sse_parse", "SELECT id, CAST(i AS BIGINT) AS seq, 'token' AS event, CAST(json_object('token', content[CAST(i * 12 + 1 AS BIGINT):CAST(i * 12 + 12 AS BIGINT)]) AS VARCHAR) AS data, content[CAST(i * 12 + 1 AS BIGINT):CAST(i * 12 + 12 AS BIGINT)] AS token FROM (SELECT id, content, unnest(range(0, (length(content) + 11) // 12)) AS i FROM messages WHERE role = 'assistant')")
 def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of an event stream decoded: event name, joined data lines, JSON where it parses."""
     from ..functions.frames import decode, encode

@@ -136,7 +136,8 @@ on_lines("heading_case", T.heading_case, o_heading_case)
 on_lines("sentence_header", lambda c: T.is_sentence_header(F.split(c, " ")), f"len(regexp_extract_all(lower(line), '[a-z'']+')) >= 4 AND len(list_filter(regexp_extract_all(lower(line), '[a-z'']+'), lambda w: w IN {o_in(T.FUNCTION_WORDS)})) >= 2")
 
 
-@query("part_numbers")
+@query("part_numbers", """SELECT doc_id, list_reduce(list_concat([text], regexp_extract_all(text, '\\b[A-Z]{1,3}[0-9][0-9A-Z\\s]{5,19}[0-9A-Z]')), lambda held, raw: CASE WHEN length(regexp_replace(raw, '\\s+', '', 'g')) BETWEEN 9 AND 18
+    AND regexp_matches(regexp_replace(raw, '\\s+', '', 'g'), '^[A-Z]{1,3}[0-9]{3,}[0-9A-Z]*$') THEN replace(held, raw, replace(regexp_replace(raw, '\\s+', '', 'g'), 'O', '0')) ELSE held END) AS value FROM texts""")
 def part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.texts(spark, sf_dir).select("doc_id", T.part_number_fix(F.col("text")).alias("value"))
 

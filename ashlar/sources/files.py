@@ -28,7 +28,7 @@ def write_jsonl(records: DataFrame, path: str) -> None:
 
 def read_chat_logs(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
     """file, turn, question and answer of text logs whose blocks are divided by lines of ``═``."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     blocks = files.select("file", F.posexplode(F.split("value", r"(?m)^═+\s*$")).alias("turn", "block"))
     pairs = blocks.select("file", "turn", F.trim(F.regexp_extract("block", r"(?s)Q:\s*(.*?)\s*\n\s*A:", 1)).alias("question"), F.trim(F.regexp_replace(F.regexp_extract("block", r"(?s)\n\s*A:\s*(.*)$", 1), r"\s+$", "")).alias("answer")).where("question <> ''")
     if last is None:
@@ -37,8 +37,9 @@ def read_chat_logs(spark: SparkSession, path: str, last: int | None = None) -> D
 
 
 def append_chat_log(turns: DataFrame, path: str) -> None:
-    """Appends (user, question, answer) turns, one folder for each user."""
-    turns.write.mode("append").partitionBy("user").parquet(path)
+    """Appends (user, question, answer) turns as blocks of text that ``read_chat_logs`` reads, one folder for each user."""
+    block = F.concat(F.lit("Q: "), "question", F.lit("\n\nA: "), "answer", F.lit("\n" + "═" * 40))
+    turns.select("user", block.alias("value")).write.mode("append").partitionBy("user").text(path)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -265,6 +265,11 @@ def test_sources(spark, tmp_path):
     assert sorted("page" in r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == [False, True]
     (tmp_path / "log.txt").write_text("Q: one\nA: first\n═════\nQ: two\nA: second\nline\n═════\n")
     assert [(r.question, r.answer) for r in files.read_chat_logs(spark, str(tmp_path / "log.txt")).orderBy("turn").collect()] == [("one", "first"), ("two", "second\nline")]
+    turns = spark.createDataFrame([("u1", "how", "so\nand so"), ("u2", "why", "because")], "user string, question string, answer string")
+    for n in (1, 2):
+        files.append_chat_log(turns, str(tmp_path / "logs"))
+        got = files.read_chat_logs(spark, str(tmp_path / "logs")).select("question", "answer").collect()
+        assert sorted(map(tuple, got)) == sorted([("how", "so\nand so"), ("why", "because")] * n)
     (tmp_path / "doc.txt").write_text("page one\f\fpage three")
     spark.dataSource.register(files.PageSource)
     pages = spark.read.format("pages").options(path=str(tmp_path / "doc.txt"), pages="4", pagesPerTask="2").load()
