@@ -319,7 +319,9 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = F.concat(*[of(k, p) for k, p in ATOMS])
     atoms = base.texts(spark, sf_dir).select("doc_id", F.explode(found).alias("a")).select("doc_id", F.when(F.col("doc_id") >= 0, F.expr("doc_id div 10")).alias("query_id"), "a.*")
-    contexts = chat_context(spark, sf_dir).select("query_id", T.ground_norm(F.col("context")).alias("held"))
+    m = base.matches(spark, sf_dir)
+    needed = m.join(atoms.select("query_id").distinct(), "query_id", "left_semi")  # a chain works by query: only those with facts
+    contexts = chat.rendered(chat.context(needed, m), m).select("query_id", T.ground_norm(F.col("context")).alias("held"))
     held = F.coalesce("held", F.lit(""))
     paged = (F.col("kind") == "page_ref") & F.contains(held, F.regexp_extract("value", "([0-9]+)", 1))
     return atoms.join(contexts, "query_id", "left").select("doc_id", "kind", "value", (F.contains(held, T.ground_norm(F.col("value"))) | paged).alias("supported"))
