@@ -16,13 +16,16 @@ COLUMNS = {
     "op7_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op9_exact_topk_search": ["query_id", "rank", "vec_id", "score"],
+    "op11_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12_document_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
     "op10_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
 def test_all_are_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
-    assert sorted(n.split("_")[0] for n in queries.QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in queries.QUERIES if n != "pipeline") == sorted(f"op{i}" for i in range(1, 14))
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
@@ -31,7 +34,7 @@ def test_columns_and_whole_tables(spark, name):
     got = queries.QUERIES[name](spark, str(DATA))
     assert got.columns[: len(COLUMNS[name])] == COLUMNS[name]
     rows = got.count()
-    if name.startswith(("op1_", "op2_", "op6_", "op7_", "op8_", "op10_")):
+    if name.startswith(("op1_", "op2_", "op6_", "op7_", "op8_", "op10_", "op12_")):
         assert rows == spark.read.parquet(str(DATA / "documents.parquet")).count()
     assert rows > 0
 
