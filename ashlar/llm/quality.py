@@ -69,10 +69,15 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, epochs: int
         for i in rng.permutation(len(rows)):
             index, value = rows[i]
             weight = model.weights(index)
-            model.update(index, weight, (sigmoid(weight @ value) - labels[i]) * value)
+            model.update(index, weight, loss_slope(weight, value, labels[i]))
     return model.weights().astype(np.float32)
 
 
+def loss_slope(weight: np.ndarray, value: np.ndarray, label: float) -> np.ndarray:
+    """How the log loss of one document changes with each of its weights."""
+    return (sigmoid(weight @ value) - label) * value
+
+
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = [b for b in batches if b.num_rows]
     weights = np.zeros((1 << BITS) + 1, np.float32)

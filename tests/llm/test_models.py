@@ -11,6 +11,7 @@ import xxhash
 
 from ashlar.llm import kernel, langid, quality, rules, toxicity
 from ashlar.llm.common import sampled
+from ashlar.llm.ftrl import Ftrl
 
 
 def rest(key, m):
@@ -164,9 +165,8 @@ def plain_toxicity(text, weights):
         if words:
             logit = weights[-1] + toxicity.BIAS + sum(weights[feature(w, 42)] + sum(weights[feature(w[:n], n)] for n in toxicity.PREFIXES if len(w) >= n) for w in words)
             hazards.append(math.log1p(math.exp(logit)))
-    neutral, start = math.log1p(math.exp(weights[-1] + toxicity.BIAS)), math.log1p(math.exp(toxicity.BIAS))
-    floor = max(neutral, -math.log1p(-toxicity.FLOOR))
-    return -math.expm1(-(sum(max(h - floor, 0) for h in hazards) + min(sum(min(h, floor) for h in hazards), max(neutral, toxicity.BACKGROUND * start))))
+    floor, most = -math.log1p(-toxicity.FLOOR), toxicity.BACKGROUND * math.log1p(math.exp(toxicity.BIAS))
+    return -math.expm1(-(sum(max(h - floor, 0) for h in hazards) + min(sum(min(h, floor) for h in hazards), most)))
 
 
 def plain_quality(text, weights):
@@ -189,6 +189,71 @@ def test_scores_match_the_plain_forms(docs, labels, docs_rows):
     assert np.allclose(toxicity.document_scores(*flat, weights["toxic"]), [plain_toxicity(t, weights["toxic"]) for t in texts], atol=1e-9)
 
 
+def numeric(loss, x, at, step=1e-6):
+    high, low = x.copy(), x.copy()
+    high[at] += step
+    low[at] -= step
+    return (loss(high) - loss(low)) / (2 * step)
+
+
+def test_slopes_of_both_losses_are_their_numeric_gradients():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        logit = rng.normal(-4, 3, int(rng.integers(1, 40)))
+        for label in (0.0, 1.0):
+
+            def loss(x):
+                total = float(toxicity.document_hazards(toxicity.softplus(x), np.zeros(len(x), np.int64), 1)[0])
+                return total if label == 0 else -math.log(-math.expm1(-total))
+
+            got = toxicity.loss_slopes(logit, label)
+            for i in range(len(logit)):
+                want = numeric(loss, logit, i)
+                if abs(want) < 0.999:  # beyond, slopes are cut
+                    assert got[i] == pytest.approx(want, abs=1e-4)
+        weight, value = rng.normal(size=7), rng.normal(size=7)
+        for label in (0.0, 1.0):
+            entropy = lambda w: math.log1p(math.exp((1 - 2 * label) * float(w @ value)))  # noqa: B023, E731
+            assert quality.loss_slope(weight, value, label) == pytest.approx([numeric(entropy, weight, i) for i in range(7)], abs=1e-6)
+
+
+def test_updates_follow_the_proximal_rule_one_coordinate_at_a_time():
+    rng = np.random.default_rng(3)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.01
+    model = Ftrl(5, alpha, beta, l1, l2)
+    z, n = [0.0] * 6, [0.0] * 6
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(200):
+        index = np.sort(rng.choice(6, 3, replace=False))
+        held = model.weights(index)
+        assert held == pytest.approx([weight(i) for i in index], abs=1e-12)
+        gradient = rng.normal(size=3)
+        model.update(index, held, gradient)
+        for i, g in zip(index, gradient):
+            w = weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w
+            n[i] += g * g
+    assert model.weights() == pytest.approx([weight(i) for i in range(6)], abs=1e-12)
+
+
+def test_very_long_texts_pass_every_model(spark, docs, labels):
+    sentence = "The green house of the people and nothing, where water was running slowly. "
+    long = sentence * 20_000  # 1.5 million characters
+    rows = spark.createDataFrame([(1, long), (2, sentence * 30), (3, "z" * 2_000_000)], "doc_id long, text string")
+    tongues = {r.doc_id: r.lang_pred for r in langid.predict(rows, langid.fit(docs)).collect()}
+    assert tongues[1] == tongues[2] == "en" and len(tongues) == 3
+    scores = {r.doc_id: r.score for r in quality.score(rows, quality.fit(docs, labels)).collect()}
+    assert scores[1] == pytest.approx(plain_quality(long[: len(sentence) * 400], quality.fit(docs, labels).astype(float)), abs=0.02) and len(scores) == 3
+    verdicts = {r.doc_id: r for r in rules.judged(rows, *rules.fit(docs, labels)).collect()}
+    assert verdicts[1].n_words == 20_000 * 13 and verdicts[1].base_failed and verdicts[3].word_chars == 2_000_000
+    assert verdicts[1].n_repeat_words == verdicts[1].n_words
+
+
 def test_noisy_or_of_sentences():
     data, offsets = kernel.flat(pa.array(["a b. c!\nd", None]))
     word, sentence, doc, start, end = toxicity.instances(data, offsets)

@@ -56,7 +56,7 @@ def test_stages_on_odd_tables(spark, docs, labels, no_labels, tmp_path):
                     assert out == []
                 elif stage == "packing":
                     assert {r.doc_id for r in out} == {1, 2, 3, None} and sum(r.length for r in out if r.doc_id in (1, 2)) == 2
-                elif stage == "simhash near-dedup":
+                elif stage == "near-dedup":
                     assert sorted(str(r.doc_id) for r in out) == ["1", "3", "None"]
                 elif name == "no":
                     assert sorted(map(str, out)) == sorted(map(str, odd.collect()))
