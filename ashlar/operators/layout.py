@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def reading_order(blocks: DataFrame) -> DataFrame:
     """Place of every block of ``blocks(id, page, x0, y0, x1, y1, width)`` in its page.
@@ -31,28 +35,126 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return rows.select("page", "id", F.col("_two").alias("two_columns"), F.row_number().over(page.orderBy(*key)).alias("place"))
 
 
-def clusters(boxes: DataFrame, pad: float) -> DataFrame:
-    """Merged boxes of each page: padded boxes that touch join until nothing changes."""
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        held = frame[["x0", "y0", "x1", "y1"]].to_numpy() + np.array([-pad, -pad, pad, pad])
-        count = np.ones(len(held), int)
-        at = 0
-        while at < len(held):
-            a = held[at]
-            touch = (held[:, 0] <= a[2]) & (held[:, 2] >= a[0]) & (held[:, 1] <= a[3]) & (held[:, 3] >= a[1])
-            touch[at] = False
-            if not touch.any():
-                at += 1
-                continue
-            joined = np.append(held[touch], a[None], axis=0)
-            box = np.append(joined[:, :2].min(axis=0), joined[:, 2:].max(axis=0))
-            n = count[touch].sum() + count[at]
-            keep = ~touch
-            keep[at] = False
-            held, count = np.append(held[keep], box[None], axis=0), np.append(count[keep], n)
-            at = 0
-        order = np.lexsort((held[:, 0], held[:, 1]))
-        return pd.DataFrame({"page": frame["page"].iloc[0], "x0": held[order, 0], "y0": held[order, 1], "x1": held[order, 2], "y1": held[order, 3], "boxes": count[order]})
-
-    return boxes.groupBy("page").applyInPandas(merge, "page long, x0 double, y0 double, x1 double, y1 double, boxes long")
+# What makes a cluster of drawings a figure (lengths in points, areas as shares of the page's or the cluster's).
+LEAST_SIDE, LEAST_FIGURE_SIDE = 3, 28
+LEAST_AREA, MOST_AREA = 0.02, 0.88
+MOST_ASPECT = 12
+LEAST_DRAWINGS = 5
+MOST_TEXT, TABLE_TEXT, MOST_TABLE = 0.55, 0.20, 0.60
+PAD = 10.0
+#: Boxes of a bin on average, and bins along each side of a page at most.
+BIN_BOXES, BINS = 256, 32
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def merged_boxes(box: np.ndarray, pad: float) -> np.ndarray:
+    """The number of each box's cluster, when boxes less than ``pad`` apart join and what they span joins likewise, until nothing does."""
+    span, alive = np.empty_like(box), np.zeros(len(box), bool)
+    parent = np.arange(len(box))
+    used = 0
+    for i in range(len(box)):
+        now = box[i].copy()
+        mine = used
+        used += 1
+        while True:
+            held = span[:mine]
+            touch = alive[:mine] & (held[:, 0] - pad < now[2]) & (held[:, 2] + pad > now[0]) & (held[:, 1] - pad < now[3]) & (held[:, 3] + pad > now[1])
+            which = np.flatnonzero(touch)
+            if not len(which):
+                break
+            now[:2] = np.minimum(now[:2], held[which, :2].min(axis=0))
+            now[2:] = np.maximum(now[2:], held[which, 2:].max(axis=0))
+            alive[which] = False
+            parent[which] = mine
+        span[mine], alive[mine] = now, True
+    for i in range(len(box) - 1, -1, -1):  # a cluster is swallowed by a later one
+        parent[i] = parent[parent[i]]
+    return parent
+
+
+def _bin_links(pad: float):
+    def run(rows: pa.Table) -> pa.Table:
+        box = np.column_stack([rows[c].to_numpy() for c in CORNERS])
+        ids = rows["id"].to_numpy()
+        cluster = merged_boxes(box, pad)
+        order = np.lexsort((ids, cluster))
+        first = np.append(True, cluster[order][1:] != cluster[order][:-1])
+        root = np.empty(len(ids), np.int64)
+        root[order] = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        joined = root != ids
+        return pa.table({"page": rows["page"].filter(pa.array(joined)), "id": pa.array(ids[joined]), "root": pa.array(root[joined])})
+
+    return run
+
+
+def clusters(boxes: DataFrame, pad: float = PAD) -> DataFrame:
+    """page, box and number of boxes of every cluster of ``boxes(page, x0, y0, x1, y1)``, joined while less than ``pad`` apart.
+
+    Boxes meet in the bins of their page that they reach; a bin's boxes are joined in
+    one task, and clusters of several bins by the smallest number they share. What
+    is joined spans more and may reach others, so rounds go on, each over a written
+    table of fewer boxes, until no bin joins any. A page of few boxes is one bin.
+    Rows with a null take no part.
+    """
+    own = boxes.select(F.col("page").cast("long").alias("page"), *(F.col(c).cast("double").alias(c) for c in CORNERS)).dropna()
+    held = cut(own.select("page", F.monotonically_increasing_id().alias("id"), *CORNERS, F.lit(1).cast("long").alias("boxes")))
+    while True:
+        extent = held.groupBy("page").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"), F.count("*").alias("n"))
+        extent = extent.withColumn("bins", F.least(F.lit(BINS), F.ceil(F.sqrt(F.col("n") / BIN_BOXES))).cast("int"))
+        placed = held.join(extent, "page")
+
+        def reach(low: str, high: str, begin: str, end: str) -> Column:
+            side = F.greatest((F.col(end) - F.col(begin)) / F.col("bins"), F.lit(1e-9))
+            at = lambda v: F.least(F.greatest(F.floor((v - F.col(begin)) / side), F.lit(0)), F.col("bins") - 1).cast("int")
+            return F.sequence(at(F.col(low) - pad), at(F.col(high) + pad))
+
+        binned = placed.select("page", "id", *CORNERS, F.explode(reach("x0", "x1", "left", "right")).alias("bx"), reach("y0", "y1", "top", "bottom").alias("ys")).select("page", "id", *CORNERS, "bx", F.explode("ys").alias("by"))
+        links = binned.groupBy("page", "bx", "by").applyInArrow(_bin_links(pad), "page long, id long, root long").groupBy("page", "id").agg(F.min("root").alias("root"))
+        links = cut(links)
+        if links.isEmpty():
+            return held.select("page", *CORNERS, "boxes")
+        further = links.select("page", F.col("id").alias("root"), F.col("root").alias("beyond"))
+        led = links.join(further, ["page", "root"], "left").select("page", "id", F.coalesce("beyond", "root").alias("root"))
+        grown = held.join(led, ["page", "id"], "left").groupBy("page", F.coalesce("root", "id").alias("id"))
+        held = cut(grown.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("boxes").alias("boxes")).select("page", "id", *CORNERS, "boxes"))
+
+
+def _area(prefix: str = "") -> Column:
+    return (F.col(f"{prefix}x1") - F.col(f"{prefix}x0")) * (F.col(f"{prefix}y1") - F.col(f"{prefix}y0"))
+
+
+def shared_areas(boxes: DataFrame, others: DataFrame) -> DataFrame:
+    """box_id and the area it shares with each box of ``others`` that it meets on its page."""
+    named = others.select("page", *(F.col(c).alias(f"o_{c}") for c in CORNERS))
+    side = lambda low, high: F.greatest(F.least(F.col(high), F.col(f"o_{high}")) - F.greatest(F.col(low), F.col(f"o_{low}")), F.lit(0.0))
+    return boxes.join(named, "page").select("box_id", (side("x0", "x1") * side("y0", "y1")).alias("shared")).where("shared > 0")
+
+
+def covered(boxes: DataFrame, others: DataFrame, how: Callable[[Column], Column]) -> DataFrame:
+    """``boxes`` with ``share``: the sum (or another summary) of the areas shared with ``others``, of its own area."""
+    shares = shared_areas(boxes, others).groupBy("box_id").agg(how(F.col("shared")).alias("shared"))
+    return boxes.join(shares, "box_id", "left").withColumn("share", F.coalesce(F.try_divide("shared", _area()), F.lit(0.0))).drop("shared")
+
+
+def drawing_regions(drawings: DataFrame, pages: DataFrame, texts: DataFrame, tables: DataFrame | None = None, pad: float = PAD) -> DataFrame:
+    """page, box and number of drawings of the clusters that look like figures.
+
+    ``drawings(page, x0, y0, x1, y1[, invisible])``, ``pages(page, width, height)``;
+    ``texts`` and ``tables`` are boxes by page. Invisible, tiny and page-sized drawings
+    take no part. A cluster is no figure if it is small, narrow, a ruling, of few
+    drawings, mostly text, or mostly within a table; a table is a box of ``tables``
+    that texts cover by more than a fifth.
+    """
+    size = pages.select("page", F.greatest(F.col("width") * F.col("height"), F.lit(1.0)).alias("_page"))
+    seen = drawings.where(~F.coalesce(F.col("invisible"), F.lit(False))) if "invisible" in drawings.columns else drawings
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    drawn = seen.join(size, "page").where((wide >= LEAST_SIDE) & (high >= LEAST_SIDE) & (_area() <= MOST_AREA * F.col("_page")))
+    found = clusters(drawn, pad).join(size, "page")
+    shape = (_area() >= LEAST_AREA * F.col("_page")) & (F.least(wide, high) >= LEAST_FIGURE_SIDE) & (F.greatest(wide, high) <= MOST_ASPECT * F.least(wide, high)) & (F.col("boxes") >= LEAST_DRAWINGS)
+    figures = cut(found.where(shape).select(F.monotonically_increasing_id().alias("box_id"), "page", *CORNERS, "boxes"))
+    kept = covered(figures, texts, F.sum).where(F.col("share") <= MOST_TEXT).drop("share")
+    if tables is not None:
+        boxed = cut(tables.select(F.monotonically_increasing_id().alias("box_id"), "page", *CORNERS))
+        real = covered(boxed, texts, F.sum).where(F.col("share") > TABLE_TEXT)
+        kept = covered(kept, real, F.max).where(F.col("share") <= MOST_TABLE).drop("share")
+    return kept.select("page", *CORNERS, "boxes")

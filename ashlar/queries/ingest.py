@@ -209,14 +209,6 @@ def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_order(rects(spark, sf_dir).withColumn("width", F.lit(130.0)))
 
 
-@query("drawing_clusters")
-def drawing_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded boxes of a page merged until none touch."""
-    from ..operators.layout import clusters
-
-    return clusters(rects(spark, sf_dir), pad=2.0)
-
-
 @query("invisible_drawings", "SELECT doc_id, NOT (doc_id % 3 = 0) AND (doc_id % 2 = 0 OR (doc_id % 50) / 49.0 >= 0.98) AS value FROM documents")
 def invisible_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings without stroke whose fill is missing or white."""

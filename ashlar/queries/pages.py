@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import layout
 from ..operators import pagetables as P
 from ..registry import oracle_view, query
 from ..sources import base
@@ -97,3 +98,26 @@ def page_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.raster import rotations
 
     return rotations(printed_pages(spark, sf_dir))
+
+
+oracle_view("word_boxes", f"""SELECT page, k, n, text, pitch, {MARGIN}::DOUBLE + k // {CELL} % {COLUMNS} * pitch + CASE WHEN k % {CELL} = 1 THEN {LETTER} * (length(before) + 1) ELSE 0 END AS x0, {MARGIN}::DOUBLE + k // {COLUMNS * CELL} * {LINE} AS y0
+    FROM (SELECT *, {CELL * LETTER} * max(length(text)) OVER (PARTITION BY page) + {LETTER + FREE} AS pitch, lag(text) OVER (PARTITION BY page ORDER BY k) AS before FROM cell_words)""")
+oracle_view("word_clusters", f"SELECT page, min(x0) AS x0, min(y0) AS y0, max(x0 + {LETTER} * length(text)) AS x1, max(y0) + {HEIGHT} AS y1, count(*) AS boxes, sum(CASE WHEN length(text) > 7 THEN {LETTER * HEIGHT} * length(text) ELSE 0 END) AS inked, max(pitch) AS pitch, max(n) AS n FROM word_boxes GROUP BY page, k // {CELL} % {COLUMNS}")
+
+
+@query("drawing_clusters", "SELECT page, x0, y0, x1, y1, boxes FROM word_clusters")
+def drawing_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each page as drawings, joined while less than ten points apart: its columns."""
+    return layout.clusters(page_words(spark, sf_dir))
+
+
+_PAGE = f"(2 * {MARGIN} + {COLUMNS} * pitch) * (2 * {MARGIN} + {LINE} * ceil(n / {COLUMNS * CELL}.0))"
+
+
+@query("drawing_regions", f"""SELECT page, x0, y0, x1, y1, boxes FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area, {_PAGE} AS page_area, least(x1 - x0, y1 - y0) AS short, greatest(x1 - x0, y1 - y0) AS long FROM word_clusters)
+    WHERE area >= {layout.LEAST_AREA} * page_area AND short >= {layout.LEAST_FIGURE_SIDE} AND long <= {layout.MOST_ASPECT} * short AND boxes >= {layout.LEAST_DRAWINGS} AND inked <= {layout.MOST_TEXT} * area""")
+def drawing_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that look like figures, if words are drawings and those of more than seven letters are text as well."""
+    words = page_words(spark, sf_dir)
+    size = words.groupBy("page").agg((2.0 * MARGIN + COLUMNS * F.max("pitch")).alias("width"), (2.0 * MARGIN + LINE * F.ceil(F.max("n") / (COLUMNS * CELL))).alias("height"))
+    return layout.drawing_regions(words, size, words.where("length(text) > 7"))

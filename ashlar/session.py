@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,3 +25,17 @@ def session(name: str = "ashlar", master: str | None = None, **extra: str) -> Sp
     for key, value in (SETTINGS | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder: lineage ends there, and lost executors cost nothing.
+
+    The folder is the session's; one of our own only where none is set and all run on this machine.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="ashlar-checkpoints-"))
+    return df.checkpoint()

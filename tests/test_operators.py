@@ -299,17 +299,3 @@ def test_intents_have_directives_or_none(spark):
     from ashlar.functions import prompt
 
     assert one(spark, "procedure", prompt.directive).startswith("Answer") and one(spark, "general", prompt.directive) == ""
-
-
-def test_clusters_match_merging_two_boxes_at_a_time(spark):
-    rng = random.Random(6)
-    boxes = [(1 + i % 3, x, y, x + rng.uniform(1, 9), y + rng.uniform(1, 9)) for i in range(90) for x, y in [(rng.uniform(0, 90), rng.uniform(0, 90))]]
-    got = layout.clusters(spark.createDataFrame(boxes, "page long, x0 double, y0 double, x1 double, y1 double"), pad=1.0).collect()
-    want = []
-    for page in (1, 2, 3):
-        held = [[b[1] - 1, b[2] - 1, b[3] + 1, b[4] + 1, 1] for b in boxes if b[0] == page]
-        while pair := next(((i, j) for i in range(len(held)) for j in range(i) if held[i][0] <= held[j][2] and held[i][2] >= held[j][0] and held[i][1] <= held[j][3] and held[i][3] >= held[j][1]), None):
-            a, b = held.pop(pair[0]), held.pop(pair[1])
-            held.append([min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]])
-        want += [(page, *h) for h in held]
-    assert sorted((r.page, r.x0, r.y0, r.x1, r.y1, r.boxes) for r in got) == sorted(want)

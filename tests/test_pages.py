@@ -6,8 +6,8 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from ashlar.operators import layout, raster
 from ashlar.operators import pagetables as P
-from ashlar.operators import raster
 from ashlar.queries import pages
 
 DATA = Path("/root/testdata/sf0.001")
@@ -166,3 +166,66 @@ def test_printed_documents_are_set_upright(spark):
     several = [p for p, (_, n) in turns.items() if n >= 4 * pages.PRINTED * 10]  # four lines or more
     right = sum(got[p] == (360 - 90 * turns[p][0]) % 360 for p in several)
     assert len(several) > 100 and right >= 0.98 * len(several) and len({got[p] for p in several}) == 4
+
+
+BOXES = "page long, x0 double, y0 double, x1 double, y1 double"
+
+
+def plain_clusters(boxes, pad):
+    held = [[*b, 1] for b in boxes]
+
+    def near(a, b):
+        return a[0] - pad < b[2] and b[0] - pad < a[2] and a[1] - pad < b[3] and b[1] - pad < a[3]
+
+    while pair := next(((i, j) for i in range(len(held)) for j in range(i) if near(held[i], held[j])), None):
+        a, b = held.pop(pair[0]), held.pop(pair[1])
+        held.append([min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), a[4] + b[4]])
+    return sorted(map(tuple, held))
+
+
+@pytest.mark.parametrize("bin_boxes", [256, 3])
+def test_clusters_are_the_fixpoint_of_merging_pairs(spark, monkeypatch, bin_boxes):
+    monkeypatch.setattr(layout, "BIN_BOXES", bin_boxes)
+    rng = random.Random(6)
+    boxes = [(1 + i % 3, x, y, x + rng.uniform(0, 9), y + rng.uniform(0, 9)) for i in range(120) for x, y in [(rng.uniform(0, 90), rng.uniform(0, 90))]]
+    boxes += [(4, float(10 * i), float(i % 2), 10.0 * i + 9, 5.0) for i in range(60)]  # a chain over all bins
+    boxes += [(5, 0.0, 0.0, 100.0, 1.0), (5, 0.0, 50.0, 1.0, 51.0), (5, 0.5, 1.5, 0.6, 50.0), (6, 5.0, 5.0, 5.0, 5.0), (6, 5.0, 5.0, 5.0, 5.0), (None, 0.0, 0.0, 1.0, 1.0), (7, None, 0.0, 1.0, 1.0)]
+    got = layout.clusters(spark.createDataFrame(boxes, BOXES).repartition(4), pad=1.5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page, []).append((r.x0, r.y0, r.x1, r.y1, r.boxes))
+    assert set(by) == {1, 2, 3, 4, 5, 6}
+    for page, found in by.items():
+        assert sorted(found) == plain_clusters([b[1:] for b in boxes if b[0] == page], 1.5)
+    assert len(by[4]) == 1 and len(by[5]) == 1
+    assert layout.clusters(spark.createDataFrame([], BOXES)).count() == 0
+
+
+def test_a_page_of_a_hundred_thousand_boxes(spark):
+    near = spark.range(100_000).selectExpr("1L as page", "double(id % 400 * 20) as x0", "double(id div 400 * 20) as y0").selectExpr("*", "x0 + 5 + (x0 + y0) % 3 as x1", "y0 + 5 as y1")
+    began = __import__("time").perf_counter()
+    assert layout.clusters(near, pad=3.0).count() == 100_000  # none joins
+    rows = layout.clusters(near, pad=16.0).collect()  # all do
+    assert [(r.x0, r.y0, r.boxes) for r in rows] == [(0.0, 0.0, 100_000)]
+    assert __import__("time").perf_counter() - began < 120
+
+
+def test_figures_are_told_from_other_clusters(spark):
+    def cluster(page, x, y, n=9, side=40):
+        return [(page, x + side * (i % 3), y + side * (i // 3), x + side * (i % 3) + side, y + side * (i // 3) + side, False) for i in range(n)]
+
+    drawings = cluster(1, 50.0, 50.0)  # a figure
+    drawings += cluster(2, 50.0, 50.0, n=4)  # too few drawings
+    drawings += cluster(3, 50.0, 50.0, side=8)  # too small
+    drawings += [(4, 50.0 + 30 * i, 50.0, 80.0 + 30 * i, 79.0, False) for i in range(14)]  # a ruling
+    drawings += cluster(5, 50.0, 50.0) + cluster(6, 50.0, 50.0)  # text; table
+    drawings += [(*r[:5], True) for r in cluster(7, 50.0, 50.0)] + [(8, 0.0, 0.0, 600.0, 800.0, False)] * 6 + [(9, 10.0 * i, 5.0, 10.0 * i + 9, 7.0, False) for i in range(9)]  # invisible; background; slivers
+    drawings += cluster(10, 50.0, 50.0)  # a grid of pictures, hardly any text: no table
+    texts = [(5, 50.0, 50.0, 170.0, 120.0), (6, 50.0, 50.0, 170.0, 85.0), (10, 50.0, 50.0, 60.0, 60.0), (1, 50.0, 50.0, 170.0, 115.9)]
+    tables = [(6, 45.0, 45.0, 160.0, 175.0), (10, 45.0, 45.0, 175.0, 175.0), (1, 50.0, 50.0, 120.0, 170.0)]
+    pages_ = spark.createDataFrame([(i, 600.0, 800.0) for i in range(1, 11)], "page long, width double, height double")
+    boxes = lambda rows: spark.createDataFrame(rows, BOXES)
+    drawn = spark.createDataFrame(drawings, BOXES + ", invisible boolean")
+    got = layout.drawing_regions(drawn, pages_, boxes(texts), boxes(tables)).collect()
+    assert sorted((r.page, r.boxes) for r in got) == [(1, 9), (10, 9)]
+    assert sorted(r.page for r in layout.drawing_regions(drawn, pages_, boxes(texts)).collect()) == [1, 6, 10]
