@@ -17,6 +17,8 @@ from ..functions import routing
 SHARD_ROWS = 8192
 SHARDS = 64
 SHARD_BYTES = 64 << 20
+#: Bytes of scores that a task holds at a time: so many queries meet a shard together, one at least.
+SCORE_BYTES = 64 << 20
 
 
 def _query() -> WindowSpec:
@@ -59,16 +61,19 @@ class _Shard:
             if n not in self.parts:
                 continue
             keys, code, held = self.parts[n]
-            for row, score in zip(which, np.round(unit @ held.T, 12)):
-                facet = wanted[row]
-                open_ = (keys != ids[row]) if facet is None else (keys != ids[row]) & ((code == -1) | (code == self.codes.get(facet, -2)))
-                at = np.flatnonzero(open_)
-                if len(at) > k:
-                    at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
-                at = at[np.argsort(-score[at], kind="stable")][:k]
-                out[0].append(np.full(len(at), ids[row]))
-                out[1].append(keys[at])
-                out[2].append(score[at])
+            together = max(1, SCORE_BYTES // (8 * len(keys)))
+            for lo in range(0, len(which), together):
+                scores = unit[lo : lo + together] @ held.T
+                for row, score in zip(which[lo : lo + together], np.round(scores, 12, out=scores)):
+                    facet = wanted[row]
+                    open_ = (keys != ids[row]) if facet is None else (keys != ids[row]) & ((code == -1) | (code == self.codes.get(facet, -2)))
+                    at = np.flatnonzero(open_)
+                    if len(at) > k:
+                        at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+                    at = at[np.argsort(-score[at], kind="stable")][:k]
+                    out[0].append(np.full(len(at), ids[row]))
+                    out[1].append(keys[at])
+                    out[2].append(score[at])
         merged = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.RecordBatch.from_arrays([pa.array(merged[0].astype(np.int64)), pa.array(merged[1].astype(np.int64)), pa.array(merged[2], pa.float64())], ["query_id", "chunk_id", "score"])
 
@@ -113,8 +118,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, min_score: float | None =
 
     ``queries(query_id, query_vec, wanted)``, ``chunks(chunk_id, vec, vehicle)``. Every
     chunk goes to one shard, once, where its unit vector is made once; queries pass
-    all shards in batches and meet a shard as a matrix product. A task holds one
-    shard, bounded in bytes. Ties go to the smaller chunk_id. A vector that is null,
+    all shards in batches and meet a shard as matrix products. A task holds one
+    shard and the scores of a few queries, both bounded in bytes. Ties go to the smaller chunk_id. A vector that is null,
     zero or of another dimension is like none.
     """
     sizes = chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vec")), F.lit(0)).alias("cells")).first()

@@ -40,7 +40,7 @@ def analytics_handoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.agg(*[F.count_if(F.col(c) == v).alias(n) for c, v, n in (("status", "open", "open_count"), ("status", "resolved", "resolved_count"), ("reason", "low_confidence", "low_confidence"), ("reason", "user_requested", "user_requested"))])
 
 
-SINCE = base.START_MS + 2 * C.DAY_MS
+SINCE = base.START_MS + C.DAY_MS // 4
 
 
 @query("analytics_daily", f"SELECT strftime(make_timestamp(created_at * 1000), '%Y-%m-%d') AS day, count(*) FILTER (role = 'user') AS questions, count(*) FILTER (role = 'assistant' AND NOT no_answer) AS answered, count(*) FILTER (no_answer) AS unanswered FROM flagged WHERE created_at >= {SINCE} GROUP BY 1")

@@ -198,15 +198,15 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(base.table(spark, sf_dir, "events"))
 
 
-@query("layout_text", """WITH b AS (SELECT *, x1 - x0 AS wide, (x0 + x1) / 2 AS middle, x1 - x0 <= 0.55 * 130 AS narrow, x1 - x0 > 0.70 * 130 AS banner FROM rects),
-    p AS (SELECT *, count(*) FILTER (narrow) OVER w >= 4 AND count(*) FILTER (narrow AND middle < 65) OVER w >= 2 AND count(*) FILTER (narrow AND middle >= 65) OVER w >= 2 AS two_columns,
+@query("layout_text", """WITH b AS (SELECT *, x1 - x0 AS wide, (x0 + x1) / 2 AS middle, x1 - x0 <= 0.55 * width AS narrow, x1 - x0 > 0.70 * width AS banner FROM (SELECT *, CASE WHEN page % 3 = 0 THEN 40.0 ELSE 130.0 END AS width FROM rects)),
+    p AS (SELECT *, count(*) FILTER (narrow) OVER w >= 4 AND count(*) FILTER (narrow AND middle < width / 2) OVER w >= 2 AND count(*) FILTER (narrow AND middle >= width / 2) OVER w >= 2 AS two_columns,
         2 * coalesce(count(*) FILTER (banner) OVER (PARTITION BY page ORDER BY y0, x0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN banner THEN 1 ELSE 0 END AS band FROM b WINDOW w AS (PARTITION BY page))
-    SELECT page, id, two_columns, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE WHEN two_columns THEN band ELSE 0 END, CASE WHEN two_columns AND NOT banner AND middle >= 65 THEN 1 ELSE 0 END, round(y0, 1), x0, id) AS INTEGER) AS place FROM p""")
+    SELECT page, id, two_columns, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE WHEN two_columns THEN band ELSE 0 END, CASE WHEN two_columns AND NOT banner AND middle >= width / 2 THEN 1 ELSE 0 END, round(y0, 1), x0, id) AS INTEGER) AS place FROM p""")
 def layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading order of page blocks: two columns where enough narrow blocks stand on both sides."""
+    """Reading order of page blocks: two columns where enough narrow blocks stand on both sides (every third page is too narrow)."""
     from ..operators.layout import reading_order
 
-    return reading_order(rects(spark, sf_dir).withColumn("width", F.lit(130.0)))
+    return reading_order(rects(spark, sf_dir).withColumn("width", F.expr("if(page % 3 = 0, 40D, 130D)")))
 
 
 @query("invisible_drawings", "SELECT doc_id, NOT (doc_id % 3 = 0) AND (doc_id % 2 = 0 OR (doc_id % 50) / 49.0 >= 0.98) AS value FROM documents")

@@ -12,9 +12,9 @@ from ..functions import text as T
 from ..operators import retrieval as R
 from ..plans import chat
 from ..plans.retrieve import retrieve as retrieve_plan
-from ..registry import ORACLES, oracle_view, query
+from ..registry import ORACLES, VIEWS, oracle_view, query
 from ..sources import base
-from .routing import INTENT, o_any, o_case, o_profile, rx
+from .routing import CLASS, DYNAMIC, INTENT, o_affirm, o_any, o_case, o_facet, o_in, o_intent_k, o_profile, o_refine, rx
 from .text import o_depipe, q
 
 FACET = "CASE d.lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'BSA Bantam' WHEN 'de' THEN 'BSA Gold Star' WHEN 'es' THEN 'BSA Scrambler' END"
@@ -51,11 +51,22 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWER_SCORE = 0.85
 
 
-@query("learned_lookup", f"SELECT query_id, chunk_id, round(score, 6) AS score, round(score, 6) >= {ANSWER_SCORE} AS hit FROM nearest WHERE rank = 1")
+#: What is added to the id of a stored question, which is not its own chunk.
+STORED = 1_000_000
+oracle_view("stored", f"SELECT vec_id + {STORED} AS chunk_id, embedding AS vec, label FROM embeddings WHERE label % 2 = 0")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that have been answered before: the vectors of even labels."""
+    return base.table(spark, sf_dir, "embeddings").where("label % 2 = 0").select((F.col("vec_id") + STORED).alias("chunk_id"), F.col("embedding").alias("vec"), F.lit(None).cast("string").alias("vehicle"))
+
+
+@query("learned_lookup", f"""SELECT query_id, chunk_id, score, score >= {ANSWER_SCORE} AS hit FROM (SELECT query_id, s.chunk_id, round(list_cosine_similarity(list_transform(query_vec, lambda x: x::DOUBLE), list_transform(s.vec, lambda x: x::DOUBLE)), 6) AS score,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(list_transform(query_vec, lambda x: x::DOUBLE), list_transform(s.vec, lambda x: x::DOUBLE)), 12) DESC, s.chunk_id) AS rank FROM asked CROSS JOIN stored s) WHERE rank = 1""")
 def learned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest stored answer of each question, and whether it is near enough to be given."""
-    best = knn_topk(spark, sf_dir).where("rank = 1")
-    return best.select("query_id", "chunk_id", "score", (F.col("score") >= ANSWER_SCORE).alias("hit"))
+    """The nearest stored question of each question, and whether it is near enough to be answered alike; those of even labels have been asked before."""
+    best = R.knn(asked(spark, sf_dir), stored(spark, sf_dir), 1)
+    return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), (F.round("score", 6) >= ANSWER_SCORE).alias("hit"))
 
 
 @query("cosine", "SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -107,10 +118,10 @@ def _o_topics(x: str) -> str:
 
 
 # what the policy reads from a match's question
-_TYPES = o_case([(f"intent = {q(p.label)}", str(list(p.doc_types))) for p in routing.PROFILES if p.doc_types], "CAST([] AS VARCHAR[])")
+_TYPES = o_case([(f"intent = {q(label)}", str(types)) for label, types in routing.facts(routing.INTENT_FACTS, "doc_type").items()], "CAST([] AS VARCHAR[])")
 oracle_view("asked_matches", f"""SELECT *, {_TYPES} AS preferred, {o_profile('intent', 'floor')}::DOUBLE AS floor, {o_profile('intent', 'min_keep')} AS min_keep, {o_profile('intent', 'top_k')} AS top_k, {o_profile('intent', 'long_form')} AS long_form,
     list_distinct(list_concat({_o_topics('section')}, {_o_topics('left(text, 600)')})) AS own_topics FROM (
-    SELECT *, question AS message, {re.sub(r'\bmessage\b', 'question', INTENT)} AS intent, {o_case([(rx('question', v.pattern), q(v.facet)) for v in routing.VEHICLES], 'NULL')} AS wanted, {_o_topics('question')} AS topics, {rx('question', routing.FULL_DETAIL)} AS full_detail FROM matches)""")
+    SELECT *, question AS message, {re.sub(r'\bmessage\b', 'question', INTENT)} AS intent, {o_facet('question')} AS wanted, {_o_topics('question')} AS topics, {rx('question', routing.FULL_DETAIL)} AS full_detail FROM matches)""")
 _WORDS3 = "regexp_extract_all(lower(question), '[a-z0-9]{3,}')"
 _WORDS2 = f"list_filter(regexp_extract_all(lower(question), '[a-z0-9]{{2,}}'), lambda w: NOT list_contains({list(routing.STOPWORDS)}, w))"
 _HAY = "lower(section || chr(10) || text)"
@@ -286,7 +297,7 @@ _ROUNDS = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WH
     row_number() OVER (PARTITION BY query_id, doc_type ORDER BY rank) AS rnd, min(rank) OVER (PARTITION BY query_id, doc_type) AS f, coalesce(list_position(preferred, doc_type), 99) AS p FROM c5)"""
 
 
-@query("chat_context", f"""WITH {_o_again('c1', "SELECT * EXCLUDE (rank, off), row_number() OVER (PARTITION BY query_id ORDER BY off, rank) AS rank, count(*) FILTER (NOT off) OVER (PARTITION BY query_id) AS kept FROM (SELECT *, len(topics) > 0 AND len(own_topics) > 0 AND NOT list_has_any(own_topics, topics) AS off FROM asked_matches)", 'rank <= greatest(kept, min_keep)')},
+CHAT_CONTEXT = f"""WITH {_o_again('c1', "SELECT * EXCLUDE (rank, off), row_number() OVER (PARTITION BY query_id ORDER BY off, rank) AS rank, count(*) FILTER (NOT off) OVER (PARTITION BY query_id) AS kept FROM (SELECT *, len(topics) > 0 AND len(own_topics) > 0 AND NOT list_has_any(own_topics, topics) AS off FROM asked_matches)", 'rank <= greatest(kept, min_keep)')},
     {_o_again('c2', 'SELECT *, count(*) FILTER (score >= floor * best) OVER (PARTITION BY query_id) AS over_floor FROM (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS best FROM c1)', 'best <= 0 OR CASE WHEN over_floor >= min_keep THEN score >= floor * best ELSE rank <= min_keep END')},
     {_o_again('c3', 'SELECT *, wanted IS NULL OR vehicle IS NULL OR vehicle = wanted AS k, bool_or(wanted IS NULL OR vehicle IS NULL OR vehicle = wanted) OVER (PARTITION BY query_id) AS a FROM c2', 'k OR NOT a')},
     {_o_again('c4', f'SELECT * EXCLUDE (k, a), NOT ({_OFF}) AS k, bool_or(NOT ({_OFF})) OVER (PARTITION BY query_id) AS a FROM c3', 'k OR NOT a')},
@@ -296,18 +307,78 @@ _ROUNDS = """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WH
     c8 AS (SELECT query_id, doc_id, full_detail, 1 AS src, rank FROM c6 UNION ALL SELECT query_id, doc_id, full_detail, 2, doc_id FROM c7),
     c9 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY src, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY src, rank) AS nth FROM c8) WHERE nth = 1)
     SELECT p.query_id, count(*) AS chunks, string_agg('[CTX ' || place || '] ' || m.section || chr(10) || {o_depipe('m.text')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context
-    FROM c9 p JOIN matches m ON m.doc_id = p.doc_id WHERE place <= CASE WHEN full_detail THEN 18 ELSE 10 END GROUP BY p.query_id""")
+    FROM c9 p JOIN matches m ON m.doc_id = p.doc_id WHERE place <= CASE WHEN full_detail THEN 18 ELSE 10 END GROUP BY p.query_id"""
+
+
+@query("chat_context", CHAT_CONTEXT)
 def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composed chain of a chat turn, from ranked matches to the numbered context."""
     m = base.matches(spark, sf_dir)
     return chat.rendered(chat.context(m, m), m)
 
 
+# a turn from its question on: every fiftieth vector asks what the question of its number says, in sessions of four
+VOICED = 4
+_SAID = f"({base._list(base.QUESTIONS)})[CAST(query_id // 50 % {len(base.QUESTIONS)} + 1 AS INTEGER)]"
+oracle_view("voiced", f"SELECT query_id // 50 // {VOICED} AS session_id, query_id, query_vec, {_SAID} AS message FROM asked")
+oracle_view("heard", f"SELECT *, {CLASS} AS kind, {o_affirm('message')} AS stripped FROM voiced")
+oracle_view("heard_roots", "SELECT *, max(CASE WHEN kind <> 'clarification' THEN query_id END) OVER (PARTITION BY session_id ORDER BY query_id) AS root FROM heard")
+oracle_view("told", """SELECT query_id, session_id, query_vec, kind, CASE WHEN kind <> 'clarification' THEN stripped ELSE coalesce((SELECT r.message FROM heard_roots r WHERE r.query_id = h.root), '') || ' ' ||
+    (SELECT string_agg(regexp_replace(p.message, '^\\s+|\\s+$', '', 'g'), ', ' ORDER BY p.query_id) FROM heard_roots p WHERE p.session_id = h.session_id AND p.kind = 'clarification' AND p.query_id <= h.query_id AND p.root IS NOT DISTINCT FROM h.root) END AS message FROM heard_roots h""".replace("\\\\", "\\"))
+oracle_view("refined", o_refine("told", "session_id, query_vec, kind"))
+oracle_view("understood", f"""SELECT *, coalesce(facet, (SELECT arg_max(p.facet, p.query_id) FROM faceted p WHERE p.session_id = f.session_id AND p.query_id < f.query_id AND p.facet IS NOT NULL)) AS wanted,
+    CAST({o_intent_k('base_k')} AS INTEGER) AS top_k, CAST(greatest({o_profile('intent', 'fetch_k')}, greatest({o_intent_k('base_k')}, 20)) AS INTEGER) AS fetch_k FROM faceted f""")
+oracle_view("faceted", f"SELECT query_id, session_id, query_vec, kind, message, {INTENT} AS intent, {o_facet('message')} AS facet, CAST({DYNAMIC} AS INTEGER) AS base_k FROM refined")
+_NEAREST = "round(list_cosine_similarity(list_transform(query_vec, lambda x: x::DOUBLE), list_transform({}.vec, lambda x: x::DOUBLE)), 12)"
+oracle_view("routed", f"""SELECT u.*, l.chunk_id AS learned_id, CASE WHEN l.chunk_id IS NOT NULL THEN 'learned' WHEN intent IN {o_in(routing.SENSITIVE)} AND wanted IS NULL THEN 'which vehicle' ELSE 'search' END AS route FROM understood u LEFT JOIN (
+    SELECT query_id, chunk_id FROM (SELECT query_id, s.chunk_id, {_NEAREST.format('s')} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_NEAREST.format('s')} DESC, s.chunk_id) AS n FROM understood CROSS JOIN stored s) WHERE n = 1 AND round(score, 6) >= {ANSWER_SCORE}) l USING (query_id)""")
+oracle_view("voiced_matches", f"""SELECT n.query_id, n.rank, m.doc_id, round(n.score, 6) AS score, m.section, m.page, m.doc_type, m.vehicle, m.text, m.source, n.message AS question FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, message, fetch_k, c.chunk_id, {_NEAREST.format('c')} AS score FROM routed JOIN chunks c ON (wanted IS NULL OR c.vehicle IS NULL OR c.vehicle = wanted) AND c.chunk_id <> query_id WHERE route = 'search')) n
+    JOIN matches m ON m.doc_id = n.chunk_id WHERE n.rank <= n.fetch_k AND n.score >= 0.05""")
+
+
+def voiced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, base.QUESTIONS)), F.expr(f"cast(query_id div 50 % {len(base.QUESTIONS)} + 1 as int)"))
+    return asked(spark, sf_dir).select(F.expr(f"query_id div 50 div {VOICED}").alias("session_id"), "query_id", "query_vec", said.alias("message"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.routed(chat.understood(voiced(spark, sf_dir)), stored(spark, sf_dir))
+
+
+@query("chat_turns", "SELECT query_id, kind, message AS retrieval, intent, wanted, top_k, fetch_k, learned_id, route FROM routed")
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a turn makes of each question: text to look up, intent, vehicle, sizes, and whether it is answered, asked back or looked up."""
+    return turns(spark, sf_dir).select("query_id", "kind", "retrieval", "intent", "wanted", "top_k", "fetch_k", "learned_id", "route")
+
+
+@query("chat_matches", "SELECT query_id, rank, doc_id, score, question FROM voiced_matches")
+def chat_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked chunks of the questions that are looked up, from their vectors."""
+    return chat.found(turns(spark, sf_dir), chunks(spark, sf_dir), base.matches(spark, sf_dir).drop("query_id", "rank", "score", "question")).select("query_id", "rank", "doc_id", "score", "question")
+
+
+VIEWS["voiced_asked_matches"] = re.sub(r"\bmatches\b", "voiced_matches", VIEWS["asked_matches"])
+_VOICED_CONTEXT = re.sub(r"\basked_matches\b", "voiced_asked_matches", CHAT_CONTEXT)
+
+
+@query("chat_from_vectors", _VOICED_CONTEXT)
+def chat_from_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered contexts of the questions that are looked up: from a turn's question and vector through all steps."""
+    details = base.matches(spark, sf_dir)
+    m = chat.found(turns(spark, sf_dir), chunks(spark, sf_dir), details.drop("query_id", "rank", "score", "question"))
+    return chat.rendered(chat.context(m, details), details)
+
+
 oracle_view("contexts", ORACLES["chat_context"])
 _NORM = "regexp_replace(lower({}), '[\\s.\\-_/]+', '', 'g')"
 
 
-@query("grounding", "WITH bodies AS (SELECT t.doc_id, regexp_replace(t.text, '(?s)\\n\\s*Sources?:.*$', '') AS body, coalesce(c.context, '') AS context FROM texts t LEFT JOIN contexts c ON t.doc_id >= 0 AND c.query_id = t.doc_id // 10), norms AS (SELECT *, " + _NORM.format("context") + " AS held FROM bodies), atoms AS (" + " UNION ALL ".join(f"SELECT doc_id, held, {q(k)} AS kind, unnest(regexp_extract_all(body, {q(p)})) AS value FROM norms" for k, p in ATOMS) + f""")
+#: What answers add to a document's text: a page and a torque of its own, before the sources that do not count.
+_ADDED = "chr(10) || 'See p. ' || CAST(length(t.text) % 97 AS VARCHAR) || ', torque ' || CAST(length(t.text) % 40 AS VARCHAR) || ' Nm.' || chr(10) || 'Sources: p. 9999'"
+
+
+@query("grounding", "WITH answers AS (SELECT t.doc_id, CASE WHEN t.doc_id >= 0 THEN t.text || " + _ADDED + " ELSE t.text END AS text FROM texts t), bodies AS (SELECT t.doc_id, regexp_replace(t.text, '(?s)\\n\\s*Sources?:.*$', '') AS body, coalesce(c.context, '') AS context FROM answers t LEFT JOIN contexts c ON t.doc_id >= 0 AND c.query_id = t.doc_id // 10), norms AS (SELECT *, " + _NORM.format("context") + " AS held FROM bodies), atoms AS (" + " UNION ALL ".join(f"SELECT doc_id, held, {q(k)} AS kind, unnest(regexp_extract_all(body, {q(p)})) AS value FROM norms" for k, p in ATOMS) + f""")
     SELECT doc_id, kind, value, contains(held, {_NORM.format('value')}) OR (kind = 'page_ref' AND contains(held, regexp_extract(value, '[0-9]+'))) AS supported FROM atoms""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atomic facts of answers (before their sources line) and whether their own question's context has them."""
@@ -318,7 +389,10 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.transform(F.regexp_extract_all(body, F.lit(f"{flag}({bare})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     found = F.concat(*[of(k, p) for k, p in ATOMS])
-    atoms = base.texts(spark, sf_dir).select("doc_id", F.explode(found).alias("a")).select("doc_id", F.when(F.col("doc_id") >= 0, F.expr("doc_id div 10")).alias("query_id"), "a.*")
+    size = F.length("text")
+    added = F.concat(F.lit("\nSee p. "), (size % 97).cast("string"), F.lit(", torque "), (size % 40).cast("string"), F.lit(" Nm.\nSources: p. 9999"))
+    answers = base.texts(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") >= 0, F.concat("text", added)).otherwise(F.col("text")).alias("text"))
+    atoms = answers.select("doc_id", F.explode(found).alias("a")).select("doc_id", F.when(F.col("doc_id") >= 0, F.expr("doc_id div 10")).alias("query_id"), "a.*")
     m = base.matches(spark, sf_dir)
     needed = m.join(atoms.select("query_id").distinct(), "query_id", "left_semi")  # a chain works by query: only those with facts
     contexts = chat.rendered(chat.context(needed, m), m).select("query_id", T.ground_norm(F.col("context")).alias("held"))

@@ -31,16 +31,25 @@ T = o_strip(M)
 N = f"len({o_words(T)})"
 CLARIFICATION = f"({T} <> '' AND length({T}) < 50 AND {N} <= 4 AND NOT (regexp_matches({T}, '\\?\\s*$') AND {N} >= 3) AND NOT {o_any(f'lower({T})', R.TECHNICAL)} AND NOT {rx(T, R.QUESTION_WORD)})"
 CLASS = o_case([(rx(M, R.FOLLOWUP), "'followup'"), (CLARIFICATION, "'clarification'")], "'standalone'")
-BY = {p.label: p for p in R.PROFILES}
-INTENT = o_case([(rx(M, BY[x].pattern), q(x)) for x in R.DECIDING], "'general'")
-VEHICLE = o_case([(rx(M, v.pattern), q(v.label)) for v in R.VEHICLES], "'unknown'")
+NAMED = R.facts(R.VEHICLE_FACTS, "pattern")
+FACETS = {label: facet for label, (facet,) in R.facts(R.VEHICLE_FACTS, "facet").items()}
+RECOGNISED = {label: pattern for label, (pattern,) in R.facts(R.INTENT_FACTS, "pattern").items()}
+
+
+def o_facet(text: str) -> str:
+    return o_case([(rx(text, pattern), q(FACETS[label])) for label, (pattern,) in NAMED.items()], "NULL")
+
+
+INTENT = o_case([(rx(M, RECOGNISED[x]), q(x)) for x in R.DECIDING], "'general'")
+VEHICLE = o_case([(rx(M, pattern), q(label)) for label, (pattern,) in NAMED.items()], "'unknown'")
 VARIANT = o_case([(rx(M, p), q(x)) for x, p in R.VARIANTS], "'any'")
 DYNAMIC = o_case([(f"{T} = ''", "6"), (rx(T, R.COMPARATIVE), "10"), (f"{N} <= 6", "4"), (f"{N} >= 15", "10")], "6")
 
 
 def o_profile(label: str, field: str) -> str:
     show = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
-    return o_case([(f"{label} = {q(p.label)}", show(getattr(p, field))) for p in R.PROFILES], show(getattr(R.PROFILES[-1], field)))
+    known = R.facts(R.INTENT_FACTS, field)
+    return o_case([(f"{label} = {q(name)}", show(value)) for name, (value,) in known.items()], show(known["general"][0]))
 
 
 oracle_view("classified", f"SELECT query_id, message, {CLASS} AS kind, {INTENT} AS intent, {VEHICLE} AS vehicle, {VARIANT} AS variant, CAST({DYNAMIC} AS INTEGER) AS base_k FROM questions")
@@ -62,9 +71,14 @@ on_questions("followup", R.is_followup, rx(M, R.FOLLOWUP))
 on_questions("clarification_reply", R.is_clarification, CLARIFICATION)
 on_questions("full_detail", lambda m: R.has(m, R.FULL_DETAIL), rx(M, R.FULL_DETAIL))
 on_questions("greeting", lambda m: R.has(m, R.GREETING) & (F.size(R.words(m)) <= 8), f"({rx(M, R.GREETING)} AND len({o_words(M)}) <= 8)")
-on_questions("vehicle_detect", R.vehicle_facet, o_case([(rx(M, v.pattern), q(v.facet)) for v in R.VEHICLES], "NULL"))
+on_questions("vehicle_detect", R.vehicle_facet, o_facet(M))
 on_questions("dynamic_k", R.dynamic_k, f"CAST({DYNAMIC} AS INTEGER)")
-on_questions("affirm_strip", R.affirm_strip, f"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(message, {q('(?i)' + R.AFFIRMATIVE)}, ' ', 'g'), '\\s+', ' ', 'g'), '^[ ,.!?]+|[ ,.!?]+$', '', 'g'), ''), message)")
+def o_affirm(text: str) -> str:
+    bare = f"regexp_replace(regexp_replace(regexp_replace({text}, {q('(?i)' + R.AFFIRMATIVE)}, ' ', 'g'), '\\s+', ' ', 'g'), '^[ ,.!?]+|[ ,.!?]+$', '', 'g')"
+    return f"coalesce(nullif({bare}, ''), {text})"
+
+
+on_questions("affirm_strip", R.affirm_strip, o_affirm("message"))
 _TERMS = f"list_sort(list_filter(list_distinct(regexp_extract_all(lower(message), '[a-z0-9]{{3,}}')), lambda w: w NOT IN {o_in(R.STOPWORDS)}))"
 on_questions("key_terms", lambda m: F.array_join(R.key_terms(m), ","), f"array_to_string({_TERMS}, ',')")
 on_questions("focus_terms", lambda m: F.array_join(F.slice(R.key_terms(m), 1, 10), ","), f"array_to_string({_TERMS}[1:10], ',')")
@@ -76,14 +90,20 @@ _CLEAN = o_strip(f"regexp_replace(regexp_replace({T}, '[^A-Za-z0-9_\\x{{80}}-\\x
 on_questions("model_match", R.model_match, o_case([("contains(lower(message), 'bantam')", "'BSA Bantam'"), ("contains(lower(message), 'scrambler')", "'BSA Scrambler'"), (o_any("lower(message)", ("goldstar", "gold star", "gold-star")), "'BSA Gold Star'")], "NULL"))
 
 
-@query("refine_query", f"""
-    WITH cleaned AS (SELECT query_id, message, {T} AS raw, {_CLEAN} AS clean, lower({_CLEAN}) AS low FROM questions),
+def o_refine(source: str, columns: str = "") -> str:
+    """Refined messages of a source, with some of its columns."""
+    more = f", {columns}" if columns else ""
+    return f"""
+    WITH cleaned AS (SELECT query_id{more}, message, {T} AS raw, {_CLEAN} AS clean, lower({_CLEAN}) AS low FROM {source}),
     grouped AS (SELECT *, concat_ws(' ', CASE WHEN {o_any('low', ('how much', 'quantity', 'amount', 'capacity', 'volume'))} THEN 'how much quantity amount capacity volume' END,
         CASE WHEN {o_any('low', ('fill', 'refill', 'top up', 'add', 'pour'))} THEN 'fill refill top up add pour' END, CASE WHEN {o_any('low', ('after', 'post'))} THEN 'after' END,
         CASE WHEN (contains(low, 'oil') AND {o_any('low', ('change', 'replace'))}) OR {o_any('low', ('engine oil', 'oil capacity', 'oil quantity'))} THEN 'engine oil capacity refill quantity specification' END) AS g FROM cleaned),
     extended AS (SELECT *, clean || ' (' || array_to_string(list_transform(list_filter(list_zip(string_split(g, ' '), range(1, len(string_split(g, ' ')) + 1)), lambda p: list_position(string_split(g, ' '), p[1]) = p[2]), lambda p: p[1]), ' ') || ')' AS full_text FROM grouped)
-    SELECT query_id, CASE WHEN g = '' THEN CASE WHEN raw = '' THEN message ELSE clean END
-        WHEN length(full_text) > 320 THEN regexp_replace(regexp_replace(left(full_text, 320), ' [^ ]*$', ''), '[ ,.;:\\-]+$', '') || ')' ELSE full_text END AS value FROM extended""")
+    SELECT query_id{more}, CASE WHEN g = '' THEN CASE WHEN raw = '' THEN message ELSE clean END
+        WHEN length(full_text) > 320 THEN regexp_replace(regexp_replace(left(full_text, 320), ' [^ ]*$', ''), '[ ,.;:\\-]+$', '') || ')' ELSE full_text END AS message FROM extended"""
+
+
+@query("refine_query", f"SELECT query_id, message AS value FROM ({o_refine('questions')})")
 def refine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.questions(spark, sf_dir).select("query_id", R.refine(F.col(M)).alias("value"))
 
@@ -106,7 +126,7 @@ def classify_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALIASES = {a: v.label for v in R.VEHICLES for a in v.aliases}
+_ALIASES = {a: label for label, names in R.facts(R.VEHICLE_FACTS, "alias").items() for a in names}
 
 
 @query("label_norm", "SELECT query_id, coalesce(CASE replace(replace(replace(lower(regexp_replace(message, '^\\s+|\\s+$', '', 'g')), '_', ''), '-', ''), ' ', '') " + " ".join(f"WHEN {q(a)} THEN {q(l)}" for a, l in _ALIASES.items()) + " END, 'unknown') AS value FROM questions")
@@ -125,7 +145,11 @@ def intent_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("query_id", "intent", *[R.profile_value(F.col("intent"), f).alias(f) for f in fields])
 
 
-_INTENT_K = f"CASE WHEN base_k >= 10 THEN greatest({o_profile('intent', 'top_k')}, base_k) ELSE {o_profile('intent', 'top_k')} END"
+def o_intent_k(base_k: str) -> str:
+    return f"CASE WHEN {base_k} >= 10 THEN greatest({o_profile('intent', 'top_k')}, {base_k}) ELSE {o_profile('intent', 'top_k')} END"
+
+
+_INTENT_K = o_intent_k("base_k")
 
 
 @query("intent_k", f"SELECT query_id, CAST({_INTENT_K} AS INTEGER) AS value FROM classified")
@@ -151,7 +175,7 @@ def history_used(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("filter_promote", "SELECT query_id, CASE WHEN explicit IS NOT NULL THEN explicit WHEN intent <> 'general' AND vehicle <> 'unknown' THEN CASE vehicle WHEN 'Bantam' THEN 'BSA Bantam' WHEN 'Goldstar' THEN 'BSA Gold Star' ELSE 'BSA Scrambler' END END AS value FROM (SELECT *, CASE WHEN query_id % 7 = 0 THEN 'BSA Bantam' END AS explicit FROM classified)")
 def filter_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classifier's vehicle becomes the filter when it is confident and none was given."""
-    facet = R.first_case([(F.col("vehicle") == v.label, F.lit(v.facet)) for v in R.VEHICLES], F.lit(None).cast("string"))
+    facet = R.first_case([(F.col("vehicle") == label, F.lit(facet)) for label, facet in FACETS.items()], F.lit(None).cast("string"))
     return classified(spark, sf_dir).select("query_id", F.coalesce(F.expr("case when query_id % 7 = 0 then 'BSA Bantam' end"), F.when(F.col("intent") != "general", facet)).alias("value"))
 
 
@@ -161,7 +185,7 @@ def model_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("resolve_filter", f"""
-    WITH named AS (SELECT query_id, CAST(floor(query_id / 1000.0) AS BIGINT) AS session_id, {o_case([(rx(M, v.pattern), q(v.facet)) for v in R.VEHICLES], 'NULL')} AS facet FROM questions)
+    WITH named AS (SELECT query_id, CAST(floor(query_id / 1000.0) AS BIGINT) AS session_id, {o_facet(M)} AS facet FROM questions)
     SELECT query_id, coalesce(facet, (SELECT arg_max(p.facet, p.query_id) FROM named p WHERE p.session_id = n.session_id AND p.query_id < n.query_id AND p.facet IS NOT NULL)) AS value FROM named n""")
 def resolve_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vehicle of the text, else of the newest earlier question of the session that names one."""

@@ -93,12 +93,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked matches: ten documents for each query, with section, page and facets from their columns."""
+    """Ranked matches: ten documents for each query, with score, section, page and type by their texts' lengths and facets from their columns."""
     topics = F.array(*[F.lit(x) for x in SECTIONS])
     docs = table(spark, sf_dir, "documents").select(
-        F.expr("doc_id div 10").alias("query_id"), "doc_id", F.expr("(doc_id * 7919 % 1000) / 1000D").alias("score"),
-        F.element_at(topics, F.expr(f"cast(doc_id * 31 % {len(SECTIONS)} + 1 as int)")).alias("section"),
-        F.expr("doc_id * 17 % 60").alias("page"), F.expr(f"element_at(array({', '.join(repr(x) for x in DOC_TYPES)}), cast(doc_id * 13 % {len(DOC_TYPES)} + 1 as int))").alias("doc_type"),
+        F.expr("doc_id div 10").alias("query_id"), "doc_id", F.expr(f"({SIZE} * 7919 % 1000) / 1000D").alias("score"),
+        F.element_at(topics, F.expr(f"cast({SIZE} * 31 % {len(SECTIONS)} + 1 as int)")).alias("section"),
+        F.expr(f"{SIZE} * 17 % 60").alias("page"), F.expr(f"element_at(array({', '.join(repr(x) for x in DOC_TYPES)}), cast({SIZE} div 10 % {len(DOC_TYPES)} + 1 as int))").alias("doc_type"),
         F.expr("case lang when 'en' then null when 'fr' then 'BSA Bantam' when 'de' then 'BSA Gold Star' else 'BSA Scrambler' end").alias("vehicle"),
         F.coalesce("text", F.lit("")).alias("text"), "source",
         F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), F.expr(f"cast(doc_id div 10 % {len(QUESTIONS)} + 1 as int)")).alias("question"),
@@ -106,6 +106,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, doc_id) as bigint) as rank", "doc_id", "score", "section", "page", "doc_type", "vehicle", "text", "source", "question")
 
 
+SIZE = "cast(length(coalesce(text, '')) as bigint)"
 SECTIONS = ("Oil change", "Valve clearance", "Battery and charging", "Brake caliper", "Warranty claim", "Clutch cable", "General", "Wheel and tyre", "Spark plug", "Fuel tank")
 DOC_TYPES = ("workshop_manual", "owners_manual", "parts_catalogue", "sop", "spec_sheet")
 
@@ -138,7 +139,7 @@ oracle_view(
 oracle_view(
     "matches",
     f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank, doc_id, score, section, page, doc_type, vehicle, text, source, question FROM (
-        SELECT doc_id // 10 AS query_id, doc_id, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS score, ({_list(SECTIONS)})[doc_id * 31 % {len(SECTIONS)} + 1] AS section,
-        doc_id * 17 % 60 AS page, ({_list(DOC_TYPES)})[doc_id * 13 % {len(DOC_TYPES)} + 1] AS doc_type,
+        SELECT doc_id // 10 AS query_id, doc_id, ({SIZE} * 7919 % 1000) / 1000.0::DOUBLE AS score, ({_list(SECTIONS)})[{SIZE} * 31 % {len(SECTIONS)} + 1] AS section,
+        {SIZE} * 17 % 60 AS page, ({_list(DOC_TYPES)})[{SIZE} // 10 % {len(DOC_TYPES)} + 1] AS doc_type,
         CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN 'BSA Bantam' WHEN 'de' THEN 'BSA Gold Star' ELSE 'BSA Scrambler' END AS vehicle, coalesce(text, '') AS text, source, ({_list(QUESTIONS)})[doc_id // 10 % {len(QUESTIONS)} + 1] AS question FROM documents)""",
 )
