@@ -94,7 +94,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _SLOTS = sharding.lookup_table(SHARD_NAMES)
 
+#: CRC-32 of a list of bytes in SQL, by the table of its rule.
+_CRC = "(xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda c, b: xor(c >> 8, (" + str(spelling.CRC.tolist()) + "::BIGINT[])[xor(c, b) % 256 + 1])), 4294967295::BIGINT))"
+_BYTES = "flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END))"
+
 ORACLES: dict[str, str] = {
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+        ), said AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+        ), marked AS (SELECT run, n, {_CRC.format(bytes=_BYTES)} AS h FROM said
+        ), spoiled AS (SELECT CASE WHEN h % {spelling.SPOILED} = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM marked
+        ), words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoiled WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}
+        ), cuts AS MATERIALIZED (SELECT word, i, left(word, CAST(i AS INTEGER)) || substring(word, CAST(i AS INTEGER) + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+        ), pairs AS MATERIALIZED (
+            SELECT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, w.word FROM cuts c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word FROM cuts c JOIN words w ON c.rest = w.word
+        ), ranked AS (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM pairs JOIN words ON word = b
+        ), formed AS MATERIALIZED (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= {spelling.RATIO} * w.n THEN b END AS form, CASE WHEN r.n >= {spelling.RATIO} * w.n THEN r.n END AS form_n FROM words w LEFT JOIN ranked r ON a = word AND place = 1
+        ), followed AS (SELECT word, word AS at, form AS onward FROM formed UNION ALL SELECT f.word, n.word, n.form FROM followed f JOIN formed n ON n.word = f.onward)
+        SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN followed l ON l.word = f.word AND l.onward IS NULL
+    """,
     "op5_sharding": f"""
         WITH placed AS (
             SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::UBIGINT % {sharding.TABLE_SIZE} AS BIGINT) AS slot
