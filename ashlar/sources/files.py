@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -95,8 +97,14 @@ class PageSource(DataSource):
         return PageReader(self.options)
 
 
+@lru_cache(maxsize=1)
+def _text_pages(path: str) -> list[str]:
+    """The pages of the file that a task reads, read once for all its pages."""
+    with open(path, encoding="utf-8") as file:
+        return file.read().split("\f")
+
+
 def text_page(path: str, page: int) -> tuple[str, str]:
     """The stand-in loader: pages of a text file are divided by form feeds."""
-    with open(path, encoding="utf-8") as file:
-        text = file.read().split("\f")[page]
+    text = _text_pages(path)[page]
     return ("text" if text.strip() else "blank"), text

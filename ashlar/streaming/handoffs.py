@@ -51,22 +51,6 @@ def session_changes(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.count("*").alias("messages"))
 
 
-def upsert_into(path: str, key: str, order: str):
-    """A ``foreachBatch`` sink that keeps the newest row of every key in a Parquet table, one folder a batch version."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        from pyspark.sql import functions as F
-
-        rows = batch
-        if batch_id:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}").unionByName(batch)
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-
-    return write
-
-
 TERMINAL = ("done", "error", "cancelled")
 
 

@@ -9,7 +9,7 @@ from ashlar.functions import frames, routing, scorers
 from ashlar.functions import text as T
 from ashlar.operators import conversation, ingest, layout, raster, retrieval, structure
 from ashlar.sources import files
-from ashlar.streaming import events, handoffs
+from ashlar.streaming import events, handoffs, upserts
 
 
 def one(spark, value, f):
@@ -286,10 +286,10 @@ def test_session_and_job_streams(spark, tmp_path):
     m = spark.createDataFrame([(1, 10), (1, 30), (2, 20)], "session_id long, created_at long")
     m.coalesce(1).write.parquet(str(tmp_path / "in"))
     changes = handoffs.session_changes(spark.readStream.schema(m.schema).parquet(str(tmp_path / "in")))
-    sink = handoffs.upsert_into(str(tmp_path / "table"), "session_id", "updated_at")
-    run = changes.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    table = upserts.Upserts(str(tmp_path / "table"), "session_id", "updated_at")
+    run = changes.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     run.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "table" / "v0")).collect())
+    got = sorted(tuple(r) for r in table.read(spark, changes.schema).collect())
     assert got == [(1, 10, 30, 2), (2, 20, 20, 1)]
     e = spark.createDataFrame([(1, 0, "queued"), (1, 1, "running"), (1, 2, "done"), (1, 3, "late"), (2, 0, "queued")], "job_id long, seq long, status string")
     assert sorted((r.job_id, r.seq) for r in handoffs.job_stream(e, 0).collect()) == [(1, 1), (1, 2)]
