@@ -8,6 +8,7 @@ seven letters has its last two cells merged), else it stands in white space alon
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import layout
@@ -25,9 +26,11 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, k (word number), n (words of the page), pitch of its columns, box and text of every word."""
     docs = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("w"))
     long = F.array_max(F.transform("w", F.length))
-    words = docs.select("page", F.size("w").alias("n"), (CELL * LETTER * long + LETTER + FREE).alias("pitch"), "w", F.posexplode("w").alias("k", "text"))
-    cell, place = F.floor(F.col("k") / CELL), F.col("k") % CELL
-    before = F.when(place == 1, LETTER * (F.length(F.get("w", F.col("k") - 1)) + 1)).otherwise(0)
+    # a page's own figures are made once, in a row of their own, and go into its words: no word carries the list of all
+    whole = docs.select("page", F.explode(F.array(F.struct("w", F.size("w").alias("n"), (CELL * LETTER * long + LETTER + FREE).alias("pitch")))).alias("s"))
+    placed = F.transform("s.w", lambda x, i: F.struct(F.col("s.n"), F.col("s.pitch"), x.alias("text"), F.when(i % CELL == 1, LETTER * (F.length(F.get("s.w", i - 1)) + 1)).otherwise(0).alias("before")))
+    words = whole.select("page", F.posexplode(placed).alias("k", "word")).select("page", "k", "word.*")
+    cell, before = F.floor(F.col("k") / CELL), F.col("before")
     x0 = MARGIN + (cell % COLUMNS) * F.col("pitch") + before
     y0 = MARGIN + F.floor(cell / COLUMNS) * LINE
     return words.select("page", "k", "n", "pitch", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), (x0 + LETTER * F.length("text")).cast("double").alias("x1"), (y0 + HEIGHT).cast("double").alias("y1"), "text")
@@ -56,8 +59,8 @@ oracle_view("cell_rows", f"""SELECT page, n, k // {COLUMNS * CELL} AS r, bool_or
 def page_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grids found on all pages: of lines where there are any, else of white space."""
     found = P.grids(page_words(spark, sf_dir), page_rules(spark, sf_dir))
-    ruled = found.where("flavor = 'lattice'").select("page")
-    kept = found.where("flavor = 'lattice'").unionByName(found.where("flavor = 'stream'").join(ruled, "page", "left_anti"))
+    ruled = F.bool_or(F.col("flavor") == "lattice").over(W.partitionBy("page"))
+    kept = found.withColumn("_ruled", ruled).where("not _ruled or flavor = 'lattice'")
     value = F.array_join(F.transform("cells", lambda r: F.array_join(r, "|")), "\n")
     return kept.select("page", "flavor", F.size("cells").cast("long").alias("lines"), value.alias("value"))
 
