@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# Pages of a running header, and pages for which a heading stays fresh.
 MIN_RUN = 3
 FRESH_PAGES = 30
 
@@ -52,6 +53,7 @@ def capital_heading(line: Column) -> Column:
     digits = F.length(F.regexp_replace(body, "[^0-9]", ""))
     callout = F.lower(body).isin(*"note notes caution warning warnings important tip tips danger attention remarks remark hint".split())
     good = (
+        # fixed values: patterns of headings, and of what looks like one
         s.rlike(r"^[A-Z][A-Z0-9 &/\-+()',]{3,80}\s*[:\-]?\s*$") & ~s.rlike("[.;,]$") & (letters >= 6) & (digits * 5 <= F.length(body)) & ~callout
         & ~body.rlike(r"\(.*\)$") & ~body.rlike(r"(?i)[0-9].*[x×*].*[0-9]|[0-9]\s*(?:mm|cm|kg|nm|rpm|hp|kw|ah|v|w|l|ml)\b") & ~T.is_body_sentence(body)
     )
