@@ -34,8 +34,10 @@ MASK = (1 << 60) - 1
 STEP = 0x9E3779B97F4A7C15
 NONE = np.uint64(2**64 - 1)
 WHOLE, HEAD, OPEN = 0, 1, 2
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Results as tasks make them: digests are bytes, and become digits at the end.
+RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
+DIGESTS = NAMES[1:4]
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +110,7 @@ def compared(texts: list[str]) -> list[pa.Array]:
         begin = int(stop[first[i] + same - 1] - offsets[i]) if same else 0
         tails.append(kept[begin:] + lent)
         shared.append(same)
-        digest.append(hashlib.sha256(kept + lent).hexdigest())
+        digest.append(hashlib.sha256(kept + lent).digest())
     tail, _, tail_first = symbols(*_joined(tails))
     number, tail = number.tolist(), tail.tolist()
     sets: list[np.ndarray] = []
@@ -135,9 +137,9 @@ def compared(texts: list[str]) -> list[pa.Array]:
     a, some = made[: n + 1], size > 0
     near_edited = likeness(a[:-1], made[n + 1 :], some[:n], some[n + 1 :])
     near_next = likeness(a[:-1], a[1:], some[:n], some[1 : n + 1])
-    text = [row.tobytes().hex() if any_ else "" for row, any_ in zip(made, some)]
+    text = [row.tobytes() if any_ else b"" for row, any_ in zip(made, some)]
     columns = [[len(t) for t in texts[:-1]], digest, text[:n], text[n + 1 :]]
-    return [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string()))] + [pa.array(near_edited), pa.array(near_next)]
+    return [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))] + [pa.array(near_edited), pa.array(near_next)]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -205,14 +207,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     keys = ("doc_id", "hash", "row")
     ordered = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     schema = f"doc_id {kind}, kind int, part int, text string, {RESULT}"
-    shape = pa.schema([("doc_id", _arrow_type(docs, key)), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string()), ("n_chars", pa.int64()), *((c, pa.string()) for c in NAMES[1:4]), *((c, pa.float64()) for c in NAMES[4:])])
+    shape = pa.schema([("doc_id", _arrow_type(docs, key)), ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string()), ("n_chars", pa.int64()), *((c, pa.binary()) for c in DIGESTS), *((c, pa.float64()) for c in NAMES[4:])])
     made = keep(ordered.select("doc_id", "text").mapInArrow(_ordered_batches(shape), schema))
     parts = sorted(r["part"] for r in made.where(F.col("kind") == HEAD).select("part").collect())  # one number a range
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next int")
     heads = made.where(F.col("kind") == HEAD).select(F.col("part").alias("next"), F.col("text").alias("next_text"))
     pairs = made.where(F.col("kind") == OPEN).select("doc_id", "text", "part").join(F.broadcast(follows), "part").join(heads, "next")
     edges = pairs.select("doc_id", "text", "next_text").mapInArrow(_pair_batches, f"doc_id {kind}, {RESULT}")
-    return made.where(F.col("kind") == WHOLE).select("doc_id", *NAMES).unionByName(edges).withColumnRenamed("doc_id", key)
+    every = made.where(F.col("kind") == WHOLE).select("doc_id", *NAMES).unionByName(edges)
+    return every.select(F.col("doc_id").alias(key), *(F.lower(F.hex(c)).alias(c) if c in DIGESTS else F.col(c) for c in NAMES))
 
 
 def _arrow_type(docs: DataFrame, key: str) -> pa.DataType:
