@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "routing", "conversation", "retrieval", "structure", "tables", "ingest", "assembly", "pages")
+MODULES = ("text", "routing", "conversation", "retrieval", "structure", "tables", "ingest", "assembly", "pages", "runs")
 
 
 def load() -> None:
