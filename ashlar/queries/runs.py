@@ -56,3 +56,54 @@ def upload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = upload_rows(spark, sf_dir)
     there = rows.where("name like 'es/%'").select(F.substring_index("name", "/", -1).alias("name"))
     return uploads.admitted(rows, there)
+
+
+# pictures: each document is a page of its source, each of its lines a caption with a raster below it, and in part a drawn figure
+SPOT = "CAST(40 + n % 7 * 20 AS DOUBLE)"
+oracle_view("picture_lines", "SELECT d.source, l.doc_id AS page, l.pos, l.line, length(l.line) AS n, length(regexp_extract(l.line, '[A-Za-z]+')) AS w, md5(regexp_extract(l.line, '[A-Za-z]+')) AS hash FROM split_lines l JOIN documents d USING (doc_id)")
+oracle_view("page_rasters", """SELECT source, page, w AS xref, pos, 10 + 4 * w AS width, 12 + n AS height, 'png' AS ext, hash, CASE WHEN n % 11 <> 0 THEN 40.0::DOUBLE END AS x0, CASE WHEN n % 11 <> 0 THEN 100.0::DOUBLE * pos + 30 END AS y0, CASE WHEN n % 11 <> 0 THEN CAST(40 + 4 * w + n % 31 AS DOUBLE) END AS x1, CASE WHEN n % 11 <> 0 THEN CAST(100 * pos + 36 + 5 * w AS DOUBLE) END AS y1 FROM picture_lines""")
+oracle_view("page_regions", f"SELECT source, page, {SPOT} AS x0, 100.0::DOUBLE * pos + 40 AS y0, {SPOT} + 30 AS x1, 100.0::DOUBLE * pos + 60 AS y1, md5('drawn' || n) AS hash FROM picture_lines WHERE n % 3 = 0")
+oracle_view("pictures", """WITH best AS (SELECT *, min(pos) OVER (PARTITION BY page, xref) AS first, row_number() OVER (PARTITION BY page, xref ORDER BY (x1 - x0) * (y1 - y0) DESC NULLS LAST, pos) AS k FROM page_rasters WHERE width >= 24 AND height >= 24),
+    e AS (SELECT source, page, 'embedded' AS kind, first AS pos, width, height, hash, x0, y0, x1, y1 FROM best WHERE k = 1 AND coalesce(x1 - x0 >= 24 AND y1 - y0 >= 24, true)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, y1, x1, hash) AS pos FROM page_regions g WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.page = g.page AND e.x0 IS NOT NULL AND greatest(least(e.x1, g.x1) - greatest(e.x0, g.x0), 0) * greatest(least(e.y1, g.y1) - greatest(e.y0, g.y0), 0) / ((g.x1 - g.x0) * (g.y1 - g.y0)) > 0.7::DOUBLE)),
+    a AS (SELECT * FROM e UNION ALL SELECT source, page, 'rendered', pos, CAST(round(2 * (x1 - x0)) AS BIGINT), CAST(round(2 * (y1 - y0)) AS BIGINT), hash, x0, y0, x1, y1 FROM r),
+    m AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY kind, pos, hash) AS number FROM a),
+    k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM (SELECT source, hash FROM m GROUP BY source, hash HAVING count(DISTINCT page) > 3 AND max(coalesce(greatest(x1 - x0, y1 - y0), greatest(width, height) / 1.33)) < 80) d WHERE d.source = m.source AND d.hash = m.hash)),
+    c AS (SELECT k.page, k.number, arg_min(l.line, (side, gap, l.pos)) AS line FROM k JOIN (SELECT page, pos, line, 100.0 * pos AS t0, 100.0 * pos + 12 AS t1, 40.0 + 2 * n AS x FROM picture_lines) l ON l.page = k.page,
+        LATERAL (SELECT CASE WHEN k.y0 - t1 BETWEEN 0 AND 60 THEN 0 WHEN t0 - k.y1 BETWEEN 0 AND 60 THEN 1 END AS side, CASE WHEN k.y0 - t1 BETWEEN 0 AND 60 THEN k.y0 - t1 ELSE t0 - k.y1 END AS gap) WHERE side IS NOT NULL AND k.x0 IS NOT NULL AND least(k.x1, l.x) - greatest(k.x0, 40) >= 0.2 * least(k.x1 - k.x0, l.x - 40) GROUP BY ALL)
+    SELECT source, page, number, 'page_' || page || '_img_' || number || '.png' AS file, coalesce(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^[ .:;,\\-_|]+|[ .:;,\\-_|]+$', '', 'g'), '') AS title, kind, width, height, hash, x0, y0, x1, y1 FROM k LEFT JOIN c USING (page, number)""")
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.manifest import manifest
+
+    docs = base.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    word = F.regexp_extract("line", "[A-Za-z]+", 0)
+    lines = docs.select("source", "page", F.col("pos").cast("long").alias("pos"), "line", F.length("line").cast("long").alias("n"), F.length(word).cast("long").alias("w"), F.md5(word.cast("binary")).alias("hash"))
+    spot = SPOT.replace("CAST", "cast")
+    rasters = lines.selectExpr("source", "page", "w as xref", "pos", "10 + 4 * w as width", "12 + n as height", "'png' as ext", "hash", "if(n % 11 <> 0, 40D, null) as x0", "100D * pos + 30 as y0", "double(40 + 4 * w + n % 31) as x1", "double(100 * pos + 36 + 5 * w) as y1")
+    regions = lines.where("n % 3 = 0").selectExpr("source", "page", f"{spot} as x0", "100D * pos + 40 as y0", f"{spot} + 30 as x1", "100D * pos + 60 as y1", "md5(cast('drawn' || n as binary)) as hash")
+    texts = lines.selectExpr("source", "page", "pos as id", "40D as x0", "100D * pos as y0", "40D + 2 * n as x1", "100D * pos + 12 as y1", "line as text")
+    return manifest(rasters, regions, texts)
+
+
+@query("image_manifest", "SELECT * FROM pictures")
+def image_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters at their largest placements and figures that none covers, numbered, titled by captions, without recurring decorations."""
+    return pictures(spark, sf_dir)
+
+
+@query("manifest_pages", "SELECT source, page, count(*) AS n, string_agg(number || ':' || title, '|' ORDER BY number) AS listed FROM pictures GROUP BY source, page")
+def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' envelopes, as lists of numbers and titles."""
+    from ..operators.manifest import envelopes
+
+    pages = envelopes(pictures(spark, sf_dir))
+    return pages.select("source", "page", F.size("images").cast("long").alias("n"), F.array_join(F.transform("images", lambda x: F.concat(x.number.cast("string"), F.lit(":"), x.title)), "|").alias("listed"))
+
+
+@query("manifest_summary", "SELECT source, count(*) AS total, count(DISTINCT page) AS pages, count(*) FILTER (title <> '') AS titled, round_even(count(*) / CAST(count(DISTINCT page) AS DOUBLE), 2) AS per_page, count(*) FILTER (kind = 'embedded') AS embedded, count(*) FILTER (kind = 'rendered') AS rendered FROM pictures GROUP BY source")
+def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.manifest import summary
+
+    return summary(pictures(spark, sf_dir))

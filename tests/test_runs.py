@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 
 import pytest
 
-from ashlar.operators import attempts, uploads
+from ashlar.operators import attempts, manifest, uploads
 
 TRIED = "call_id string, attempt int, took_ms long, error string"
 
@@ -95,3 +95,52 @@ def test_admission_equals_the_plain_form(spark):
     assert len(set(got.values())) == len(got) and not set(got.values()) & set(listing)  # nothing is written over
     assert {r.verdict for r in found} == {"accepted", "empty", "too large", "not a pdf"} and all(r.file is None for r in found if r.verdict != "accepted")
     assert uploads.admitted(spark.createDataFrame([], FILES), spark.createDataFrame([], "name string")).count() == 0
+
+
+RASTERS = "source string, page long, xref long, pos long, width long, height long, ext string, hash string, x0 double, y0 double, x1 double, y1 double"
+REGIONS = "source string, page long, x0 double, y0 double, x1 double, y1 double, hash string"
+LINES = "source string, page long, id long, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def at(x, y, wide, high):
+    return float(x), float(y), float(x + wide), float(y + high)
+
+
+def test_the_manifest_of_planted_pages(spark):
+    rasters = [
+        ("d", 1, 7, 0, 300, 200, "jpeg", "logo", *at(10, 10, 40, 30)),  # recurs small on four pages
+        ("d", 1, 8, 1, 300, 200, "jpeg", "photo", *at(50, 200, 100, 80)),
+        ("d", 1, 8, 2, 300, 200, "jpeg", "photo", *at(50, 400, 200, 160)),  # the larger placement
+        ("d", 1, 9, 3, 300, 200, "png", "icon", *at(5, 5, 12, 9)),  # too small on the page
+        ("d", 1, 10, 4, 23, 200, "png", "rule", *at(0, 0, 300, 300)),  # too few pixels
+        ("d", 1, 11, 5, 90, 90, "png", "loose", None, 1.0, 2.0, 3.0),  # no place
+        ("d", None, 1, 0, 90, 90, "png", "x", *at(0, 0, 50, 50)),
+        *[("d", p, 7, 0, 300, 200, "jpeg", "logo", *at(10, 10, 40, 30)) for p in (2, 3, 4)],
+        *[("d", p, 8, 1, 300, 200, "png", "large", *at(10, 10, 40, 80 if p == 3 else 30)) for p in (2, 3, 4, 5)],  # large once
+        *[("e", p, 1, 0, 300, 200, "jpeg", "logo", *at(10, 10, 40, 30)) for p in (1, 2, 3)],  # on three pages of its document
+        *[("f", p, 1, 0, 104, 100, "png", "unplaced", None, None, None, None) for p in (1, 2, 3, 4)],  # 78 points by its pixels
+        *[("g", p, 1, 0, 300, 200, "png", None, *at(10, 10, 40, 30)) for p in (1, 2, 3, 4)],
+    ]
+    regions = [("d", 1, *at(60, 410, 100, 100), "inside"), ("d", 1, *at(150, 480, 200, 160), "beside"), ("d", 1, *at(300, 20, 100, 100), "drawn"), ("d", 1, *at(300, 20, 11, 100), "thin"), ("d", 6, *at(0, 0, 60, 60), "alone"), ("d", 6, *at(0, 0, 60, 60), "alone"), ("d", 6, None, 0.0, 1.0, 1.0, "open")]
+    lines = [("d", 1, 1, *at(50, 380, 150, 12), " Fig. 1:  The  pump - "), ("d", 1, 2, *at(50, 570, 150, 12), "below"), ("d", 1, 3, *at(310, 125, 80, 12), "drawn below"), ("e", 1, 1, *at(10, 0, 40, 8), None), ("d", 1, 9, None, 0.0, 1.0, 1.0, "open")]
+    read = spark.createDataFrame([("loose", "Read : "), ("loose", "Zz"), ("photo", "not asked"), (None, "no")], "hash string, title string")
+    build = lambda *r: manifest.manifest(*(spark.createDataFrame(x, s) for x, s in zip(r, (RASTERS, REGIONS, LINES))), read=read)
+    kept = build(rasters, regions, lines)
+    rows = kept.collect()
+    got = {(r.source, r.page, r.number): (r.file, r.hash, r.title, r.kind) for r in rows}
+    assert len(got) == len(rows)
+    assert {k: v for k, v in got.items() if k[:2] == ("d", 1)} == {
+        ("d", 1, 2): ("page_1_img_2.jpeg", "photo", "Fig. 1: The pump", "embedded"),
+        ("d", 1, 3): ("page_1_img_3.png", "loose", "Read", "embedded"),
+        ("d", 1, 4): ("page_1_img_4.png", "drawn", "drawn below", "rendered"),
+        ("d", 1, 5): ("page_1_img_5.png", "beside", got["d", 1, 5][2], "rendered"),
+    }
+    assert [r.x1 - r.x0 for r in rows if r.hash == "photo"] == [200.0]
+    assert {k for k, v in got.items() if v[1] == "large"} == {("d", 2, 2), ("d", 3, 2), ("d", 4, 2), ("d", 5, 1)}
+    assert sum(v[1] == "logo" for v in got.values()) == 3 and not any(v[1] == "unplaced" for v in got.values()) and sum(k[0] == "g" for k in got) == 4
+    assert [(v[0], v[1]) for k, v in got.items() if k[:2] == ("d", 6)] == [("page_6_img_1.png", "alone")]
+    page = manifest.envelopes(kept).where("source = 'd' and page = 1").first()
+    assert [x.path for x in page.images] == [f"images/{got['d', 1, n][0]}" for n in (2, 3, 4, 5)]
+    whole = {r.source: r for r in manifest.summary(kept).collect()}
+    assert (whole["d"].total, whole["d"].pages, whole["d"].embedded, whole["d"].rendered, whole["d"].per_page) == (9, 6, 6, 3, 1.5) and set(whole) == {"d", "e", "g"}
+    assert build([], [], []).count() == 0 and manifest.summary(build([], [], [])).count() == 0
