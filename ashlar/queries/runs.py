@@ -107,3 +107,44 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.manifest import summary
 
     return summary(pictures(spark, sf_dir))
+
+
+# traces: a request for each question of ranked matches, answered by its best one; stages as events a second apart
+oracle_view("trace_rows", r"""SELECT query_id, arg_min(question, rank) AS question, arg_min(text, rank) AS answer, arg_min(source, rank) AS user, arg_min(page, rank) AS page, max(vehicle) FILTER (rank = 1) AS vehicle, max(rank) AS n,
+    string_agg('  ' || rank || '. ' || printf('%.4f', score) || ' ' || source || ' p.' || page || ' ' || section || chr(10) || '     ' || CASE WHEN length(line) > 240 THEN left(line, 240) || '…' ELSE line END, chr(10) ORDER BY rank) AS chunks,
+    string_agg('  IMG_' || rank || ' = ' || source || '/' || page || '.png', chr(10) ORDER BY rank) AS images FROM (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM matches) GROUP BY query_id""")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of ``traces.REQUEST`` for every question of ``matches``."""
+    found = F.struct("rank", "score", "source", "page", "section", "text", "question", "vehicle")
+    asked = base.matches(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(found)).alias("m"))  # ten a question
+    best = F.col("m")[0]
+    images = F.map_from_entries(F.transform("m", lambda x: F.struct(F.concat(F.lit("IMG_"), x["rank"]), F.concat(x["source"], F.lit("/"), x["page"], F.lit(".png")))))
+    unsupported = F.when(F.col("query_id") % 3 == 0, F.array().cast("array<struct<kind: string, value: string>>")).when(F.col("query_id") % 3 == 1, F.array(F.struct(F.lit("page").alias("kind"), best["page"].cast("string").alias("value"))))
+    return asked.select(
+        F.col("query_id").alias("request_id"), F.timestamp_seconds(F.lit(base.START_MS // 1000) + F.col("query_id") * 3600).alias("at"), best["source"].alias("user"), F.lit("standalone").alias("class"), best["question"].alias("question"),
+        F.lower(best["question"]).alias("search"), best["vehicle"].alias("filter"), F.size("m").alias("top_k"), F.expr("map('retrieve', query_id * 7, 'answer', query_id)").alias("timings_ms"),
+        F.array(F.lit("retrieve"), F.lit("rank")).alias("steps"), F.transform("m", lambda x: F.struct(*[x[c].alias(c) for c in ("score", "source", "page", "section", "text")])).alias("matches"), images.alias("images"), best["text"].alias("answer"), unsupported.alias("unsupported"),
+    )
+
+
+@query("request_traces", f"""SELECT CAST(query_id AS VARCHAR) AS id, CAST(moment AS DATE) AS day, '[' || strftime(moment, '%Y-%m-%dT%H:%M:%S') || '] user=' || user || ' class=standalone' || chr(10) || 'Q: ' || question || CASE WHEN trim(lower(question)) <> trim(question) THEN chr(10) || 'search: ' || lower(question) ELSE '' END
+    || chr(10) || 'filter: ' || coalesce(vehicle, '-') || ' top_k: ' || n || chr(10) || 'times: answer=' || query_id || 'ms retrieve=' || query_id * 7 || 'ms' || chr(10) || 'steps:' || chr(10) || '  1. retrieve' || chr(10) || '  2. rank' || chr(10) || 'chunks: ' || n || chr(10) || chunks || chr(10) || 'images:' || chr(10) || images
+    || chr(10) || 'answer:' || chr(10) || rtrim(answer) || CASE query_id % 3 WHEN 0 THEN chr(10) || 'grounding: OK' WHEN 1 THEN chr(10) || 'grounding: FLAGGED' || chr(10) || '  ! page: ' || page ELSE '' END AS block FROM (SELECT *, make_timestamp({base.START_MS}000 + query_id * 3600000000) AS moment FROM trace_rows)""")
+def request_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's block of the trace log, with the day it is kept under."""
+    from ..streaming.traces import request_log
+
+    return request_log(requests(spark, sf_dir)).select("id", "day", "block")
+
+
+@query("stage_traces", f"""SELECT job_id, pos, '[' || strftime(make_timestamp({base.START_MS}000 + started * 1000), '%Y-%m-%d %H:%M:%S') || '] ' || CASE status WHEN 'running' THEN 'START' WHEN 'done' THEN 'DONE' WHEN 'skipped' THEN 'SKIP' ELSE 'ERROR' END || ' stage ' || pos
+    || CASE WHEN ended > started AND ended - started < 1000 THEN ' (' || (ended - started) || 'ms)' WHEN ended > started THEN ' (' || (ended - started) // 1000 || '.' || (ended - started) % 1000 // 100 || 's)' ELSE '' END || ' (job=' || job_id || ')' || CASE WHEN status = 'error' THEN chr(10) || '    failed' || chr(10) || '    at ' || pos ELSE '' END AS block FROM stages""")
+def stage_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace log's line of every stage of every job."""
+    from ..streaming.traces import stage_block
+    from .ingest import stages
+
+    made = stages(spark, sf_dir).selectExpr("job_id", "pos", f"timestamp_millis({base.START_MS} + started) as at", "'stage ' || pos as stage", "status", "if(ended > started, ended - started, 0) as elapsed_ms", "if(status = 'error', concat('failed\\nat ', pos), null) as detail")
+    return made.select("job_id", "pos", stage_block().alias("block"))
