@@ -6,7 +6,10 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+#: The loader of pages that reads text files.
+LOADER = "ashlar.sources.files:text_page"
 
 INDEX_SCHEMA = (
     "id string, namespace string, text string, source_pdf string, vehicle_model string, doc_type string, page int, section string, chunk_type string, "
@@ -56,35 +59,82 @@ def resumable(pages: DataFrame, written: DataFrame | None) -> DataFrame:
 
 
 class PageRange(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, path: str, first: int, last: int):
+        self.path, self.first, self.last = path, first, last
+
+
+def ranges(path: str, first: int, last: int, step: int) -> list[PageRange]:
+    """Pages of a document, cut at multiples of ``step``."""
+    return [PageRange(path, max(first, a), min(a + step, last)) for a in range(first // step * step, last, step)]
+
+
+def read_pages(part: PageRange, loader: str):
+    """A row for each page of a range; a page that fails gives a stub."""
+    from importlib import import_module
+
+    module, name = loader.split(":")
+    load = getattr(import_module(module), name)
+    for page in range(part.first, part.last):
+        try:
+            method, text = load(part.path, page)
+        except Exception:  # one bad page must not stop the document  # noqa: BLE001
+            method, text = "error", ""
+        yield part.path, page + 1, method, len(text), text
 
 
 class PageReader(DataSourceReader):
-    """Reads ranges of pages by a loader ``f(path, page) -> (method, text)``; a page that fails gives a stub row."""
+    """Reads ranges of a document's pages by a loader ``f(path, page) -> (method, text)``."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.pages, self.step = options["path"], int(options["pages"]), int(options.get("pagesPerTask", "16"))
-        self.loader = options.get("loader", "ashlar.sources.files:text_page")
+        self.loader = options.get("loader", LOADER)
 
     def partitions(self) -> list[PageRange]:
-        return [PageRange(a, min(a + self.step, self.pages)) for a in range(0, self.pages, self.step)]
+        return ranges(self.path, 0, self.pages, self.step)
 
     def read(self, partition: PageRange):
-        from importlib import import_module
+        return read_pages(partition, self.loader)
+
 
-        module, name = self.loader.split(":")
-        load = getattr(import_module(module), name)
-        for page in range(partition.first, partition.last):
-            try:
-                method, text = load(self.path, page)
-            except Exception:  # one bad page must not stop the document  # noqa: BLE001
-                method, text = "error", ""
-            yield self.path, page + 1, method, len(text), text
+class PageStreamReader(DataSourceStreamReader):
+    """Reads the pages of documents as a list of them grows.
+
+    The list is a text file, in a folder that driver and executors share, with a line
+    ``path<tab>pages`` for each document; it is only ever added to, and a line counts
+    once it has ended. An offset is a number of pages in the list's order, so that
+    what the checkpoint says was read stays read, whatever is added; a task reads a
+    part of one document, and a batch as many tasks as the list has grown by.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.path, self.step = options["path"], int(options.get("pagesPerTask", "16"))
+        self.loader = options.get("loader", LOADER)
+
+    def listed(self) -> list[tuple[str, int]]:
+        with open(self.path, encoding="utf-8", newline="") as file:
+            lines = file.read().split("\n")[:-1]  # what stands behind the last end of line is not written yet
+        rows = (line.rstrip("\r").rsplit("\t", 1) for line in lines if line.strip())
+        return [(path, int(pages)) for path, pages in rows]
+
+    def initialOffset(self) -> dict[str, int]:
+        return {"page": 0}
+
+    def latestOffset(self) -> dict[str, int]:
+        return {"page": sum(pages for _, pages in self.listed())}
+
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[PageRange]:
+        parts, before = [], 0
+        for path, pages in self.listed():
+            parts += ranges(path, max(start["page"] - before, 0), min(end["page"] - before, pages), self.step)
+            before += pages
+        return parts
+
+    def read(self, partition: PageRange):
+        return read_pages(partition, self.loader)
 
 
 class PageSource(DataSource):
-    """``spark.read.format("pages")``: one row a page, one task for each range of pages; the page loader is a plug-in."""
+    """``spark.read.format("pages")``, ``spark.readStream.format("pages")``: one row a page, one task for each range of pages; the page loader is a plug-in."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,6 +146,9 @@ class PageSource(DataSource):
     def reader(self, schema) -> PageReader:
         return PageReader(self.options)
 
+    def streamReader(self, schema) -> PageStreamReader:
+        return PageStreamReader(self.options)
+
 
 @lru_cache(maxsize=1)
 def _text_pages(path: str) -> list[str]:
