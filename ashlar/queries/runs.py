@@ -148,3 +148,37 @@ def stage_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = stages(spark, sf_dir).selectExpr("job_id", "pos", f"timestamp_millis({base.START_MS} + started) as at", "'stage ' || pos as stage", "status", "if(ended > started, ended - started, 0) as elapsed_ms", "if(status = 'error', concat('failed\\nat ', pos), null) as detail")
     return made.select("job_id", "pos", stage_block().alias("block"))
+
+
+# jobs: customers' users by their first event; commands: every event of a user, by its type
+oracle_view("user_jobs", "SELECT user_id AS job_id, CASE WHEN first % 3 = 0 THEN 'done' WHEN first % 3 = 1 THEN 'running' ELSE 'queued' END AS status, 'f' || first AS file FROM (SELECT user_id, min(event_id) AS first FROM events WHERE event_type <> 'error' GROUP BY user_id)")
+oracle_view("job_commands", "SELECT event_id AS command_id, user_id + event_id % 2 AS job_id, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'purchase' THEN 'delete' WHEN 'signup' THEN 'retry' ELSE 'look' END AS action, epoch_us(ts) // 1000 AS at_ms FROM events")
+oracle_view("obeyed_commands", """WITH m AS (SELECT c.*, j.status, status IN ('queued', 'running') AS active, min((at_ms, command_id)) FILTER (action = 'cancel') OVER (PARTITION BY c.job_id) AS c0 FROM job_commands c LEFT JOIN user_jobs j USING (job_id)),
+    d AS (SELECT *, NOT active OR coalesce((at_ms, command_id) > c0, false) AS ended FROM m), g AS (SELECT *, min((at_ms, command_id)) FILTER (action = 'delete' AND ended) OVER (PARTITION BY job_id) AS d0 FROM d)
+    SELECT command_id, job_id, action, CASE WHEN status IS NULL OR coalesce((at_ms, command_id) > d0, false) THEN 'unknown' WHEN action = 'cancel' THEN CASE WHEN active AND (at_ms, command_id) = c0 THEN 'cancelled' ELSE 'nothing to cancel' END WHEN action = 'delete' THEN CASE WHEN ended THEN 'deleted' ELSE 'refused' END WHEN action = 'retry' THEN 'queued' ELSE 'unknown' END AS outcome FROM g""")
+
+
+def job_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs and the commands to them."""
+    events = base.table(spark, sf_dir, "events")
+    first = events.where("event_type <> 'error'").groupBy(F.col("user_id").alias("job_id")).agg(F.min("event_id").alias("first"))
+    jobs = first.selectExpr("job_id", "case when first % 3 = 0 then 'done' when first % 3 = 1 then 'running' else 'queued' end as status", "'f' || first as file")
+    return jobs, events.selectExpr("event_id as command_id", "user_id + event_id % 2 as job_id", "case event_type when 'error' then 'cancel' when 'purchase' then 'delete' when 'signup' then 'retry' else 'look' end as action", "unix_millis(cast(ts as timestamp)) as at_ms")
+
+
+@query("job_commands", "SELECT *, CASE WHEN outcome = 'queued' THEN job_id || '-r-' || command_id END AS new_id FROM obeyed_commands")
+def job_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each cancel, retry and delete of a job does."""
+    from ..operators.jobs import obeyed
+
+    return obeyed(*job_rows(spark, sf_dir))
+
+
+@query("jobs_after", """SELECT CAST(job_id AS VARCHAR) AS job_id, CASE WHEN job_id IN (SELECT job_id FROM obeyed_commands WHERE outcome = 'cancelled') THEN 'cancelled' ELSE status END AS status, file FROM user_jobs WHERE job_id NOT IN (SELECT job_id FROM obeyed_commands WHERE outcome = 'deleted')
+    UNION ALL SELECT o.job_id || '-r-' || o.command_id, 'queued', j.file FROM obeyed_commands o JOIN user_jobs j USING (job_id) WHERE outcome = 'queued'""")
+def jobs_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs that are there when all commands were obeyed."""
+    from ..operators.jobs import after, obeyed
+
+    jobs, commands = job_rows(spark, sf_dir)
+    return after(jobs, obeyed(jobs, commands))

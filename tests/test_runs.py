@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 
 import pytest
 
-from ashlar.operators import attempts, manifest, uploads
+from ashlar.operators import attempts, jobs, manifest, uploads
 
 TRIED = "call_id string, attempt int, took_ms long, error string"
 
@@ -144,3 +144,30 @@ def test_the_manifest_of_planted_pages(spark):
     whole = {r.source: r for r in manifest.summary(kept).collect()}
     assert (whole["d"].total, whole["d"].pages, whole["d"].embedded, whole["d"].rendered, whole["d"].per_page) == (9, 6, 6, 3, 1.5) and set(whole) == {"d", "e", "g"}
     assert build([], [], []).count() == 0 and manifest.summary(build([], [], [])).count() == 0
+
+
+def test_commands_equal_the_plain_fold(spark):
+    rng = random.Random(8)
+    held = [(i, rng.choice(["queued", "running", "done", "error", None]), f"f{i}") for i in range(40)]
+    told = [(n, rng.choice([*range(44), None]), rng.choice(["cancel", "cancel", "retry", "delete", "look", None]), rng.choice([None, *range(60)])) for n in range(700)]
+    frame = spark.createDataFrame(held + held[:3], "job_id long, status string, file string")
+    got = jobs.obeyed(frame, spark.createDataFrame(told, "command_id long, job_id long, action string, at_ms long"))
+    state, want, new = {i: s for i, s, _ in held}, {}, []
+    for n, job, action, _ in sorted(told, key=lambda c: (-1 if c[3] is None else c[3], c[0])):
+        active = state.get(job) in ("queued", "running")
+        if job not in state or action not in ("cancel", "retry", "delete"):
+            want[n] = "unknown"
+        elif action == "cancel":
+            want[n] = "cancelled" if active else "nothing to cancel"
+            state[job] = "cancelled" if active else state[job]
+        elif action == "retry":
+            want[n] = "queued"
+            new.append((f"{job}-r-{n}", "queued", f"f{job}"))
+        else:
+            want[n] = "refused" if active else "deleted"
+            if not active:
+                del state[job]
+    assert {r.command_id: r.outcome for r in got.collect()} == want and got.count() == len(told)
+    assert set(want.values()) == {"unknown", "cancelled", "nothing to cancel", "queued", "refused", "deleted"}
+    left = sorted(map(tuple, jobs.after(frame, got).collect()))
+    assert left == sorted([(str(i), s or "", f"f{i}") for i, s in state.items()] + new)
