@@ -182,3 +182,17 @@ def jobs_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     jobs, commands = job_rows(spark, sf_dir)
     return after(jobs, obeyed(jobs, commands))
+
+
+@query("png_rasters", r"SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE 160 END AS width, (strlen(coalesce(text, '')) + 159) // 160 * 160 AS bytes, CAST(length(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '', 'g')) AS BIGINT) AS dark, coalesce(text, '') <> '' AS decoded FROM documents UNION ALL SELECT -1 - doc_id, 0, 0, 0, false FROM documents")
+def png_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of all bytes of each document, 160 a row, written as PNG files and read back (dark: bytes below 128), and its text itself, which is no such file."""
+    from ..operators import png
+
+    docs = base.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    white = F.expr("unhex(repeat('FF', cast(pmod(-octet_length(text), 160) as int)))")
+    files = png.written(docs.select("doc_id", F.concat(F.col("text").cast("binary"), white).alias("pixels"), F.lit(160).alias("width")), "doc_id")
+    texts = docs.select((-1 - F.col("doc_id")).alias("doc_id"), F.col("text").cast("binary").alias("content"))
+    read = png.rasters(files.unionByName(texts), "doc_id")
+    dark = F.length(F.regexp_replace(F.decode("pixels", "ISO-8859-1"), r"[^\x00-\x7F]", ""))
+    return read.select("doc_id", "width", F.coalesce(F.octet_length("pixels"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(dark, F.lit(0)).cast("long").alias("dark"), F.col("error").isNull().alias("decoded"))
