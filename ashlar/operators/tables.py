@@ -44,12 +44,18 @@ def promoted(headers: Column, rows: Column) -> Column:
     return F.struct(F.when(take & glue, glued).when(take, trimmed).otherwise(headers).alias("headers"), F.when(take & glue, tail(2)).when(take, tail(1)).otherwise(rows).alias("rows"))
 
 
-def cleaned(headers: Column, rows: Column) -> Column:
-    """Struct of headers (blank over 80 characters) and rows with repaired cells, blank rows left out, header promoted."""
+def repaired(headers: Column, rows: Column) -> Column:
+    """Struct of headers (blank over 80 characters) and rows with repaired cells, blank rows left out."""
     labels = F.transform(headers, lambda h: F.when(F.length(T.strip(T.nz(h))) > 80, F.lit("")).otherwise(T.glyphs(T.strip(T.nz(h)))))
     cell = lambda c: T.part_number_fix(T.phrase_fix(T.glyphs(T.strip(T.nz(c))), T.LIGATURE_DROPS))
     kept = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda c: c != ""))
-    return promoted(labels, kept)
+    return F.struct(labels.alias("headers"), kept.alias("rows"))
+
+
+def cleaned(headers: Column, rows: Column) -> Column:
+    """The repaired table, header promoted."""
+    table = repaired(headers, rows)
+    return promoted(table.headers, table.rows)
 
 
 def looks_real(headers: Column, rows: Column) -> Column:

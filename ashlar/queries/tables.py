@@ -40,7 +40,8 @@ def promote_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("structure_table", "SELECT doc_id, array_to_string(headers, '|') AS headers, array_to_string(list_transform(list_filter(rows, lambda r: len(list_filter(r, lambda c: coalesce(c, '') <> '')) > 0), lambda r: array_to_string(list_transform(r, lambda c: coalesce(c, '')), '|')), chr(10)) AS rows FROM grids")
 def structure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = grids(spark, sf_dir).select("doc_id", B.cleaned(F.col("headers"), F.col("rows")).alias("t"))
+    """Tables with repaired cells, without blank rows; their headers stay (``promote_header`` promotes)."""
+    t = grids(spark, sf_dir).select("doc_id", B.repaired(F.col("headers"), F.col("rows")).alias("t"))
     return t.select("doc_id", F.array_join("t.headers", "|").alias("headers"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), "\n").alias("rows"))
 
 

@@ -299,3 +299,16 @@ def test_intents_have_directives_or_none(spark):
     from ashlar.functions import prompt
 
     assert one(spark, "procedure", prompt.directive).startswith("Answer") and one(spark, "general", prompt.directive) == ""
+
+
+def test_structured_tables_keep_headers_that_could_be_promoted(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(252, "m", "de"), (384, "m", "es"), (1, "m", "en"), (10, "m", "fr"), (8, "m", "en")], "doc_id long, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["structure_table"]).fetchall()
+    got = entry.queries()["structure_table"](spark, str(tmp_path)).select("doc_id", "headers", "rows").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r.doc_id: r.headers for r in got}[252] == "|"
