@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,12 @@ MOST_TEXT, TABLE_TEXT, MOST_TABLE = 0.55, 0.20, 0.60
 PAD = 10.0
 #: Boxes of a bin on average, and bins along each side of a page at most.
 BIN_BOXES, BINS = 256, 32
+#: Rows of bins that go to one task together, on average.
+DEAL_ROWS = 16_384
+#: A batch is passed again if fewer than its rows by this factor are left.
+COLLAPSE = 1.25
+#: Page numbers that are broadcast at most; more meet their boxes in a shuffle.
+BROADCAST_PAGES = 1 << 18
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
@@ -72,17 +78,63 @@ def merged_boxes(box: np.ndarray, pad: float) -> np.ndarray:
     return parent
 
 
+def _neighbours_joined(page: np.ndarray, box: np.ndarray, boxes: np.ndarray, largest: np.ndarray, pad: float) -> tuple[np.ndarray, ...]:
+    """The rows with every stretch of rows of a page joined whose neighbours are less than ``pad`` apart."""
+    apart = (page[1:] != page[:-1]) | (box[:-1, :2] - pad >= box[1:, 2:]).any(axis=1) | (box[:-1, 2:] + pad <= box[1:, :2]).any(axis=1)
+    first = np.flatnonzero(np.append(True, apart))
+    span = np.column_stack([np.minimum.reduceat(box[:, :2], first), np.maximum.reduceat(box[:, 2:], first)])
+    return page[first], span, np.add.reduceat(boxes, first), np.maximum.reduceat(largest, first)
+
+
+def _collapse_batches(pad: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            box = np.column_stack([batch.column(i).to_numpy() for i in range(1, 5)])
+            rows = (batch.column(0).to_numpy(), box, np.ones(len(box), np.int64), (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]))
+            rows = _neighbours_joined(*rows, pad)  # as they come, then by lines, then by columns
+            while True:
+                before = len(rows[0])
+                for order in ((0, 1), (1, 0)):
+                    at = np.lexsort((rows[1][:, order[0]], rows[1][:, order[1]], rows[0]))
+                    rows = _neighbours_joined(*(x[at] for x in rows), pad)
+                if COLLAPSE * len(rows[0]) > before:
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), *(pa.array(np.ascontiguousarray(c)) for c in rows[1].T), pa.array(rows[2]), pa.array(rows[3])], ["page", *CORNERS, "boxes", "largest"])
+
+    return run
+
+
+def collapsed(boxes: DataFrame, pad: float = PAD) -> DataFrame:
+    """page, box, number and largest area of the boxes that join with others of their Arrow batch.
+
+    Boxes that are joined here are of one cluster, whatever else its page holds, so that
+    clusters of the result are those of ``boxes``. Nothing is shuffled: what comes in
+    the order of a page leaves its task as a few rows. Rows with a null take no part.
+    """
+    own = boxes.select(F.col("page").cast("long").alias("page"), *(F.col(c).cast("double").alias(c) for c in CORNERS)).dropna()
+    return own.mapInArrow(_collapse_batches(pad), "page long, x0 double, y0 double, x1 double, y1 double, boxes long, largest double")
+
+
 def _bin_links(pad: float):
+    """Links to the least id of each cluster of a bin; rows of many bins come together."""
+
     def run(rows: pa.Table) -> pa.Table:
-        box = np.column_stack([rows[c].to_numpy() for c in CORNERS])
-        ids = rows["id"].to_numpy()
-        cluster = merged_boxes(box, pad)
-        order = np.lexsort((ids, cluster))
-        first = np.append(True, cluster[order][1:] != cluster[order][:-1])
-        root = np.empty(len(ids), np.int64)
-        root[order] = ids[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+        place = [rows[c].to_numpy() for c in ("by", "bx", "page")]
+        order = np.lexsort(place)
+        box = np.column_stack([rows[c].to_numpy() for c in CORNERS])[order]
+        ids = rows["id"].to_numpy()[order]
+        edge = np.flatnonzero(np.append(True, np.any([x[order][1:] != x[order][:-1] for x in place], axis=0)))
+        ends = np.append(edge[1:], len(ids))
+        cluster = np.arange(len(ids))
+        for lo, hi in zip(edge[ends - edge > 1], ends[ends - edge > 1]):
+            cluster[lo:hi] = lo + merged_boxes(box[lo:hi], pad)
+        led = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(led, cluster, ids)
+        root = led[cluster]
         joined = root != ids
-        return pa.table({"page": rows["page"].filter(pa.array(joined)), "id": pa.array(ids[joined]), "root": pa.array(root[joined])})
+        return pa.table({"page": pa.array(rows["page"].to_numpy()[order][joined]), "id": pa.array(ids[joined]), "root": pa.array(root[joined])})
 
     return run
 
@@ -90,17 +142,23 @@ def _bin_links(pad: float):
 def clusters(boxes: DataFrame, pad: float = PAD) -> DataFrame:
     """page, box and number of boxes of every cluster of ``boxes(page, x0, y0, x1, y1)``, joined while less than ``pad`` apart.
 
-    Boxes meet in the bins of their page that they reach; a bin's boxes are joined in
+    What a batch of rows can join is joined before anything is shuffled. The rest meets
+    in the bins of its page that it reaches; a bin's boxes are joined in
     one task, and clusters of several bins by the smallest number they share. What
     is joined spans more and may reach others, so rounds go on, each over a written
     table of fewer boxes, until no bin joins any. A page of few boxes is one bin.
     Rows with a null take no part.
     """
-    own = boxes.select(F.col("page").cast("long").alias("page"), *(F.col(c).cast("double").alias(c) for c in CORNERS)).dropna()
-    held = cut(own.select("page", F.monotonically_increasing_id().alias("id"), *CORNERS, F.lit(1).cast("long").alias("boxes")))
+    return _merged(collapsed(boxes, pad), pad)
+
+
+def _merged(some: DataFrame, pad: float) -> DataFrame:
+    """The clusters of ``collapsed`` boxes."""
+    held = cut(some.select("page", F.monotonically_increasing_id().alias("id"), *CORNERS, "boxes"))
     while True:
+        deals = max(1, -(-held.count() // DEAL_ROWS))
         extent = held.groupBy("page").agg(F.min("x0").alias("left"), F.min("y0").alias("top"), F.max("x1").alias("right"), F.max("y1").alias("bottom"), F.count("*").alias("n"))
-        extent = extent.withColumn("bins", F.least(F.lit(BINS), F.ceil(F.sqrt(F.col("n") / BIN_BOXES))).cast("int"))
+        extent = extent.where("n > 1").withColumn("bins", F.least(F.lit(BINS), F.ceil(F.sqrt(F.col("n") / BIN_BOXES))).cast("int"))
         placed = held.join(extent, "page")
 
         def reach(low: str, high: str, begin: str, end: str) -> Column:
@@ -109,7 +167,8 @@ def clusters(boxes: DataFrame, pad: float = PAD) -> DataFrame:
             return F.sequence(at(F.col(low) - pad), at(F.col(high) + pad))
 
         binned = placed.select("page", "id", *CORNERS, F.explode(reach("x0", "x1", "left", "right")).alias("bx"), reach("y0", "y1", "top", "bottom").alias("ys")).select("page", "id", *CORNERS, "bx", F.explode("ys").alias("by"))
-        links = binned.groupBy("page", "bx", "by").applyInArrow(_bin_links(pad), "page long, id long, root long").groupBy("page", "id").agg(F.min("root").alias("root"))
+        dealt = binned.withColumn("deal", F.pmod(F.xxhash64("page", "bx", "by"), F.lit(deals)))  # many small bins a group
+        links = dealt.groupBy("deal").applyInArrow(_bin_links(pad), "page long, id long, root long").groupBy("page", "id").agg(F.min("root").alias("root"))
         links = cut(links)
         if links.isEmpty():
             return held.select("page", *CORNERS, "boxes")
@@ -148,8 +207,15 @@ def drawing_regions(drawings: DataFrame, pages: DataFrame, texts: DataFrame, tab
     size = pages.select("page", F.greatest(F.col("width") * F.col("height"), F.lit(1.0)).alias("_page"))
     seen = drawings.where(~F.coalesce(F.col("invisible"), F.lit(False))) if "invisible" in drawings.columns else drawings
     wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    drawn = seen.join(size, "page").where((wide >= LEAST_SIDE) & (high >= LEAST_SIDE) & (_area() <= MOST_AREA * F.col("_page")))
-    found = clusters(drawn, pad).join(size, "page")
+    drawn = seen.where((wide >= LEAST_SIDE) & (high >= LEAST_SIDE))
+    # only pages that hold a page-sized drawing are joined with their size drawing by drawing
+    parts = cut(collapsed(drawn, pad))
+    full = cut(parts.groupBy("page").agg(F.max("largest").alias("largest")).join(size, "page").where(F.col("largest") > MOST_AREA * F.col("_page")).select("page", "_page"))
+    pages_full = full.count()
+    if pages_full:
+        few = F.broadcast(full) if pages_full <= BROADCAST_PAGES else full
+        parts = parts.join(few, "page", "left_anti").unionByName(collapsed(drawn.join(few, "page").where(_area() <= MOST_AREA * F.col("_page")), pad))
+    found = _merged(parts, pad).join(size, "page")
     shape = (_area() >= LEAST_AREA * F.col("_page")) & (F.least(wide, high) >= LEAST_FIGURE_SIDE) & (F.greatest(wide, high) <= MOST_ASPECT * F.least(wide, high)) & (F.col("boxes") >= LEAST_DRAWINGS)
     figures = cut(found.where(shape).select(F.monotonically_increasing_id().alias("box_id"), "page", *CORNERS, "boxes"))
     kept = covered(figures, texts, F.sum).where(F.col("share") <= MOST_TEXT).drop("share")

@@ -236,3 +236,11 @@ def test_a_ruled_page_whose_rows_are_all_merged_keeps_its_columns(spark, tmp_pat
     spark.createDataFrame([(1, words), (2, "SHOU.!! a b c d e f g")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.page: r.value for r in pages.page_grids(spark, str(tmp_path)).collect()}
     assert got == {1: "SHOU.!! THE.!!|SHOU.!! THE.!! SHOU.!! THE.!!|\nSHOU.!! THE.!!|x y|", 2: "SHOU.!! a|b c d e|\nf g||"}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
+def test_words_are_joined_to_columns_before_they_are_shuffled(spark):
+    words = pages.page_words(spark, str(DATA))
+    some = layout.collapsed(words).collect()
+    assert sum(r.boxes for r in some) == words.count() and 10 * len(some) < words.count()
+    assert len(some) <= 1.2 * pages.drawing_clusters(spark, str(DATA)).count()
