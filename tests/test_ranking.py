@@ -35,3 +35,14 @@ def test_no_rows_and_no_ties(spark):
     some = spark.createDataFrame([(1, None), (2, 5), (3, 4)], "id long, v long")
     assert {r.id: r.place for r in counted(some, F.col("v"), [], F.lit(True), "place").collect()} == {1: 1, 3: 2, 2: 3}
     assert {r.id: r.place for r in counted(some, F.col("v"), [], F.lit(True), "place", descending=True).collect()} == {2: 1, 3: 2, 1: 3}
+
+
+def test_learned_lookup_searches_all_stored_questions(spark, tmp_path):
+    from ashlar import queries, registry
+
+    queries.load()
+    rows = [(0, [1.0, 0.0], 1), (50, [0.0, 1.0], 2), (7, [0.99, 0.01], 3), (8, [0.5, 0.5], 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(0, "en")], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.query_id: (r.chunk_id, r.hit) for r in registry.QUERIES["learned_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1_000_007, True), 50: (1_000_050, True)}  # row 7, of an odd label, is the nearest of 0
