@@ -343,6 +343,27 @@ def test_bad_rows_are_rejected_and_good_ones_kept_with_few_and_many_labels(spark
         assert np.mean([r.kept for r in got if r.quality == 1]) > 0.99
 
 
+def test_rules_learn_from_all_labelled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (50, 4000):
+        marks = (rng.random(n) < 0.8).astype(int)
+        scores = np.round(rng.normal(0.4 + 0.15 * (1 - marks), 0.06), 3)
+        scored = spark.createDataFrame([(int(a), float(b)) for a, b in zip(marks, scores)], "label int, score double")
+        assert rules.spread_threshold(scored, int(marks.sum())) == pytest.approx(rules.threshold(scores, marks), abs=1e-12)
+    docs = spark.range(6000).selectExpr("id as doc_id", "array_join(transform(sequence(1, 60), x -> concat('w', x * 37 % (id % 50 + 61))), if(id % 9 = 0, ' ## ', ' ')) as text")
+    labels = spark.range(6000).selectExpr("id as doc_id", "if(id % 9 = 0, 0, 1) as quality", "0 as toxic")
+    usable = sum(rest(i, 5) > 0 for i in range(6000))
+    sizes, collected = [], rules._collected
+    monkeypatch.setattr(rules, "_collected", lambda df: sizes.append(df.count()) or collected(df))
+    whole, cut = rules.fit(docs, labels)
+    assert sizes == [usable] and usable > 4000
+    spread, wide_cut = rules.fit(docs, labels, pool=1000)  # trees draw from about a thousand good rows, all the rest is of all rows
+    assert 800 < sizes[1] < 1200
+    for forest, limit in ((whole, cut), (spread, wide_cut)):
+        got = rules.judged(docs, forest, limit).where("not base_failed").collect()
+        assert not any(r.kept for r in got if r.doc_id % 9 == 0) and np.mean([r.kept for r in got if r.doc_id % 9]) > 0.98
+
+
 def test_samples_are_bounded_and_do_not_depend_on_order(spark):
     ids = spark.range(20000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id for r in sampled(ids, "doc_id", 500, 20000).collect()}
