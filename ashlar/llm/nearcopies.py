@@ -1,8 +1,9 @@
-"""Near copies by the exact Jaccard similarity of 5-word shingle sets.
+"""Near copies by the exact Jaccard similarity of 5-word shingle sets, of texts that meet by SimHash or in min-hash bands.
 
-At a similarity of 0.8 two 64-bit SimHash fingerprints differ in about ten bits
-(up to 17), too many for an index of bit segments. Texts meet in min-hash bands
-instead, if they agree on all ``ROWS`` min-hashes of one of ``BANDS`` bands, which
+Texts whose SimHash fingerprints differ in at most three bits are compared, as ``simhash``
+links them. That finds copies, and few of the edited ones: at a similarity of 0.8 two 64-bit SimHash fingerprints differ in about ten bits
+(up to 17), too many for an index of bit segments. Texts therefore meet in min-hash
+bands as well, if they agree on all ``ROWS`` min-hashes of one of ``BANDS`` bands, which
 misses a pair at 0.8 with probability 5e-8.
 
 Texts that meet are not paired. First each is compared with the head of its
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import kernel, simhash
 from .common import keep, tune
 from .components import components
 
@@ -32,6 +33,8 @@ WIDTH = 5
 #: Least similarity of near copies, as a fraction of integers.
 SHARE = (4, 5)
 ROWS, BANDS = 4, 32
+#: Words of a shingle of the fingerprints.
+FINGERPRINT_WIDTH = 3
 #: Frequent shingles are those of every so many-th row; they choose heads, so that only costs depend on them, not results.
 HEAD_SHARE = 16
 #: Frequent shingles that are broadcast at most (8 bytes each).
@@ -261,6 +264,17 @@ def _linked_across(met: DataFrame, roots: DataFrame, numbered: DataFrame, row: s
     return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(lambda rows: _block_table(rows), "u long, v long")
 
 
+def fingerprint_pairs(numbered: DataFrame, row: str, nodes: DataFrame) -> DataFrame:
+    """Pairs a < b of texts (``nodes(kept)``, their row numbers) that meet by SimHash: each with the first of its fingerprint, and the first ones of linked fingerprints."""
+    own = texts_of(numbered, row, nodes)
+    prints = keep(simhash.fingerprint_table(own.withColumnRenamed("node", "doc_id"), FINGERPRINT_WIDTH))
+    heads = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    same = prints.join(heads, "fp").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    links = simhash.near_links(heads.select("fp"))
+    left = links.join(heads.toDF("u", "x"), "u").join(heads.toDF("v", "y"), "v")
+    return same.unionByName(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).where("a <> b")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies of ``docs``, all columns as they are.
 
@@ -302,7 +316,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     pair = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     alike = SHARE[1] * F.least("n", "head_n") >= SHARE[0] * F.greatest("n", "head_n")
     tried = keep(met.where((F.col("node") != F.col("head")) & alike).withColumnRenamed("head", "other").select(*pair).distinct())
-    links = near(tried)
+    met_by_print = fingerprint_pairs(numbered, row, texts.where("n > 0").select(F.col("node").alias("kept")))
+    links = near(keep(tried.unionByName(met_by_print).distinct()))
     roots = components(links)
 
     more = keep(_linked_across(met, roots, numbered, row))

@@ -27,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more): that of the smallest doc_id.
+    """One row of each group of near copies (they meet by SimHash or in min-hash bands; Jaccard similarity of 5-word shingles 0.8 or more): that of the smallest doc_id.
 
     Texts without words are one group; of rows that repeat the smallest doc_id, or
     of a group without any, the first row stays.

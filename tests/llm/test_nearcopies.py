@@ -169,3 +169,11 @@ def test_a_very_long_text_and_its_copy(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     docs = spark.createDataFrame([(1, long), (2, long + " more"), (3, "short one")], "doc_id long, text string")
     assert sorted(r.doc_id for r in nearcopies.representatives(docs).collect()) == [1, 3]
+
+
+def test_copies_meet_by_simhash_without_any_band(spark, monkeypatch):
+    words = [f"w{i}" for i in range(900)]
+    rows = [(5, " ".join(words)), (9, " ".join([*words[:899], "x"])), (7, "a text of its own that no other is like"), (1, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "_key_batches", lambda sent: lambda batches: iter(()))
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == [1, 5, 7]
