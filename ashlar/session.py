@@ -27,6 +27,15 @@ def session(name: str = "ashlar", master: str | None = None, **extra: str) -> Sp
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows or 16 MB, so that a worker holds few whole rasters at a time.
+
+    These are settings of the session, which the caller's later queries share.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder: lineage ends there, and lost executors cost nothing.
 

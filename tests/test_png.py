@@ -88,3 +88,9 @@ def test_written_files_are_read_back(spark):
     held = spark.createDataFrame([(1, bytearray(range(6)), 3), (2, bytearray(b""), 3), (3, None, 3), (4, bytearray(b"abc"), 0), (5, bytearray(b"abc"), 2)], "path long, pixels binary, width int")
     rows = {r.path: r.content for r in png.written(held).collect()}
     assert png.decode(bytes(rows[1])).tolist() == [[0, 1, 2], [3, 4, 5]] and [rows[k] for k in (2, 3, 4, 5)] == [None] * 4
+
+
+def test_rasters_pass_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    png.rasters(spark.createDataFrame([(1, b"x")], "id long, content binary"), "id")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
