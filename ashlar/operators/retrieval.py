@@ -257,12 +257,19 @@ def majority(matches: DataFrame, top: int = 3, share: float = 0.5) -> DataFrame:
     return ranked.where((F.col("_place") == 1) & (F.col("n") >= share * F.col("_all"))).select("query_id", "section", "n")
 
 
-def neighbours(matches: DataFrame, chunks: DataFrame, pages: int = 2) -> DataFrame:
+def neighbours(matches: DataFrame, chunks: DataFrame, pages: int = 2, most: int | None = None) -> DataFrame:
     """Chunks of the same source within some pages of a match, itself excluded, foreign vehicles left out.
 
     The range becomes an equality join on (source, page) by listing each seed's
-    few pages, so that a source with many rows is spread over its pages.
+    few pages, so that a source with many rows is spread over its pages. With ``most``
+    each match gets those of its ``most`` smallest doc_ids, and their pairs alone are made: of a page and
+    vehicle no others than the ``most`` + 1 smallest (the match may be one) can be among them.
     """
     seeds = matches.select("query_id", F.col("doc_id").alias("seed_id"), "source", F.col("vehicle").alias("seed_vehicle"), F.explode(F.sequence(F.col("page") - pages, F.col("page") + pages)).alias("page"))
-    found = seeds.join(chunks.select("doc_id", "source", "page", "vehicle"), ["source", "page"]).where("doc_id <> seed_id")
-    return found.where("vehicle is null or seed_vehicle is null or vehicle = seed_vehicle").select("query_id", "seed_id", "doc_id", F.lit(0.0).alias("score"))
+    own = chunks.select("doc_id", "source", "page", "vehicle")
+    first = lambda df, n, *keys: df.withColumn("_place", F.dense_rank().over(W.partitionBy(*keys).orderBy("doc_id"))).where(F.col("_place") <= n).drop("_place")
+    if most is not None:
+        own = first(own.where("doc_id is not null"), most + 1, "source", "page", "vehicle")
+    found = seeds.join(own, ["source", "page"]).where("doc_id <> seed_id")
+    near = found.where("vehicle is null or seed_vehicle is null or vehicle = seed_vehicle").select("query_id", "seed_id", "doc_id", F.lit(0.0).alias("score"))
+    return near if most is None else first(near, most, "query_id", "seed_id")

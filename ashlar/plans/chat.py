@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import routing
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..session import cut
 
 #: Chunks of an answer, and of one that is asked for in full.
 ANSWER_CHUNKS, FULL_CHUNKS = 10, 18
@@ -40,8 +41,11 @@ def context(matches: DataFrame, chunks: DataFrame, pages: int = 2) -> DataFrame:
     m = R.procedure_focus(R.reranked(m), F.col("proceeds"))
     m = R.by_rounds(m, F.col("preferred"), F.col("top_k"))
     m = m.withColumn("rank", F.col("new_rank").cast("long")).drop("new_rank")
+    m = cut(m)  # without texts: rows and seeds are read from it, so that the steps before are taken once
     seeds = m.where("rank = 1 and long_form and full_detail")
-    near = R.neighbours(seeds, chunks, pages).join(seeds.select("query_id", "question", "full_detail"), "query_id")
+    # of neighbours in the order of their ids no more than the cap are kept; ids that the query has are passed over in
+    # places that its own rows take, so that the first ones suffice
+    near = R.neighbours(seeds, chunks, pages, FULL_CHUNKS).join(seeds.select("query_id", "question", "full_detail"), "query_id")
     near = near.select("query_id", F.col("doc_id").alias("rank"), "doc_id", "score", "question", "full_detail")
     both = R.merged(m.select("query_id", "rank", "doc_id", "score", "question", "full_detail"), near, "doc_id")
     cap = F.when(F.col("full_detail"), FULL_CHUNKS).otherwise(ANSWER_CHUNKS)

@@ -395,20 +395,21 @@ _ADDED = "chr(10) || 'See p. ' || CAST(length(t.text) % 97 AS VARCHAR) || ', tor
     SELECT doc_id, kind, value, contains(held, {_NORM.format('value')}) OR (kind = 'page_ref' AND contains(held, regexp_extract(value, '[0-9]+'))) AS supported FROM atoms""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atomic facts of answers (before their sources line) and whether their own question's context has them."""
-    body = F.regexp_replace("text", r"(?s)\n\s*Sources?:.*$", "")
 
     def of(kind: str, pattern: str):
         flag, bare = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-        return F.transform(F.regexp_extract_all(body, F.lit(f"{flag}({bare})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        return F.transform(F.regexp_extract_all("body", F.lit(f"{flag}({bare})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     found = F.concat(*[of(k, p) for k, p in ATOMS])
     size = F.length("text")
     added = F.concat(F.lit("\nSee p. "), (size % 97).cast("string"), F.lit(", torque "), (size % 40).cast("string"), F.lit(" Nm.\nSources: p. 9999"))
     answers = base.texts(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") >= 0, F.concat("text", added)).otherwise(F.col("text")).alias("text"))
-    atoms = answers.select("doc_id", F.explode(found).alias("a")).select("doc_id", F.when(F.col("doc_id") >= 0, F.expr("doc_id div 10")).alias("query_id"), "a.*")
+    # a row of its own (explode) holds the body, so that no kind of fact cuts it again
+    bodies = answers.select("doc_id", F.explode(F.array(F.regexp_replace("text", r"(?s)\n\s*Sources?:.*$", ""))).alias("body"))
+    atoms = bodies.select("doc_id", F.explode(found).alias("a")).select("doc_id", F.when(F.col("doc_id") >= 0, F.expr("doc_id div 10")).alias("query_id"), "a.*")
+    # every document's answer has a page of its own added: all questions have facts, and need their contexts
     m = base.matches(spark, sf_dir)
-    needed = m.join(atoms.select("query_id").distinct(), "query_id", "left_semi")  # a chain works by query: only those with facts
-    contexts = chat.rendered(chat.context(needed, m), m).select("query_id", T.ground_norm(F.col("context")).alias("held"))
+    contexts = chat.rendered(chat.context(m, m), m).select("query_id", T.ground_norm(F.col("context")).alias("held"))
     held = F.coalesce("held", F.lit(""))
     paged = (F.col("kind") == "page_ref") & F.contains(held, F.regexp_extract("value", "([0-9]+)", 1))
     return atoms.join(contexts, "query_id", "left").select("doc_id", "kind", "value", (F.contains(held, T.ground_norm(F.col("value"))) | paged).alias("supported"))

@@ -312,3 +312,24 @@ def test_structured_tables_keep_headers_that_could_be_promoted(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["structure_table"]).fetchall()
     got = entry.queries()["structure_table"](spark, str(tmp_path)).select("doc_id", "headers", "rows").collect()
     assert sorted(map(tuple, got)) == sorted(want) and {r.doc_id: r.headers for r in got}[252] == "|"
+
+
+def test_first_neighbours_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i // 10, i, rng.choice("ab"), rng.randrange(8), rng.choice((None, "x", "y"))) for i in range(400)]
+    m = spark.createDataFrame(rows + [(7, 70, "a", 3, "x"), (None, None, "a", 3, None)], "query_id long, doc_id long, source string, page long, vehicle string")
+    seeds = m.where("doc_id % 10 = 0")
+    all_ = sorted({(r.query_id, r.seed_id, r.doc_id) for r in retrieval.neighbours(seeds, m).collect()})
+    for most in (1, 5, 18):
+        ids = {}
+        for query, seed, doc in all_:
+            ids.setdefault((query, seed), []).append(doc)
+        got = retrieval.neighbours(seeds, m, most=most)
+        assert sorted({(r.query_id, r.seed_id, r.doc_id) for r in got.collect()}) == sorted((*k, d) for k, v in ids.items() for d in v[:most])
+    # of a page and vehicle no more than the first are met: 3,000 rows of one page are not 3,000 pairs a match
+    many = spark.range(3000).selectExpr("id div 10 as query_id", "id as doc_id", "'s' as source", "1L as page", "cast(null as string) as vehicle").cache()
+    pairs = retrieval.neighbours(many.where("doc_id % 10 = 0"), many, most=18)
+    assert pairs.count() == 300 * 18
+    assert "WindowGroupLimit" in pairs._jdf.queryExecution().optimizedPlan().toString()
